@@ -27,7 +27,7 @@ def json_record(fields: dict[str, Column]) -> Column:
     parts: list[Column] = []
     for name, value in fields.items():
         parts += [F.lit(f'{", " if parts else "{"}"{name}": '), value]
-    return lower_hex(F.concat(*parts, F.lit("}")))
+    return F.concat(*parts, F.lit("}"))
 
 
 def lower_hex(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,17 @@ def prompt(profile: Column) -> Column:
     return F.concat(F.lit(PROMPT), profile)
 
 
-def request(prompt_text: Column, model_name: str | None) -> Column:
+def request(profile: Column, model_name: str | None) -> Column:
+    """The request record for the prompt of a profile.
+
+    The fixed part of the prompt is quoted once, here, and not again per row.
+    """
+    fixed = json.dumps(PROMPT, ensure_ascii=False).removesuffix('"')
+    prompt_text = F.concat(F.lit(fixed), F.substr(json_text(profile), F.lit(2)))
     return json_record(
         {
-            "model": json_text(F.lit(model_name).cast("string")),
-            "prompt": json_text(prompt_text),
+            "model": F.lit(json.dumps(model_name, ensure_ascii=False)),
+            "prompt": prompt_text,
             "format": F.lit('"json"'),
             "stream": F.lit("false"),
         }

@@ -51,12 +51,8 @@ def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def scored_message() -> Column:
     """Message text of a scored row."""
-    return json_record(
-        {
-            f.name: (json_text if f.dataType.typeName() == "string" else json_number)(F.col(f.name))
-            for f in SCORED_SCHEMA
-        }
-    )
+    as_json = {f.name: json_text if f.dataType.typeName() == "string" else json_number for f in SCORED_SCHEMA}
+    return lower_hex(json_record({name: text(F.col(name)) for name, text in as_json.items()}))
 
 
 def read_scored(messages: DataFrame) -> DataFrame:

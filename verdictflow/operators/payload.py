@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdictflow.fixed_values import ACCOUNT_STATUS, CREDIT_HISTORY, LOAN_PURPOSE
 from verdictflow.functions.decode import decode, whole_number
-from verdictflow.functions.jsontext import json_number, json_record, json_text
+from verdictflow.functions.jsontext import json_number, json_record, json_text, lower_hex
 from verdictflow.schemas import RAW_SCHEMA
 
 
@@ -42,4 +42,4 @@ def profile() -> Column:
 
 def _record(names: list[str]) -> Column:
     as_json = {n: json_text if RAW_SCHEMA[n].dataType.typeName() == "string" else json_number for n in names}
-    return json_record({n: as_json[n](F.col(n)) for n in names})
+    return lower_hex(json_record({n: as_json[n](F.col(n)) for n in names}))

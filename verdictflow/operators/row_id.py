@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from verdictflow.session import scratch_path
 
-# About 200 bytes per split: 100,000 splits (12 TB at the default split size) are
-# a 20 MB broadcast. Beyond that the split table is joined by shuffle.
-BROADCAST_SPLITS = 100_000
+# About 200 bytes per split: a million splits (over 100 TB at the default split
+# size) are a 200 MB broadcast. Beyond that the split table is joined by shuffle.
+BROADCAST_SPLITS = 1_000_000
 
 
 def number_rows(scan: DataFrame, id_column: str = "row_id") -> DataFrame:

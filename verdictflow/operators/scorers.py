@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable
 from urllib.parse import urlsplit
 
-from verdictflow.fixed_values import PROMPT
+from verdictflow.fixed_values import LOAN_PURPOSE, PROMPT
 
 
 class Scorer:
@@ -54,7 +54,8 @@ class RubricScorer(Scorer):
     """Offline stand-in for a model: points for the four factors of the prompt.
 
     The prompt ranks the factors and gives no thresholds; these are our own, and
-    agree with its two worked examples.
+    agree with its two worked examples. A purpose that is still a code gets no
+    verdict.
     """
 
     batch_size = 512
@@ -68,13 +69,16 @@ class RubricScorer(Scorer):
         return [self._reply(json.loads(profile)) for profile in profiles]
 
     def _reply(self, fields: dict) -> str:
+        purpose = fields["proposito_emprestimo"]
+        if purpose not in LOAN_PURPOSE.values():
+            return json.dumps({"response": json.dumps({"justificativa": f"Propósito {purpose}?"})})
         points = 3 * (fields["status_conta_corrente"] in self.risky_accounts)
         points += 2 * (fields["historico_credito"] in self.risky_histories)
         points += (
             fields["valor_credito_solicitado"] >= self.high_amount
             and fields["duracao_credito_meses"] >= self.long_months
         )
-        points += points > 0 and fields["proposito_emprestimo"] not in self.productive_purposes
+        points += points > 0 and purpose not in self.productive_purposes
         risky = points >= self.risk_limit
         reason = f"Risco {'alto' if risky else 'baixo'}: {points} de 7 pontos."
         answer = json.dumps({"predicao": 2 if risky else 1, "justificativa": reason})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def append_snapshot(rows: DataFrame, table: str, snapshot_id: int) -> None:
@@ -30,6 +31,22 @@ def list_snapshots(spark: SparkSession, table: str) -> DataFrame:
     )
 
 
+def first_snapshot_of(spark: SparkSession, table: str, checkpoint: str) -> int:
+    """Number of a stream's first commit: after all others, the same on restart.
+
+    A new checkpoint counts its batches from 0 again; the table remembers where
+    each one began. One writer at a time may append.
+    """
+    key = f"first_snapshot {checkpoint}"
+    properties = {p.key: p.value for p in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    if key in properties:
+        return int(properties[key])
+    last = list_snapshots(spark, table).agg(F.max("snapshot_id")).first()[0]
+    first = 0 if last is None else last + 1
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{key}' = '{first}')")
+    return first
+
+
 def rollback_to(spark: SparkSession, table: str, snapshot_id: int) -> None:
     """Drop every later commit."""
     later = list_snapshots(spark, table).where(f"snapshot_id > {snapshot_id}").collect()

@@ -61,8 +61,10 @@ all_points AS (
   FROM first_points),
 scored AS (
   SELECT id_cliente, target_real, status_conta_corrente, proposito_emprestimo,
-    CAST(CASE WHEN points >= 4 THEN 2 ELSE 1 END AS INTEGER) AS predicao,
-    'Risco ' || CASE WHEN points >= 4 THEN 'alto' ELSE 'baixo' END || ': ' || points || ' de 7 pontos.'
+    CAST(CASE WHEN proposito_emprestimo IN ('A47', 'A48') THEN 0 WHEN points >= 4 THEN 2 ELSE 1 END AS INTEGER)
+      AS predicao,
+    CASE WHEN proposito_emprestimo IN ('A47', 'A48') THEN 'predicao_invalida_recebida=None'
+      ELSE 'Risco ' || CASE WHEN points >= 4 THEN 'alto' ELSE 'baixo' END || ': ' || points || ' de 7 pontos.' END
       AS justificativa
   FROM all_points)
 """
@@ -122,7 +124,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT row_number() OVER () - 1 AS row_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem""",
     "scan_file": f"""
         WITH {_DECODED}
-        SELECT * REPLACE (row_number() OVER (ORDER BY id_cliente) - 1 AS id_cliente) FROM decoded""",
+        SELECT * REPLACE (row_number() OVER () - 1 AS id_cliente) FROM decoded""",
     "scan_types": f"WITH {_CODED} SELECT {_FILE_FIELDS} FROM coded",
     "score_applications": f"""
         WITH {_SCORED}
@@ -158,8 +160,10 @@ ORACLE_SQL: dict[str, str] = {
     "ingest_counts": """
         SELECT count(*) AS rows, count(*) FILTER (event_type = 'error') AS failed FROM events""",
     "snapshot_as_of": """
-        SELECT event_id, user_id, event_type, CAST(CASE WHEN day(ts) <= 10 THEN 0 ELSE 1 END AS BIGINT) AS snapshot_id
-        FROM events WHERE day(ts) <= 20""",
+        SELECT event_id, user_id, event_type, ts,
+          CAST(CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 ELSE 1 END AS BIGINT) AS snapshot_id
+        FROM events WHERE ts < TIMESTAMP '2024-01-21'""",
     "snapshot_rollback": """
-        SELECT event_id, user_id, event_type, CAST(0 AS BIGINT) AS snapshot_id FROM events WHERE day(ts) <= 10""",
+        SELECT event_id, user_id, event_type, ts, CAST(0 AS BIGINT) AS snapshot_id
+        FROM events WHERE ts < TIMESTAMP '2024-01-11'""",
 }

@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from verdictflow.fixed_values import ACCOUNT_STATUS, CREDIT_HISTORY, LOAN_PURPOSE, SCORING_PARALLELISM
+from verdictflow.fixed_values import ACCOUNT_STATUS, CREDIT_HISTORY, LOAN_PURPOSE
 from verdictflow.functions.decode import decode
 from verdictflow.functions.prompt import prompt, request
 from verdictflow.operators import evaluate
@@ -23,10 +22,17 @@ from verdictflow.plans.applications import coded_applications, table
 from verdictflow.plans.steps import file_applications
 from verdictflow.session import scratch_path, spread
 from verdictflow.sources.files import scan_applications
-from verdictflow.sources.tables import create_database, create_scored_table, create_stream_view, head_rows, read_table
+from verdictflow.sources.tables import (
+    create_database,
+    create_scored_table,
+    create_snapshot_table,
+    create_stream_view,
+    head_rows,
+    read_table,
+)
 from verdictflow.sources.topics import FileTopic
 from verdictflow.streaming.metrics import CommitCounts
-from verdictflow.streaming.steps import append_files, counted, insert_stream, land_stream, score_stream, start
+from verdictflow.streaming.steps import append_files, counted, insert_stream, land_stream, score_stream
 
 MODEL = "rubric"
 
@@ -85,7 +91,7 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(spark, sf_dir).select("id_cliente", request(prompt(profile()), MODEL).alias("request"))
+    return _decoded(spark, sf_dir).select("id_cliente", request(profile(), MODEL).alias("request"))
 
 
 def validate_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +126,8 @@ def row_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the applications as space-separated files, scan, number, decode."""
     path = scratch_path(spark, "file")
-    coded = coded_applications(spark, sf_dir).orderBy("o_orderkey").drop("o_orderkey")
-    whole = coded.withColumn("_c4", F.col("_c4").cast("int"))
-    whole.write.csv(path, sep=" ")
+    coded = coded_applications(spark, sf_dir).withColumn("_c4", F.col("_c4").cast("int"))
+    coded.drop("o_orderkey").write.csv(path, sep=" ")
     return file_applications(spark, path)
 
 
@@ -174,8 +179,9 @@ def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_topic(spark: SparkSession, sf_dir: str) -> FileTopic:
+    """Events as messages, in more files than one commit takes in."""
     topic = FileTopic(scratch_path(spark, "events"))
-    events = spread(table(spark, sf_dir, "events"), 4)
+    events = spread(table(spark, sf_dir, "events"), 2 * _tasks(spark))
     topic.append(events.select(F.to_json(F.struct("*"), _EVENT_TIME).alias("value")))
     return topic
 
@@ -197,7 +203,7 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event messages appended to a table in bounded commits, then a rerun that adds none."""
     topic = _event_topic(spark, sf_dir)
     path, checkpoint = scratch_path(spark, "table"), scratch_path(spark, "progress")
-    rows = _event_stream(spark, topic, per_trigger=1)
+    rows = _event_stream(spark, topic, per_trigger=_tasks(spark))
     for _ in range(2):
         append_files(rows, path, checkpoint, interval=None).awaitTermination()
     return _landed(spark, path, rows)
@@ -206,18 +212,12 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same topic read twice from its start into one table: copies stay."""
     topic = _event_topic(spark, sf_dir)
-    database = _database(spark)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.events ({_EVENT_SCHEMA}, snapshot_id BIGINT) "
-              "USING parquet PARTITIONED BY (snapshot_id)")
-    for replay in range(2):
-        rows = _event_stream(spark, topic)
-
-        def commit(batch: DataFrame, batch_id: int, first: int = replay * 1000) -> None:
-            append_snapshot(batch, f"{database}.events", first + batch_id)
-
-        start(rows.writeStream.foreachBatch(commit), scratch_path(spark, "progress"), None).awaitTermination()
-    landed = spark.table(f"{database}.events")
-    return landed.groupBy("event_id", "event_type").agg(F.count("*").alias("copies"))
+    name = f"{_database(spark)}.events"
+    rows = _event_stream(spark, topic, per_trigger=_tasks(spark))
+    create_snapshot_table(spark, name, rows.schema)
+    for _ in range(2):
+        insert_stream(rows, name, scratch_path(spark, "progress"), interval=None).awaitTermination()
+    return spark.table(name).groupBy("event_id", "event_type").agg(F.count("*").alias("copies"))
 
 
 def _database(spark: SparkSession) -> str:
@@ -240,7 +240,7 @@ def score_and_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     create_scored_table(spark, name)
     score_stream(
         spark, raw, scored, RubricScorer(), scratch_path(spark, "progress"),
-        interval=None, model_name=MODEL, partitions=SCORING_PARALLELISM,
+        interval=None, model_name=MODEL, partitions=_tasks(spark),
     ).awaitTermination()
     land_stream(spark, scored, name, scratch_path(spark, "progress"), interval=None).awaitTermination()
     return read_table(spark, name)
@@ -269,13 +269,13 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and fallbacks of every commit, counted as they pass, and summed."""
     topic = _event_topic(spark, sf_dir)
     failed = F.count_if(F.col("event_type") == "error")
-    rows = counted(_event_stream(spark, topic, per_trigger=1), "ingest", failed=failed)
+    rows = counted(_event_stream(spark, topic, per_trigger=_tasks(spark)), "ingest", failed=failed)
     with CommitCounts("ingest") as counts:
         query = append_files(rows, scratch_path(spark, "table"), scratch_path(spark, "progress"), interval=None)
         query.awaitTermination()
         counts.ended.wait(60)
-    schema = T.StructType().add("batch_id", "bigint").add("rows", "bigint").add("failed", "bigint")
-    commits = spark.createDataFrame([(b, c.rows, c.failed) for b, c in counts.batches.items()], schema)
+    seen = [(batch, c.rows, c.failed) for batch, c in counts.batches.items()]
+    commits = spark.createDataFrame(seen, "batch bigint, rows bigint, failed bigint")
     return commits.agg(F.sum("rows").alias("rows"), F.sum("failed").alias("failed"))
 
 
@@ -283,15 +283,14 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_snapshots(spark: SparkSession, sf_dir: str) -> str:
-    """Three commits: days 1-10, 11-20 and the rest of each month."""
+    """Three commits in time order; each reads only the row groups of its time."""
     name = f"{_database(spark)}.events"
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} (event_id BIGINT, user_id BIGINT, event_type STRING, snapshot_id BIGINT) "
-        "USING parquet PARTITIONED BY (snapshot_id)"
-    )
-    events, day = table(spark, sf_dir, "events"), F.dayofmonth("ts")
-    for snapshot, days in enumerate([day <= 10, (day > 10) & (day <= 20), day > 20]):
-        append_snapshot(events.where(days).select("event_id", "user_id", "event_type"), name, snapshot)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    create_snapshot_table(spark, name, events.schema)
+    second, third = "TIMESTAMP_NTZ '2024-01-11 00:00:00'", "TIMESTAMP_NTZ '2024-01-21 00:00:00'"
+    times = [f"ts < {second}", f"ts >= {second} AND ts < {third}", f"ts >= {third}"]
+    for snapshot, time in enumerate(times):
+        append_snapshot(events.where(time), name, snapshot)
     return name
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
@@ -25,10 +25,11 @@ def file_applications(spark: SparkSession, path: str) -> DataFrame:
     return decode_applications(number_rows(scan_applications(spark, path)), "row_id")
 
 
-def replay(spark: SparkSession, path: str, raw: Topic) -> bool:
-    """Send a file to the raw topic; False, and nothing sent, if there is none.
+def replay(spark: SparkSession, path: str, raw: Topic) -> int | None:
+    """Send a file to the raw topic and count what was sent; None if there is no file.
 
-    Sending it again repeats its ids, and later steps keep the repeats.
+    A message that cannot be sent fails the job. Sending the file again repeats
+    its ids, and later steps keep the repeats.
     """
     try:
         applications = file_applications(spark, path)
@@ -36,9 +37,12 @@ def replay(spark: SparkSession, path: str, raw: Topic) -> bool:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         log.warning("no application file at %s", path)
-        return False
-    raw.append(applications.select(raw_message().alias("value")))
-    return True
+        return None
+    sent = Observation("replay")
+    messages = applications.select(raw_message().alias("value"))
+    raw.append(messages.observe(sent, F.count("*").alias("messages")))
+    log.info("sent %d messages", sent.get["messages"])
+    return sent.get["messages"]
 
 
 def score_batch(spark: SparkSession, raw: Topic, scored: Topic, scorer: Scorer, **limits) -> None:

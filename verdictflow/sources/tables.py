@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdictflow.schemas import SCORED_TABLE_SCHEMA
 
@@ -35,8 +36,13 @@ def create_stream_view(stream: DataFrame, name: str) -> None:
 
 
 def create_scored_table(spark: SparkSession, table: str) -> None:
-    """The four columns, no key, one partition per commit."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCORED_TABLE_SCHEMA)
+    """The four columns, no key."""
+    create_snapshot_table(spark, table, SCORED_TABLE_SCHEMA)
+
+
+def create_snapshot_table(spark: SparkSession, table: str, schema: T.StructType) -> None:
+    """A table without a key, in one partition per commit."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({columns}, snapshot_id BIGINT) "
         "USING parquet PARTITIONED BY (snapshot_id)"
@@ -44,7 +50,7 @@ def create_scored_table(spark: SparkSession, table: str) -> None:
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
-    """The latest state, in the reference columns."""
+    """The latest state, without the snapshot number."""
     return spark.table(table).select(*SCORED_TABLE_SCHEMA.fieldNames())
 
 

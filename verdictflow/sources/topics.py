@@ -14,8 +14,9 @@ class FileTopic:
 
     path: str
 
-    def append(self, messages: DataFrame) -> None:
-        messages.select("value").write.mode("append").text(self.path)
+    def append(self, messages: DataFrame, rows_per_file: int = 0) -> None:
+        writer = messages.select("value").write.mode("append")
+        writer.option("maxRecordsPerFile", rows_per_file).text(self.path)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.text(self.path)

@@ -11,7 +11,7 @@ from verdictflow.fixed_values import COMMIT_INTERVAL
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
 from verdictflow.operators.scorers import Scorer
 from verdictflow.operators.scoring import score
-from verdictflow.operators.snapshots import append_snapshot
+from verdictflow.operators.snapshots import append_snapshot, first_snapshot_of
 from verdictflow.sources.topics import Topic
 
 
@@ -53,14 +53,31 @@ def land_stream(
 def insert_stream(
     rows: DataFrame, table: str, checkpoint: str, interval: str | None = COMMIT_INTERVAL
 ) -> StreamingQuery:
-    """``INSERT INTO table SELECT ...`` for a streaming select."""
+    """``INSERT INTO table SELECT ...`` for a streaming select, a snapshot per commit."""
+    first = first_snapshot_of(rows.sparkSession, table, checkpoint)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        append_snapshot(batch, table, batch_id)
+        append_snapshot(batch, table, first + batch_id)
 
     return start(rows.writeStream.foreachBatch(commit), checkpoint, interval)
 
 
+def paced_replay(
+    spark: SparkSession,
+    staged: Topic,
+    raw: Topic,
+    checkpoint: str,
+    *,
+    per_trigger: int = 1,
+    interval: str | None = "1 second",
+) -> StreamingQuery:
+    """Pass messages on at a bounded rate: so many files or offsets per interval.
+
+    With one message per staged file, the defaults send one message a second.
+    """
+    return start(raw.writer(staged.read_stream(spark, per_trigger)), checkpoint, interval)
+
+
 def append_files(
     rows: DataFrame, path: str, checkpoint: str, interval: str | None = COMMIT_INTERVAL
 ) -> StreamingQuery:
