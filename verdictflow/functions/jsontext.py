@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def json_text(value: Column) -> Column:
     """JSON text of a string column."""
-    listed = F.to_json(F.array(value))
-    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+    return F.btrim(F.to_json(F.array(value)), F.lit("[]"))
 
 
 def json_number(value: Column) -> Column:
@@ -30,6 +30,20 @@ def json_record(fields: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
+def record_of(schema: T.StructType, row: Column | None = None, without: str | None = None) -> Column:
+    """JSON object of the string and integer fields of a schema, in its order.
+
+    The fields are columns of their own, or fields of ``row``.
+    """
+    fields = {}
+    for field in schema:
+        if field.name != without:
+            value = F.col(field.name) if row is None else row[field.name]
+            as_json = json_text if isinstance(field.dataType, T.StringType) else json_number
+            fields[field.name] = as_json(value)
+    return json_record(fields)
+
+
 def lower_hex(text: Column) -> Column:
     """Write control characters as ``\\u001f`` where Spark writes ``\\u001F``."""
     lowered = text

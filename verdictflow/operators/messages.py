@@ -6,40 +6,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictflow.fixed_values import ABSENT_FIELD, ID_FIELD, LABEL_FIELD
-from verdictflow.functions.jsontext import json_number, json_record, json_text, lower_hex
-from verdictflow.schemas import SCORED_SCHEMA, SCORED_TABLE_SCHEMA
+from verdictflow.functions.jsontext import json_text, lower_hex, record_of
+from verdictflow.schemas import RAW_SCHEMA, SCORED_SCHEMA, SCORED_TABLE_SCHEMA
 
 
 def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Split each message into id, outcome and the profile shown to the model.
 
-    Messages may have any fields, in any order, and keep both. A text that is no
-    JSON object fails the job; ``split_malformed`` sets such texts aside first.
+    Messages may have any fields, in any order, and the profile keeps both. A
+    text that is no JSON object fails the job; ``split_malformed`` sets such
+    texts aside first.
+
+    Most messages are ones ``raw_message`` wrote. Those read under the known
+    schema, and are recognised by writing them again: if that gives the same
+    text, the known fields are all there is. Only the others take the long way.
     """
-    value = F.col("value")
+    known = messages.select(*carry, "value", F.from_json("value", RAW_SCHEMA).alias("known"))
+    value, row = F.col("value"), F.col("known")
+    same = known.select(*carry, "value", "known", record_of(RAW_SCHEMA, row).eqNullSafe(value).alias("same"))
+    same = same.withColumn("same", F.col("same") & value.isNotNull())
+
     # The parser reads an empty text as null and stops at the closing brace.
-    whole = F.when(F.rtrim(value).endswith("}"), value).otherwise(
-        F.raise_error(F.concat(F.lit("message is not a JSON object: "), F.coalesce(value, F.lit("NULL"))))
-    )
-    fields = F.from_json(whole, "map<string,variant>", {"mode": "FAILFAST"})
-    parsed = messages.select(*carry, fields.alias("fields"))
-    shown = F.map_filter("fields", lambda name, _: name != LABEL_FIELD)
-    texts = F.transform(
-        F.map_entries(shown), lambda e: F.concat(json_text(e["key"]), F.lit(": "), F.to_json(e["value"]))
+    no_object = F.concat(F.lit("message is not a JSON object: "), F.coalesce(value, F.lit("NULL")))
+    whole = F.when(F.rtrim(value).endswith("}"), value).otherwise(F.raise_error(no_object))
+    as_map = lambda kind: F.when(
+        ~F.col("same"), F.from_json(whole, f"map<string,{kind}>", {"mode": "FAILFAST"})
     )
-    return parsed.select(
+    opened = same.select(*carry, "known", "same", as_map("variant").alias("fields"), as_map("string").alias("texts"))
+
+    shown = F.filter(F.map_keys("fields"), lambda name: name != LABEL_FIELD)
+    members = F.transform(shown, lambda name: F.concat(json_text(name), F.lit(": "), _member_text(name)))
+    open_profile = F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}"))
+    split = opened.select(
         *carry,
-        _whole_field(ID_FIELD, "bigint"),
-        _whole_field(LABEL_FIELD, "int"),
-        lower_hex(F.concat(F.lit("{"), F.array_join(texts, ", "), F.lit("}"))).alias("perfil"),
+        _either(row[ID_FIELD], ID_FIELD, "bigint"),
+        _either(row[LABEL_FIELD], LABEL_FIELD, "int"),
+        F.when(F.col("same"), record_of(RAW_SCHEMA, row, without=LABEL_FIELD)).otherwise(open_profile).alias("perfil"),
     )
+    return split.withColumn("perfil", lower_hex(F.col("perfil")))
+
+
+def _member_text(name: Column) -> Column:
+    """JSON text of a member: quoted if it was, else as it was, on one line."""
+    quoted = F.schema_of_variant(F.col("fields")[name]) == "STRING"
+    text = F.col("texts")[name]
+    return F.when(quoted, json_text(text)).otherwise(F.coalesce(text, F.lit("null")))
 
 
-def _whole_field(name: str, kind: str) -> Column:
+def _either(known: Column, name: str, kind: str) -> Column:
     """A number field; only an absent one gets the default, a null stays null."""
-    present = F.map_contains_key("fields", F.lit(name))
     value = F.variant_get(F.col("fields")[name], "$", kind)
-    return F.when(present, value).otherwise(F.lit(ABSENT_FIELD)).cast(kind).alias(name)
+    opened = F.when(F.map_contains_key("fields", F.lit(name)), value).otherwise(F.lit(ABSENT_FIELD).cast(kind))
+    return F.when(F.col("same"), known).otherwise(opened).alias(name)
 
 
 def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,8 +69,7 @@ def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def scored_message() -> Column:
     """Message text of a scored row."""
-    as_json = {f.name: json_text if f.dataType.typeName() == "string" else json_number for f in SCORED_SCHEMA}
-    return lower_hex(json_record({name: text(F.col(name)) for name, text in as_json.items()}))
+    return lower_hex(record_of(SCORED_SCHEMA))
 
 
 def read_scored(messages: DataFrame) -> DataFrame:

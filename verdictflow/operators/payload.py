@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictflow.fixed_values import ACCOUNT_STATUS, CREDIT_HISTORY, LOAN_PURPOSE
+from verdictflow.fixed_values import ACCOUNT_STATUS, CREDIT_HISTORY, LABEL_FIELD, LOAN_PURPOSE
 from verdictflow.functions.decode import decode, whole_number
-from verdictflow.functions.jsontext import json_number, json_record, json_text, lower_hex
+from verdictflow.functions.jsontext import lower_hex, record_of
 from verdictflow.schemas import RAW_SCHEMA
 
 
@@ -32,14 +32,9 @@ def decode_applications(coded: DataFrame, id_column: str) -> DataFrame:
 
 def raw_message() -> Column:
     """Message text of a decoded application."""
-    return _record(RAW_SCHEMA.fieldNames())
+    return lower_hex(record_of(RAW_SCHEMA))
 
 
 def profile() -> Column:
     """Message text of a decoded application without its outcome."""
-    return _record([n for n in RAW_SCHEMA.fieldNames() if n != "target_real"])
-
-
-def _record(names: list[str]) -> Column:
-    as_json = {n: json_text if RAW_SCHEMA[n].dataType.typeName() == "string" else json_number for n in names}
-    return lower_hex(json_record({n: as_json[n](F.col(n)) for n in names}))
+    return lower_hex(record_of(RAW_SCHEMA, without=LABEL_FIELD))

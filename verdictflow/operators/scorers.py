@@ -65,12 +65,16 @@ class RubricScorer(Scorer):
     productive_purposes = ("Educação", "Negócios")
     high_amount, long_months, risk_limit = 5000, 24, 4
 
+    def open(self) -> None:
+        self.replies = [self._reply(points) for points in range(8)]
+        self.labels = frozenset(LOAN_PURPOSE.values())
+
     def ask(self, profiles: list[str], timeout_s: float) -> list[str | Exception]:
-        return [self._reply(json.loads(profile)) for profile in profiles]
+        return [self._answer(json.loads(profile)) for profile in profiles]
 
-    def _reply(self, fields: dict) -> str:
+    def _answer(self, fields: dict) -> str:
         purpose = fields["proposito_emprestimo"]
-        if purpose not in LOAN_PURPOSE.values():
+        if purpose not in self.labels:
             return json.dumps({"response": json.dumps({"justificativa": f"Propósito {purpose}?"})})
         points = 3 * (fields["status_conta_corrente"] in self.risky_accounts)
         points += 2 * (fields["historico_credito"] in self.risky_histories)
@@ -79,6 +83,9 @@ class RubricScorer(Scorer):
             and fields["duracao_credito_meses"] >= self.long_months
         )
         points += points > 0 and purpose not in self.productive_purposes
+        return self.replies[points]
+
+    def _reply(self, points: int) -> str:
         risky = points >= self.risk_limit
         reason = f"Risco {'alto' if risky else 'baixo'}: {points} de 7 pontos."
         answer = json.dumps({"predicao": 2 if risky else 1, "justificativa": reason})

@@ -37,8 +37,8 @@ from verdictflow.streaming.steps import append_files, counted, insert_stream, la
 MODEL = "rubric"
 
 
-def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_applications(coded_applications(spark, sf_dir), "o_orderkey")
+def _decoded(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
+    return decode_applications(coded_applications(spark, sf_dir, tasks), "o_orderkey")
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -134,8 +134,8 @@ def scan_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 21 fields of written application files under the declared types."""
     path = scratch_path(spark, "file")
-    coded = coded_applications(spark, sf_dir).withColumn("_c4", F.col("_c4").cast("int"))
-    spread(coded.drop("o_orderkey"), _tasks(spark)).write.csv(path, sep=" ")
+    coded = coded_applications(spark, sf_dir, _tasks(spark)).withColumn("_c4", F.col("_c4").cast("int"))
+    coded.drop("o_orderkey").write.csv(path, sep=" ")
     return scan_applications(spark, path)
 
 
@@ -143,8 +143,9 @@ def scan_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
-    requests = _decoded(spark, sf_dir).select("id_cliente", "target_real", *carry, profile().alias("perfil"))
-    return score(spread(requests, _tasks(spark)), RubricScorer(), model_name=MODEL)
+    decoded = _decoded(spark, sf_dir, _tasks(spark))
+    requests = decoded.select("id_cliente", "target_real", *carry, profile().alias("perfil"))
+    return score(requests, RubricScorer(), model_name=MODEL)
 
 
 def score_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +230,7 @@ def _database(spark: SparkSession) -> str:
 
 def _raw_topic(spark: SparkSession, sf_dir: str) -> FileTopic:
     raw = FileTopic(scratch_path(spark, "raw"))
-    raw.append(spread(_decoded(spark, sf_dir), 3).select(raw_message().alias("value")))
+    raw.append(_decoded(spark, sf_dir, _tasks(spark)).select(raw_message().alias("value")))
     return raw
 
 
