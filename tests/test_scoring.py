@@ -1,0 +1,189 @@
+import json
+import sys
+import threading
+import time
+from collections import Counter
+
+import pytest
+from pyspark.cloudpickle import register_pickle_by_value
+
+from verdictflow.operators.scorers import FunctionScorer, RubricScorer, Scorer
+from verdictflow.operators.scoring import as_they_end, score
+
+register_pickle_by_value(sys.modules[__name__])  # workers cannot import the tests
+
+
+def reply(choice, reason=""):
+    return json.dumps({"response": json.dumps({"predicao": choice, "justificativa": reason})})
+
+
+@pytest.fixture
+def profiles(spark):
+    rows = [(i, 1 + i % 2, json.dumps({"id_cliente": i})) for i in range(500)]
+    return spark.createDataFrame(rows, "id_cliente bigint, target_real int, perfil string")
+
+
+def answer(profile):
+    number = json.loads(profile)["id_cliente"]
+    if number % 10 == 0:
+        raise TimeoutError
+    if number % 10 == 1:
+        return "{}"
+    return reply(number % 4, f"n{number}")
+
+
+def expected(number):
+    if number % 10 == 0:
+        return 0, "erro: TimeoutError - "
+    if number % 10 == 1:
+        return 0, "erro: KeyError - 'response'"
+    choice = number % 4
+    return (choice, f"n{number}") if choice in (1, 2) else (0, f"predicao_invalida_recebida={choice}")
+
+
+@pytest.mark.parametrize("partitions", [None, 1, 2, 8])
+@pytest.mark.parametrize("max_in_flight", [1, 4])
+def test_every_row_gets_one_verdict(profiles, partitions, max_in_flight):
+    scored = score(profiles, FunctionScorer(answer), model_name="m", partitions=partitions, max_in_flight=max_in_flight)
+    assert scored.columns == ["id_cliente", "target_real", "predicao", "justificativa", "modelo"]
+    found = Counter(map(tuple, scored.collect()))
+    assert found == Counter((i, 1 + i % 2, *expected(i), "m") for i in range(500))
+
+
+def test_carried_columns_keep_type_and_place(spark):
+    rows = spark.sql("SELECT DATE'2024-01-02' d, '{}' perfil, array(1, 2) a, CAST(NULL AS INT) n, TIMESTAMP_NTZ'2024-01-02 03:04:05' t")
+    scored = score(rows, FunctionScorer(lambda _: reply(1)))
+    assert scored.columns == ["d", "a", "n", "t", "predicao", "justificativa", "modelo"]
+    assert scored.drop("predicao", "justificativa", "modelo").first() == rows.drop("perfil").first()
+    assert scored.first().modelo is None
+
+
+def test_empty_input(profiles):
+    assert score(profiles.where("false"), FunctionScorer(answer)).count() == 0
+
+
+class Watched(Scorer):
+    """Replies with the most calls it has seen running at once in its task."""
+
+    def open(self):
+        self.lock, self.running, self.most = threading.Lock(), 0, 0
+
+    def ask(self, profiles, timeout_s):
+        with self.lock:
+            self.running += 1
+            self.most = max(self.most, self.running)
+        time.sleep(0.01)
+        with self.lock:
+            self.running -= 1
+        return [reply(1, f"{self.most} {len(profiles)} {timeout_s}") for _ in profiles]
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_calls_in_flight_are_bounded_and_reach_the_bound(profiles, limit):
+    reasons = [r.justificativa.split() for r in score(profiles.limit(60).coalesce(1), Watched(), max_in_flight=limit).collect()]
+    assert max(int(most) for most, _, _ in reasons) == limit
+    assert {(size, timeout) for _, size, timeout in reasons} == {("1", "30.0")}
+
+
+def test_partitions_bound_the_tasks(profiles):
+    assert score(profiles, FunctionScorer(answer), partitions=2).rdd.getNumPartitions() == 2
+
+
+class Batched(Watched):
+    batch_size = 64
+
+
+def test_scorers_may_take_batches(profiles):
+    sizes = {int(r.justificativa.split()[1]) for r in score(profiles.coalesce(1), Batched()).collect()}
+    assert sizes == {64, 500 % 64}
+
+
+class Short(Scorer):
+    def ask(self, profiles, timeout_s):
+        return []
+
+
+class Logged(Scorer):
+    def __init__(self, path):
+        self.path = path
+
+    def note(self, text):
+        with open(self.path, "a") as log:
+            log.write(text + "\n")
+
+    def open(self):
+        self.note("open")
+
+    def close(self):
+        self.note("close")
+
+    def ask(self, profiles, timeout_s):
+        if "fail" in profiles[0]:
+            raise RuntimeError("scorer broke")
+        return [reply(1)]
+
+
+def test_opened_and_closed_once_per_task(profiles, tmp_path):
+    path = str(tmp_path / "log")
+    score(profiles, Logged(path), partitions=3).collect()
+    assert Counter(open(path).read().split()) == {"open": 3, "close": 3}
+
+
+def test_closed_when_the_task_fails(spark, tmp_path):
+    path = str(tmp_path / "log")
+    with pytest.raises(Exception, match="scorer broke"):
+        score(spark.createDataFrame([("fail",)], "perfil string").coalesce(1), Logged(path)).collect()
+    assert open(path).read().split() == ["open", "close"]
+
+
+def test_missing_replies_fail_the_job(profiles):
+    with pytest.raises(Exception, match="0 replies to 1 profiles"):
+        score(profiles, Short()).collect()
+
+
+def test_call_that_never_ends_fails_the_job(profiles):
+    slow = FunctionScorer(lambda _: time.sleep(2) or reply(1))
+    with pytest.raises(Exception, match="took longer than 0.2 s"):
+        score(profiles.limit(1), slow, operator_timeout_s=0.2).collect()
+
+
+def test_fast_calls_pass_slow_ones():
+    def call(seconds):
+        time.sleep(seconds)
+        return seconds
+
+    assert [item for item, _ in as_they_end(iter([0.3, 0.01, 0.02]), call, 2, 10)] == [0.01, 0.02, 0.3]
+
+
+def test_items_are_taken_only_as_calls_end():
+    taken = []
+
+    def items():
+        for i in range(10):
+            taken.append(i)
+            yield i
+
+    results = as_they_end(items(), lambda i: i, 2, 10)
+    next(results)
+    assert len(taken) <= 4
+    assert len(list(results)) == 9
+
+
+EXAMPLES = [
+    (">= 200 DM (Saldo Alto)", 12, "Créditos pagos neste banco", "Educação", 1500, 1),
+    ("< 0 DM (Saldo Negativo)", 48, "Atrasos passados", "Carro novo", 9500, 2),
+    ("< 0 DM (Saldo Negativo)", 48, "Atrasos passados", "A48", 9500, 0),
+]
+
+
+@pytest.mark.parametrize(("status", "months", "history", "purpose", "amount", "choice"), EXAMPLES)
+def test_rubric_agrees_with_the_worked_examples(spark, status, months, history, purpose, amount, choice):
+    fields = {
+        "status_conta_corrente": status,
+        "duracao_credito_meses": months,
+        "historico_credito": history,
+        "proposito_emprestimo": purpose,
+        "valor_credito_solicitado": amount,
+    }
+    requests = spark.createDataFrame([(json.dumps(fields),)], "perfil string")
+    assert score(requests, RubricScorer()).first().predicao == choice
