@@ -31,20 +31,26 @@ def list_snapshots(spark: SparkSession, table: str) -> DataFrame:
     )
 
 
-def first_snapshot_of(spark: SparkSession, table: str, checkpoint: str) -> int:
-    """Number of a stream's first commit: after all others, the same on restart.
-
-    A new checkpoint counts its batches from 0 again; the table remembers where
-    each one began. One writer at a time may append.
+def snapshot_of(spark: SparkSession, table: str, stream: str, batch_id: int) -> int:
+    """Number under which a stream commits a micro-batch to the table.
+
+    Every checkpoint counts its batches from 0, so the batch number alone would
+    let one stream replace what another committed. The table notes the last
+    commit of each stream instead: a batch that is run again gets its number
+    again, any other batch gets a new one. Streams may take turns, but should not
+    commit at the same time.
     """
-    key = f"first_snapshot {checkpoint}"
-    properties = {p.key: p.value for p in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
-    if key in properties:
-        return int(properties[key])
-    last = list_snapshots(spark, table).agg(F.max("snapshot_id")).first()[0]
-    first = 0 if last is None else last + 1
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{key}' = '{first}')")
-    return first
+    key = "commit of "
+    properties = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()
+    commits = {p.key.removeprefix(key): p.value.split(":") for p in properties if p.key.startswith(key)}
+    batch, snapshot = commits.get(stream, (None, None))
+    if batch == str(batch_id):
+        return int(snapshot)
+    taken = list_snapshots(spark, table).agg(F.max("snapshot_id")).first()[0]
+    last = max([-1 if taken is None else taken, *(int(s) for _, s in commits.values())])
+    quoted = (key + stream).replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{quoted}' = '{batch_id}:{last + 1}')")
+    return last + 1
 
 
 def rollback_to(spark: SparkSession, table: str, snapshot_id: int) -> None:

@@ -11,7 +11,7 @@ from verdictflow.fixed_values import COMMIT_INTERVAL
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
 from verdictflow.operators.scorers import Scorer
 from verdictflow.operators.scoring import score
-from verdictflow.operators.snapshots import append_snapshot, first_snapshot_of
+from verdictflow.operators.snapshots import append_snapshot, snapshot_of
 from verdictflow.sources.topics import Topic
 
 
@@ -54,10 +54,9 @@ def insert_stream(
     rows: DataFrame, table: str, checkpoint: str, interval: str | None = COMMIT_INTERVAL
 ) -> StreamingQuery:
     """``INSERT INTO table SELECT ...`` for a streaming select, a snapshot per commit."""
-    first = first_snapshot_of(rows.sparkSession, table, checkpoint)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        append_snapshot(batch, table, first + batch_id)
+        append_snapshot(batch, table, snapshot_of(batch.sparkSession, table, checkpoint, batch_id))
 
     return start(rows.writeStream.foreachBatch(commit), checkpoint, interval)
 
