@@ -16,7 +16,7 @@ from verdictflow.session import scratch_path
 from verdictflow.sources.tables import create_database, create_scored_table, create_stream_view, read_table
 from verdictflow.sources.topics import FileTopic, KafkaTopic
 from verdictflow.streaming.metrics import CommitCounts
-from verdictflow.streaming.steps import append_files, counted, insert_stream, land_stream, paced_replay, score_stream
+from verdictflow.streaming.steps import counted, insert_stream, land_stream, paced_replay, score_stream
 
 register_pickle_by_value(sys.modules[__name__])  # workers cannot import the tests
 
@@ -86,8 +86,35 @@ def test_restart_adds_nothing_and_new_input_is_scored_once(spark, raw, texts, pa
 
 def test_consumers_have_their_own_progress(spark, raw, path):
     for name in ("one", "two"):
-        run(append_files(raw.read_stream(spark), path(name), path(f"progress-{name}"), interval=None))
-        assert spark.read.parquet(path(name)).count() == 40
+        copy = FileTopic(path(name))
+        run(paced_replay(spark, raw, copy, path(f"progress-{name}"), per_trigger=4, interval=None))
+        assert copy.read(spark).count() == 40
+
+
+def test_fresh_checkpoint_scores_into_the_same_topic_again(spark, raw, path):
+    scored = FileTopic(path("scored"))
+    for name in ("one", "two", "two"):
+        run(score_stream(spark, raw, scored, SCORER, path(f"progress-{name}"), per_trigger=1, interval=None))
+    assert Counter(r.id_cliente for r in scored_rows(spark, scored).collect()) == Counter({i: 2 for i in range(40)})
+
+
+def test_batches_and_streams_share_a_topic(spark, raw, texts, path):
+    copy = FileTopic(path("copy"))
+    copy.append(texts("first"))
+    run(paced_replay(spark, raw, copy, path("progress"), per_trigger=4, interval=None))
+    copy.append(texts("last"))
+    assert copy.read(spark).count() == 42
+
+
+def test_commit_that_is_there_is_not_made_again(spark, texts, path):
+    topic = FileTopic(path("topic"))
+    topic.append(texts("a", "b"), commit="s-0")
+    topic.append(texts("c", "d"), commit="s-0")
+    topic.append(texts("e"), commit="s-1")
+    assert sorted(r.value for r in topic.read(spark).collect()) == ["a", "b", "e"]
+    os.remove(path("topic/s-0/_SUCCESS"))
+    topic.append(texts("f"), commit="s-0")
+    assert sorted(r.value for r in topic.read(spark).collect()) == ["e", "f"]
 
 
 def test_fresh_checkpoint_reads_everything_again(spark, raw, path, table):
@@ -145,11 +172,11 @@ def test_paced_replay(spark, texts, path):
     assert raw.read(spark).count() == 6
 
 
-def test_commits_are_counted_as_they_pass(spark, raw, path):
+def test_commits_are_counted_as_they_pass(spark, raw, path, table):
     rows = score(parse_messages(raw.read_stream(spark, per_trigger=1)), SCORER)
     watched = counted(rows, "scored", fallbacks=F.count_if(F.col("predicao") == 0))
     with CommitCounts("scored") as counts:
-        run(append_files(watched, path("table"), path("progress"), interval=None))
+        run(insert_stream(watched.drop("modelo"), table, path("progress"), interval=None))
         assert counts.ended.wait(60)
     assert sorted(counts.batches) == [0, 1, 2, 3]
     assert sum(c.rows for c in counts.batches.values()) == 40
@@ -162,14 +189,6 @@ def test_bad_message_fails_the_stream(spark, raw, texts, path):
         run(score_stream(spark, raw, FileTopic(path("scored")), SCORER, path("progress"), interval=None))
 
 
-def test_uncommitted_files_are_not_read(spark, raw, path):
-    run(append_files(raw.read_stream(spark), path("table"), path("progress"), interval=None))
-    source = next(f for f in os.listdir(path("table")) if f.endswith(".parquet"))
-    with open(f"{path('table')}/{source}", "rb") as done, open(f"{path('table')}/left-over.parquet", "wb") as copy:
-        copy.write(done.read())
-    assert spark.read.parquet(path("table")).count() == 40
-
-
 def test_scored_text_survives_a_round_trip(spark, texts):
     rows = score(parse_messages(texts(message(1))), FunctionScorer(lambda _: json.dumps({"response": json.dumps({"predicao": 1, "justificativa": 'a "b"\n\\ \x1f'})})))
     assert read_scored(rows.select(scored_message().alias("value"))).first().justificativa == 'a "b"\n\\ \x1f'

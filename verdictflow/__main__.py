@@ -1,4 +1,4 @@
-"""The four steps as commands: ``spark-submit -m verdictflow <step> ...``.
+"""The four steps as commands: ``spark-submit run.py <step> ...``.
 
 A topic is a folder, or ``kafka://host:port[,host:port]/topic``.
 """

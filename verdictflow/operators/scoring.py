@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
@@ -40,6 +41,8 @@ def score(
     run again calls the model again, so keep speculation off and store the result
     before using it twice.
     """
+    if requests.sparkSession.conf.get("spark.speculation", "false") == "true":
+        warnings.warn("spark.speculation is on: slow model calls will be made twice", stacklevel=2)
     if partitions:
         requests = requests.repartition(partitions)
     carried = [f for f in requests.schema if f.name != "perfil"]

@@ -32,7 +32,7 @@ from verdictflow.sources.tables import (
 )
 from verdictflow.sources.topics import FileTopic
 from verdictflow.streaming.metrics import CommitCounts
-from verdictflow.streaming.steps import append_files, counted, insert_stream, land_stream, score_stream
+from verdictflow.streaming.steps import counted, insert_stream, land_stream, score_stream
 
 MODEL = "rubric"
 
@@ -196,26 +196,27 @@ def _event_stream(spark: SparkSession, topic: FileTopic, per_trigger: int | None
     return topic.read_stream(spark, per_trigger).select(row.alias("row")).select("row.*")
 
 
-def _landed(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    return spark.read.schema(rows.schema).parquet(path)
+def _event_table(spark: SparkSession, rows: DataFrame) -> str:
+    name = f"{_database(spark)}.events"
+    create_snapshot_table(spark, name, rows.schema)
+    return name
 
 
 def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event messages appended to a table in bounded commits, then a rerun that adds none."""
     topic = _event_topic(spark, sf_dir)
-    path, checkpoint = scratch_path(spark, "table"), scratch_path(spark, "progress")
     rows = _event_stream(spark, topic, per_trigger=_tasks(spark))
+    name, checkpoint = _event_table(spark, rows), scratch_path(spark, "progress")
     for _ in range(2):
-        append_files(rows, path, checkpoint, interval=None).awaitTermination()
-    return _landed(spark, path, rows)
+        insert_stream(rows, name, checkpoint, interval=None).awaitTermination()
+    return spark.table(name).drop("snapshot_id")
 
 
 def replay_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same topic read twice from its start into one table: copies stay."""
     topic = _event_topic(spark, sf_dir)
-    name = f"{_database(spark)}.events"
     rows = _event_stream(spark, topic, per_trigger=_tasks(spark))
-    create_snapshot_table(spark, name, rows.schema)
+    name = _event_table(spark, rows)
     for _ in range(2):
         insert_stream(rows, name, scratch_path(spark, "progress"), interval=None).awaitTermination()
     return spark.table(name).groupBy("event_id", "event_type").agg(F.count("*").alias("copies"))
@@ -239,11 +240,11 @@ def score_and_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, scored = _raw_topic(spark, sf_dir), FileTopic(scratch_path(spark, "scored"))
     name = f"{_database(spark)}.credit_scored"
     create_scored_table(spark, name)
+    bounds = {"per_trigger": 4 * _tasks(spark), "interval": None}
     score_stream(
-        spark, raw, scored, RubricScorer(), scratch_path(spark, "progress"),
-        interval=None, model_name=MODEL, partitions=_tasks(spark),
+        spark, raw, scored, RubricScorer(), scratch_path(spark, "progress"), model_name=MODEL, **bounds
     ).awaitTermination()
-    land_stream(spark, scored, name, scratch_path(spark, "progress"), interval=None).awaitTermination()
+    land_stream(spark, scored, name, scratch_path(spark, "progress"), **bounds).awaitTermination()
     return read_table(spark, name)
 
 
@@ -272,7 +273,7 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.count_if(F.col("event_type") == "error")
     rows = counted(_event_stream(spark, topic, per_trigger=_tasks(spark)), "ingest", failed=failed)
     with CommitCounts("ingest") as counts:
-        query = append_files(rows, scratch_path(spark, "table"), scratch_path(spark, "progress"), interval=None)
+        query = insert_stream(rows, _event_table(spark, rows), scratch_path(spark, "progress"), interval=None)
         query.awaitTermination()
         counts.ended.wait(60)
     seen = [(batch, c.rows, c.failed) for batch, c in counts.batches.items()]
@@ -285,9 +286,8 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_snapshots(spark: SparkSession, sf_dir: str) -> str:
     """Three commits in time order; each reads only the row groups of its time."""
-    name = f"{_database(spark)}.events"
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    create_snapshot_table(spark, name, events.schema)
+    name = _event_table(spark, events)
     second, third = "TIMESTAMP_NTZ '2024-01-11 00:00:00'", "TIMESTAMP_NTZ '2024-01-21 00:00:00'"
     times = [f"ts < {second}", f"ts >= {second} AND ts < {third}", f"ts >= {third}"]
     for snapshot, time in enumerate(times):

@@ -39,6 +39,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/verdictflow/{name}-{uuid.uuid4().hex}"
 
 
+def file_exists(spark: SparkSession, path: str) -> bool:
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
+
+
 def spread(df: DataFrame, at_least: int) -> DataFrame:
     """Give a narrow plan at least that many tasks; a wide scan is left alone."""
     if df.isStreaming or df.rdd.getNumPartitions() < at_least:

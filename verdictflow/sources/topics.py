@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from verdictflow.session import file_exists
+
 
 @dataclass(frozen=True)
 class FileTopic:
-    """A folder of text files, one message per line."""
+    """A folder of text files, one message per line, one subfolder per commit."""
 
     path: str
 
-    def append(self, messages: DataFrame, rows_per_file: int = 0) -> None:
-        writer = messages.select("value").write.mode("append")
-        writer.option("maxRecordsPerFile", rows_per_file).text(self.path)
+    def append(self, messages: DataFrame, rows_per_file: int = 0, commit: str | None = None) -> None:
+        """Add messages. A named commit that is there in full is not made again."""
+        folder = f"{self.path}/{commit or uuid.uuid4().hex}"
+        if commit and file_exists(messages.sparkSession, f"{folder}/_SUCCESS"):
+            return
+        writer = messages.select("value").write.mode("overwrite")
+        writer.option("maxRecordsPerFile", rows_per_file).text(folder)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.text(self.path)
+        return spark.read.option("recursiveFileLookup", True).text(self.path)
 
     def read_stream(self, spark: SparkSession, per_trigger: int | None = None) -> DataFrame:
         """From the oldest file on; ``per_trigger`` bounds the files of one commit."""
-        reader = spark.readStream.schema("value string")
+        reader = spark.readStream.option("recursiveFileLookup", True)
         if per_trigger:
             reader = reader.option("maxFilesPerTrigger", per_trigger)
         return reader.text(self.path)
 
-    def writer(self, messages: DataFrame) -> DataStreamWriter:
-        return messages.select("value").writeStream.format("text").option("path", self.path)
+    def writer(self, messages: DataFrame, checkpoint: str) -> DataStreamWriter:
+        """Commits carry the stream's name, so streams can write one topic in turn.
+
+        Spark's own file sink would take the batches of a second checkpoint for
+        ones it has already written, and drop them.
+        """
+        stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:32]
+
+        def commit(batch: DataFrame, batch_id: int) -> None:
+            self.append(batch, commit=f"{stream}-{batch_id}")
+
+        return messages.select("value").writeStream.foreachBatch(commit)
 
 
 @dataclass(frozen=True)
@@ -60,7 +78,7 @@ class KafkaTopic:
             reader = reader.option("maxOffsetsPerTrigger", per_trigger)
         return reader.load().selectExpr("CAST(value AS STRING) value")
 
-    def writer(self, messages: DataFrame) -> DataStreamWriter:
+    def writer(self, messages: DataFrame, checkpoint: str) -> DataStreamWriter:
         return messages.select("value").writeStream.format("kafka").options(**self._options(), topic=self.name)
 
 

@@ -34,7 +34,7 @@ def score_stream(
     """
     requests = parse_messages(raw.read_stream(spark, per_trigger))
     messages = score(requests, scorer, **limits).select(scored_message().alias("value"))
-    return start(scored.writer(messages), checkpoint, interval)
+    return start(scored.writer(messages, checkpoint), checkpoint, interval)
 
 
 def land_stream(
@@ -74,15 +74,7 @@ def paced_replay(
 
     With one message per staged file, the defaults send one message a second.
     """
-    return start(raw.writer(staged.read_stream(spark, per_trigger)), checkpoint, interval)
-
-
-def append_files(
-    rows: DataFrame, path: str, checkpoint: str, interval: str | None = COMMIT_INTERVAL
-) -> StreamingQuery:
-    """Append to Parquet files that become visible commit by commit."""
-    writer = rows.writeStream.format("parquet").outputMode("append").option("path", path)
-    return start(writer, checkpoint, interval)
+    return start(raw.writer(staged.read_stream(spark, per_trigger), checkpoint), checkpoint, interval)
 
 
 def start(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> StreamingQuery:
