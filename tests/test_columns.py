@@ -28,10 +28,15 @@ def test_whole_number_truncates(spark):
     assert [r[0] for r in rows.select(whole_number(F.col("n"), "n")).collect()] == [12, -3, 5]
 
 
+@pytest.mark.parametrize("ansi", [True, False])
 @pytest.mark.parametrize(("value", "kind"), [(None, "double"), (float("nan"), "double"), (3e10, "double"), ("x", "string")])
-def test_whole_number_fails_on_what_is_none(spark, value, kind):
-    with pytest.raises(PySparkException):
-        spark.createDataFrame([(value,)], f"n {kind}").select(whole_number(F.col("n"), "n")).collect()
+def test_whole_number_fails_on_what_is_none(spark, value, kind, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(PySparkException, match="no whole number in n"):
+            spark.createDataFrame([(value,)], f"n {kind}").select(whole_number(F.col("n"), "n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
 
 
 ANY_TEXT = st.none() | st.text(st.characters(blacklist_categories=["Cs"]))

@@ -46,6 +46,12 @@ def test_profile_is_the_message_without_its_label(texts, fields, separators):
     assert row.target_real == fields.get("target_real", -1)
 
 
+def test_repeated_names_keep_the_last_value(texts):
+    text = '{"id_cliente": 1, "a": "x", "b": null, "id_cliente": 5, "target_real": 1, "a": 7, "target_real": 2}'
+    row = parse_messages(texts(text)).first()
+    assert tuple(row) == (5, 2, '{"id_cliente": 5, "a": 7, "b": null}')
+
+
 def test_nested_fields_keep_their_order(texts):
     row = parse_messages(texts('{"n": {"b": 1, "a": [1, "x, y"]}, "target_real": 1}')).first()
     assert row.perfil == '{"n": {"b":1,"a":[1,"x, y"]}}'

@@ -11,7 +11,7 @@ from verdictflow.operators.messages import parse_messages, read_scored, scored_m
 from verdictflow.operators.scorers import FunctionScorer
 from verdictflow.operators.scoring import score
 from verdictflow.operators.snapshots import list_snapshots, snapshot_of
-from verdictflow.plans.steps import score_batch, scored_rows
+from verdictflow.plans.steps import echo, score_batch, scored_rows
 from verdictflow.session import scratch_path
 from verdictflow.sources.tables import create_database, create_scored_table, create_stream_view, read_table
 from verdictflow.sources.topics import FileTopic, KafkaTopic
@@ -194,6 +194,30 @@ def test_scored_text_survives_a_round_trip(spark, texts):
     assert read_scored(rows.select(scored_message().alias("value"))).first().justificativa == 'a "b"\n\\ \x1f'
 
 
+def test_commits_at_an_interval_until_stopped(spark, raw, texts, path, table):
+    scored = FileTopic(path("scored"))
+    scoring = score_stream(spark, raw, scored, SCORER, path("p1"), interval="1 second")
+    scoring.processAllAvailable()
+    landing = land_stream(spark, scored, table, path("p2"), interval="1 second")
+    raw.append(texts(message(40)))
+    scoring.processAllAvailable()
+    landing.processAllAvailable()
+    assert read_table(spark, table).count() == 41
+    for query in (scoring, landing):
+        query.stop()
+        assert not query.isActive and query.exception() is None
+
+
+def test_echo(spark, raw, path):
+    query = run(echo(raw.read_stream(spark), path("progress"), interval=None))
+    assert sum(p.numInputRows for p in query.recentProgress) == 40
+
+
+def test_no_event_time(spark, raw):
+    rows = score(parse_messages(raw.read_stream(spark)), SCORER)
+    assert "EventTimeWatermark" not in rows._jdf.queryExecution().logical().toString()
+
+
 def test_kafka_options():
     topic = KafkaTopic("b1:9092,b2:9092", "credit_applications_raw", group="scoring")
     assert topic._source() == {

@@ -18,6 +18,5 @@ def decode(code: Column, labels: dict[str, str]) -> Column:
 
 
 def whole_number(value: Column, what: str) -> Column:
-    """Integer part of a number; a missing value fails the job, as a bad one does."""
-    missing = F.raise_error(F.lit(f"no whole number in {what}"))
-    return F.when(value.isNull(), missing).otherwise(value).cast("int")
+    """Integer part of a number; a missing or bad value fails the job."""
+    return F.coalesce(value.try_cast("int"), F.raise_error(F.lit(f"no whole number in {what}")).cast("int"))

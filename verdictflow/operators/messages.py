@@ -33,6 +33,7 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
         ~F.col("same"), F.from_json(whole, f"map<string,{kind}>", {"mode": "FAILFAST"})
     )
     opened = same.select(*carry, "known", "same", as_map("variant").alias("fields"), as_map("string").alias("texts"))
+    opened = opened.withColumns({name: _last_of_each(F.col(name)) for name in ("fields", "texts")})
 
     shown = F.filter(F.map_keys("fields"), lambda name: name != LABEL_FIELD)
     members = F.transform(shown, lambda name: F.concat(json_text(name), F.lit(": "), _member_text(name)))
@@ -46,6 +47,15 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     return split.withColumn("perfil", lower_hex(F.col("perfil")))
 
 
+def _last_of_each(members: Column) -> Column:
+    """A repeated name keeps its first place and its last value."""
+    names = F.map_keys(members)
+    once = F.array_distinct(names)
+    of_name = lambda name: F.filter(F.map_entries(members), lambda e: e["key"] == name)
+    last = F.transform(once, lambda name: F.element_at(of_name(name), -1)["value"])
+    return F.when(F.size(names) > F.size(once), F.map_from_arrays(once, last)).otherwise(members)
+
+
 def _member_text(name: Column) -> Column:
     """JSON text of a member: quoted if it was, else as it was, on one line."""
     quoted = F.schema_of_variant(F.col("fields")[name]) == "STRING"

@@ -7,7 +7,9 @@ import logging
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
+from verdictflow.fixed_values import COMMIT_INTERVAL
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
 from verdictflow.operators.payload import decode_applications, raw_message
 from verdictflow.operators.row_id import number_rows
@@ -16,6 +18,7 @@ from verdictflow.operators.scoring import score
 from verdictflow.sources.files import scan_applications
 from verdictflow.sources.tables import head_rows, read_table
 from verdictflow.sources.topics import Topic
+from verdictflow.streaming.steps import start
 
 log = logging.getLogger(__name__)
 
@@ -69,6 +72,7 @@ def show(spark: SparkSession, table: str, rows: int = 10) -> None:
     head_rows(read_table(spark, table), "id_cliente").show(rows, truncate=False)
 
 
-def echo(messages: DataFrame):
+def echo(messages: DataFrame, checkpoint: str, interval: str | None = COMMIT_INTERVAL) -> StreamingQuery:
     """Print the messages of a stream as they pass; for looking only."""
-    return messages.select(F.col("value")).writeStream.format("console").option("truncate", False).start()
+    writer = messages.select("value").writeStream.format("console").option("truncate", False)
+    return start(writer, checkpoint, interval)
