@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +24,11 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     schema, and are recognised by writing them again: if that gives the same
     text, the known fields are all there is. Only the others take the long way.
     """
-    known = messages.select(*carry, "value", F.from_json("value", RAW_SCHEMA).alias("known"))
-    value, row = F.col("value"), F.col("known")
-    same = known.select(*carry, "value", "known", record_of(RAW_SCHEMA, row).eqNullSafe(value).alias("same"))
-    same = same.withColumn("same", F.col("same") & value.isNotNull())
+    value, known = F.col("value"), F.col("known")
+    names_known = reduce(and_, (value.contains(f'"{name}": ') for name in RAW_SCHEMA.fieldNames()))
+    as_known = messages.select(*carry, "value", F.when(names_known, F.from_json("value", RAW_SCHEMA)).alias("known"))
+    same = known.isNotNull() & record_of(RAW_SCHEMA, known).eqNullSafe(value)
+    checked = as_known.select(*carry, "value", "known", same.alias("same"))
 
     # The parser reads an empty text as null and stops at the closing brace.
     no_object = F.concat(F.lit("message is not a JSON object: "), F.coalesce(value, F.lit("NULL")))
@@ -32,28 +36,28 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     as_map = lambda kind: F.when(
         ~F.col("same"), F.from_json(whole, f"map<string,{kind}>", {"mode": "FAILFAST"})
     )
-    opened = same.select(*carry, "known", "same", as_map("variant").alias("fields"), as_map("string").alias("texts"))
-    opened = opened.withColumns({name: _last_of_each(F.col(name)) for name in ("fields", "texts")})
+    opened = checked.select(*carry, "known", "same", as_map("variant").alias("fields"), as_map("string").alias("texts"))
+    opened = opened.withColumn("names", F.array_distinct(F.map_keys("fields")))
+    opened = opened.withColumns({name: _last_of_each(name) for name in ("fields", "texts")})
 
-    shown = F.filter(F.map_keys("fields"), lambda name: name != LABEL_FIELD)
+    shown = F.filter("names", lambda name: name != LABEL_FIELD)
     members = F.transform(shown, lambda name: F.concat(json_text(name), F.lit(": "), _member_text(name)))
     open_profile = F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}"))
     split = opened.select(
         *carry,
-        _either(row[ID_FIELD], ID_FIELD, "bigint"),
-        _either(row[LABEL_FIELD], LABEL_FIELD, "int"),
-        F.when(F.col("same"), record_of(RAW_SCHEMA, row, without=LABEL_FIELD)).otherwise(open_profile).alias("perfil"),
+        _either(known[ID_FIELD], ID_FIELD, "bigint"),
+        _either(known[LABEL_FIELD], LABEL_FIELD, "int"),
+        F.when(F.col("same"), record_of(RAW_SCHEMA, known, without=LABEL_FIELD)).otherwise(open_profile).alias("perfil"),
     )
     return split.withColumn("perfil", lower_hex(F.col("perfil")))
 
 
-def _last_of_each(members: Column) -> Column:
+def _last_of_each(members: str) -> Column:
     """A repeated name keeps its first place and its last value."""
-    names = F.map_keys(members)
-    once = F.array_distinct(names)
     of_name = lambda name: F.filter(F.map_entries(members), lambda e: e["key"] == name)
-    last = F.transform(once, lambda name: F.element_at(of_name(name), -1)["value"])
-    return F.when(F.size(names) > F.size(once), F.map_from_arrays(once, last)).otherwise(members)
+    last = F.transform("names", lambda name: F.element_at(of_name(name), -1)["value"])
+    repeated = F.size("names") < F.size(members)
+    return F.when(repeated, F.map_from_arrays("names", last)).otherwise(F.col(members))
 
 
 def _member_text(name: Column) -> Column:
