@@ -98,11 +98,6 @@ def test_scorers_may_take_batches(profiles):
     assert sizes == {64, 500 % 64}
 
 
-class Short(Scorer):
-    def ask(self, profiles, timeout_s):
-        return []
-
-
 class Logged(Scorer):
     def __init__(self, path):
         self.path = path
@@ -118,27 +113,40 @@ class Logged(Scorer):
         self.note("close")
 
     def ask(self, profiles, timeout_s):
-        if "fail" in profiles[0]:
-            raise RuntimeError("scorer broke")
-        return [reply(1)]
+        self.note("ask")
+        return [] if "fail" in profiles[0] else [reply(1)]
 
 
 def test_opened_and_closed_once_per_task(profiles, tmp_path):
     path = str(tmp_path / "log")
     score(profiles, Logged(path), partitions=3).collect()
-    assert Counter(open(path).read().split()) == {"open": 3, "close": 3}
+    assert Counter(open(path).read().split()) == {"open": 3, "ask": 500, "close": 3}
 
 
 def test_closed_when_the_task_fails(spark, tmp_path):
     path = str(tmp_path / "log")
-    with pytest.raises(Exception, match="scorer broke"):
+    with pytest.raises(Exception, match="0 replies to 1 profiles"):
         score(spark.createDataFrame([("fail",)], "perfil string").coalesce(1), Logged(path)).collect()
-    assert open(path).read().split() == ["open", "close"]
+    assert open(path).read().split() == ["open", "ask", "close"]
 
 
-def test_missing_replies_fail_the_job(profiles):
-    with pytest.raises(Exception, match="0 replies to 1 profiles"):
-        score(profiles, Short()).collect()
+class Broken(Scorer):
+    batch_size = 64
+
+    def ask(self, profiles, timeout_s):
+        raise OSError("model is gone")
+
+
+def test_scorer_that_breaks_gives_fallback_rows(profiles):
+    verdicts = Counter((r.predicao, r.justificativa) for r in score(profiles, Broken()).collect())
+    assert verdicts == {(0, "erro: OSError - model is gone"): 500}
+
+
+def test_one_bad_profile_does_not_spoil_its_batch(spark):
+    rows = spark.createDataFrame([(p,) for p in ("nope", "{}", "[]", WORKED)], "perfil string").coalesce(1)
+    reasons = [r.justificativa for r in score(rows, RubricScorer()).collect()]
+    assert reasons[0].startswith("erro: JSONDecodeError - ") and reasons[1] == "erro: KeyError - 'proposito_emprestimo'"
+    assert reasons[2].startswith("erro: TypeError - ") and reasons[3].startswith("Risco baixo")
 
 
 def test_call_that_never_ends_fails_the_job(profiles):
@@ -169,6 +177,13 @@ def test_items_are_taken_only_as_calls_end():
     assert len(list(results)) == 9
 
 
+def as_profile(status, months, history, purpose, amount):
+    names = ["status_conta_corrente", "duracao_credito_meses", "historico_credito"]
+    return json.dumps(dict(zip([*names, "proposito_emprestimo", "valor_credito_solicitado"], (status, months, history, purpose, amount))))
+
+
+WORKED = as_profile(">= 200 DM (Saldo Alto)", 12, "Créditos pagos neste banco", "Educação", 1500)
+
 EXAMPLES = [
     (">= 200 DM (Saldo Alto)", 12, "Créditos pagos neste banco", "Educação", 1500, 1),
     ("< 0 DM (Saldo Negativo)", 48, "Atrasos passados", "Carro novo", 9500, 2),
@@ -178,12 +193,5 @@ EXAMPLES = [
 
 @pytest.mark.parametrize(("status", "months", "history", "purpose", "amount", "choice"), EXAMPLES)
 def test_rubric_agrees_with_the_worked_examples(spark, status, months, history, purpose, amount, choice):
-    fields = {
-        "status_conta_corrente": status,
-        "duracao_credito_meses": months,
-        "historico_credito": history,
-        "proposito_emprestimo": purpose,
-        "valor_credito_solicitado": amount,
-    }
-    requests = spark.createDataFrame([(json.dumps(fields),)], "perfil string")
+    requests = spark.createDataFrame([(as_profile(status, months, history, purpose, amount),)], "perfil string")
     assert score(requests, RubricScorer()).first().predicao == choice

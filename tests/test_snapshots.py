@@ -1,6 +1,6 @@
 import pytest
 
-from verdictflow.operators.snapshots import append_snapshot, list_snapshots, read_as_of, rollback_to
+from verdictflow.operators.snapshots import append_snapshot, list_snapshots, read_as_of, rollback_to, snapshot_counts
 from verdictflow.session import scratch_path
 from verdictflow.sources import tables
 
@@ -44,6 +44,11 @@ def test_overwrite_mode_of_the_session_does_not_matter(spark, table):
     assert ids(spark.table(table)) == [0, 1, 2, 10, 11, 12, 30, 31, 32]
 
 
+def test_counts_per_commit(spark, table):
+    append_snapshot(spark.createDataFrame([(99, "x")], "id int, text string"), table, 2)
+    assert {tuple(r) for r in snapshot_counts(spark, table).collect()} == {(0, 3), (1, 3), (2, 1), (3, 3)}
+
+
 def test_rollback(spark, table):
     rollback_to(spark, table, 1)
     assert ids(spark.table(table)) == [0, 1, 2, 10, 11, 12]

@@ -74,6 +74,19 @@ def test_stream_scores_like_batch(spark, raw, path):
     assert '{"id_cliente": 5, "target_real": 1, "predicao": 0, "justificativa": "erro: ConnectionError - down", "modelo": "m"}' in rows[0]
 
 
+def test_model_is_asked_once_per_row(spark, raw, path, table):
+    def noted(profile):
+        with open(path("asked"), "a") as log:
+            log.write("x")
+        return answer(profile)
+
+    scored = FileTopic(path("scored"))
+    run(score_stream(spark, raw, scored, FunctionScorer(noted), path("p1"), per_trigger=2, interval=None))
+    run(land_stream(spark, scored, table, path("p2"), interval=None))
+    assert read_table(spark, table).count() == 40
+    assert os.path.getsize(path("asked")) == 40
+
+
 def test_restart_adds_nothing_and_new_input_is_scored_once(spark, raw, texts, path):
     scored = FileTopic(path("scored"))
     for _ in range(2):

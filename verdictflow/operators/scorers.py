@@ -16,10 +16,11 @@ from verdictflow.fixed_values import LOAN_PURPOSE, PROMPT
 class Scorer:
     """Answers profiles. Pickled to the workers, opened and closed once per task.
 
-    ``ask`` gets up to ``batch_size`` profiles and returns as many replies; a
-    reply is the envelope text, or the exception that came instead. ``ask`` runs
-    on several threads at once when more than one call may be in flight, and has
-    to give up on its own after ``timeout_s``.
+    A subclass gives ``answer``, from a profile to the text of the reply envelope;
+    what it raises takes the reply's place. One that answers many at once gives
+    ``ask`` instead, which gets up to ``batch_size`` profiles and returns as many
+    replies or exceptions. Both run on several threads when more than one call may
+    be in flight, and have to give up on their own after ``timeout_s``.
     """
 
     batch_size = 1
@@ -30,26 +31,29 @@ class Scorer:
     def close(self) -> None:
         pass
 
-    def ask(self, profiles: list[str], timeout_s: float) -> list[str | Exception]:
+    def answer(self, profile: str, timeout_s: float) -> str:
         raise NotImplementedError
 
-
-class FunctionScorer(Scorer):
-    """A function from one profile to one envelope; what it raises is the reply."""
-
-    def __init__(self, answer: Callable[[str], str]):
-        self.answer = answer
-
     def ask(self, profiles: list[str], timeout_s: float) -> list[str | Exception]:
         replies: list[str | Exception] = []
         for profile in profiles:
             try:
-                replies.append(self.answer(profile))
+                replies.append(self.answer(profile, timeout_s))
             except Exception as error:
                 replies.append(error)
         return replies
 
 
+class FunctionScorer(Scorer):
+    """A function from one profile to one envelope."""
+
+    def __init__(self, function: Callable[[str], str]):
+        self.function = function
+
+    def answer(self, profile: str, timeout_s: float) -> str:
+        return self.function(profile)
+
+
 class RubricScorer(Scorer):
     """Offline stand-in for a model: points for the four factors of the prompt.
 
@@ -69,10 +73,8 @@ class RubricScorer(Scorer):
         self.replies = [self._reply(points) for points in range(8)]
         self.labels = frozenset(LOAN_PURPOSE.values())
 
-    def ask(self, profiles: list[str], timeout_s: float) -> list[str | Exception]:
-        return [self._answer(json.loads(profile)) for profile in profiles]
-
-    def _answer(self, fields: dict) -> str:
+    def answer(self, profile: str, timeout_s: float) -> str:
+        fields = json.loads(profile)
         purpose = fields["proposito_emprestimo"]
         if purpose not in self.labels:
             return json.dumps({"response": json.dumps({"justificativa": f"Propósito {purpose}?"})})
@@ -116,16 +118,11 @@ class HttpScorer(Scorer):
     def __getstate__(self) -> dict:
         return {"url": self.url, "model_name": self.model_name}
 
-    def ask(self, profiles: list[str], timeout_s: float) -> list[str | Exception]:
-        replies: list[str | Exception] = []
-        for profile in profiles:
-            try:
-                replies.append(self._post(profile, time.monotonic() + timeout_s))
-            except TimeoutError:
-                replies.append(TimeoutError())
-            except Exception as error:
-                replies.append(error)
-        return replies
+    def answer(self, profile: str, timeout_s: float) -> str:
+        try:
+            return self._post(profile, time.monotonic() + timeout_s)
+        except TimeoutError:
+            raise TimeoutError from None  # wherever the time ran out, without a text
 
     def _post(self, profile: str, deadline: float) -> str:
         request = {"model": self.model_name, "prompt": PROMPT + profile, "format": "json", "stream": False}

@@ -52,7 +52,10 @@ def score(
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ask(rows: pa.RecordBatch) -> list[str | Exception]:
-            return scorer.ask(rows.column("perfil").to_pylist(), request_timeout_s)
+            try:
+                return scorer.ask(rows.column("perfil").to_pylist(), request_timeout_s)
+            except Exception as error:
+                return [error] * rows.num_rows
 
         calls = (
             batch.slice(start, scorer.batch_size)

@@ -31,6 +31,11 @@ def list_snapshots(spark: SparkSession, table: str) -> DataFrame:
     )
 
 
+def snapshot_counts(spark: SparkSession, table: str) -> DataFrame:
+    """Rows of each commit; no column of the table is read."""
+    return spark.table(table).groupBy("snapshot_id").agg(F.count("*").alias("rows"))
+
+
 def snapshot_of(spark: SparkSession, table: str, stream: str, batch_id: int) -> int:
     """Number under which a stream commits a micro-batch to the table.
 

@@ -163,6 +163,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT event_id, user_id, event_type, ts,
           CAST(CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 ELSE 1 END AS BIGINT) AS snapshot_id
         FROM events WHERE ts < TIMESTAMP '2024-01-21'""",
+    "snapshot_audit": """
+        SELECT CAST(CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END
+          AS BIGINT) AS snapshot_id, count(*) AS rows
+        FROM events GROUP BY ALL""",
     "snapshot_rollback": """
         SELECT event_id, user_id, event_type, ts, CAST(0 AS BIGINT) AS snapshot_id
         FROM events WHERE ts < TIMESTAMP '2024-01-11'""",

@@ -16,7 +16,7 @@ from verdictflow.operators.payload import decode_applications, profile, raw_mess
 from verdictflow.operators.row_id import number_rows
 from verdictflow.operators.scorers import RubricScorer
 from verdictflow.operators.scoring import score
-from verdictflow.operators.snapshots import append_snapshot, read_as_of, rollback_to
+from verdictflow.operators.snapshots import append_snapshot, read_as_of, rollback_to, snapshot_counts
 from verdictflow.operators.verdict import verdict
 from verdictflow.plans.applications import coded_applications, table
 from verdictflow.plans.steps import file_applications
@@ -300,6 +300,11 @@ def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_as_of(spark, _event_snapshots(spark, sf_dir), 1)
 
 
+def snapshot_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each commit added."""
+    return snapshot_counts(spark, _event_snapshots(spark, sf_dir))
+
+
 def snapshot_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after going back to the first commit."""
     name = _event_snapshots(spark, sf_dir)
@@ -332,6 +337,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         insert_select,
         ingest_counts,
         snapshot_as_of,
+        snapshot_audit,
         snapshot_rollback,
     )
 } | {"head_rows": head_of_table}
