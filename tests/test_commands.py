@@ -38,7 +38,7 @@ def test_four_steps(spark, tmp_path, capsys):
         (1, 2, 2),
         (2, 2, 0),
     ]
-    commands.main(["inspect", "--table", table, "--rows", "2"])
+    commands.main(["inspect", "--table", table, "--warehouse", warehouse, "--rows", "2"])
     shown = capsys.readouterr().out
     assert "Risco alto: 7 de 7 pontos." in shown and "predicao_invalida" not in shown
     assert list(inspect(spark, table).predicao) == [1, 2, 0]

@@ -1,6 +1,15 @@
 import pytest
 
-from verdictflow.operators.snapshots import append_snapshot, list_snapshots, read_as_of, rollback_to, snapshot_counts
+from verdictflow.operators.snapshots import (
+    append_snapshot,
+    create_snapshot_table,
+    list_snapshots,
+    number_of,
+    read_as_of,
+    read_latest,
+    rollback_to,
+    snapshot_counts,
+)
 from verdictflow.session import scratch_path
 from verdictflow.sources import tables
 
@@ -11,7 +20,7 @@ def table(spark):
     database = "db_" + warehouse[-32:]
     tables.create_database(spark, database, warehouse)
     rows = spark.createDataFrame([(i, f"t{i}") for i in range(3)], "id int, text string")
-    tables.create_snapshot_table(spark, f"{database}.t", rows.schema)
+    create_snapshot_table(spark, f"{database}.t", rows.schema)
     for snapshot in range(4):
         append_snapshot(rows.selectExpr(f"id + {10 * snapshot} AS id", "text"), f"{database}.t", snapshot)
     return f"{database}.t"
@@ -64,6 +73,21 @@ def test_rollback_deletes_the_files(spark, table):
     assert 0 < len(spark.table(table).inputFiles()) < before
 
 
+def test_table_outlives_its_catalog(spark, table):
+    append_snapshot(spark.createDataFrame([(99, "x")], "id int, text string"), table, 4, "s-7")
+    rollback_to(spark, table, 4)
+    schema, before = read_latest(spark, table).schema, ids(spark.table(table))
+    rollback_to(spark, table, 5)
+    spark.sql(f"DROP TABLE {table}")
+    create_snapshot_table(spark, table, schema)
+    assert ids(spark.table(table)) == before and len(before) == 13
+    assert number_of(spark, table, "s-7") == 4 and number_of(spark, table, "s-8") == 5
+    rollback_to(spark, table, 0)
+    spark.sql(f"DROP TABLE {table}")
+    create_snapshot_table(spark, table, schema)
+    assert ids(spark.table(table)) == [0, 1, 2]
+
+
 def test_catalog_statements(spark):
     tables.register_catalog(spark, "lake", "org.example.Catalog", warehouse="/shared/lake")
     tables.register_catalog(spark, "lake", "org.example.Other", warehouse="/other")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
 from verdictflow.operators.scorers import FunctionScorer
 from verdictflow.operators.scoring import score
-from verdictflow.operators.snapshots import list_snapshots, snapshot_of
+from verdictflow.operators.snapshots import append_snapshot, list_snapshots, number_of
 from verdictflow.plans.steps import echo, score_batch, scored_rows
 from verdictflow.session import scratch_path
 from verdictflow.sources.tables import create_database, create_scored_table, create_stream_view, read_table
@@ -151,11 +151,12 @@ def test_streams_that_take_turns_keep_each_others_commits(spark, raw, texts, pat
     assert sorted(r[0] for r in list_snapshots(spark, table).collect()) == [0, 1, 2, 3]
 
 
-def test_batch_that_is_run_again_keeps_its_number(spark, table):
-    assert [snapshot_of(spark, table, "it's a", batch) for batch in (0, 0, 1, 1)] == [0, 0, 1, 1]
-    assert [snapshot_of(spark, table, "b", batch) for batch in (0, 0)] == [2, 2]
-    assert snapshot_of(spark, table, "it's a", 1) == 1
-    assert snapshot_of(spark, table, "it's a", 2) == 3
+def test_batch_that_is_run_again_replaces_itself(spark, raw, path, table):
+    rows = score(parse_messages(raw.read(spark)), SCORER).drop("modelo")
+    for name, number in [("a-0", 0), ("a-0", 0), ("b-0", 1), ("a-1", 2), ("b-0", 1)]:
+        assert number_of(spark, table, name) == number
+        append_snapshot(rows, table, number, name)
+    assert read_table(spark, table).count() == 120
 
 
 def test_landed_rows_have_the_declared_columns(spark, raw, path, table):

@@ -42,8 +42,6 @@ def arguments() -> argparse.ArgumentParser:
 
     land = commands.add_parser("land", help="scored topic to table")
     land.add_argument("--scored", type=topic, required=True)
-    land.add_argument("--table", required=True, help="database.table")
-    land.add_argument("--warehouse", required=True, help="folder of the database")
 
     for command in (score, land):
         command.add_argument("--checkpoint", required=True)
@@ -52,11 +50,19 @@ def arguments() -> argparse.ArgumentParser:
         command.add_argument("--once", action="store_const", const=None, dest="interval", help="stop when caught up")
 
     inspect = commands.add_parser("inspect", help="first rows of the table")
-    inspect.add_argument("--table", required=True)
     inspect.add_argument("--rows", type=int, default=10)
+
+    for command in (land, inspect):
+        command.add_argument("--table", required=True, help="database.table")
+        command.add_argument("--warehouse", required=True, help="folder of the database")
     return parser
 
 
+def open_table(spark: SparkSession, table: str, warehouse: str) -> None:
+    create_database(spark, table.rpartition(".")[0], warehouse)
+    create_scored_table(spark, table)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"verdictflow {args.step}").getOrCreate()
@@ -77,12 +83,12 @@ def main(argv: list[str] | None = None) -> None:
             partitions=args.partitions,
         ).awaitTermination()
     elif args.step == "land":
-        create_database(spark, args.table.rpartition(".")[0], args.warehouse)
-        create_scored_table(spark, args.table)
+        open_table(spark, args.table, args.warehouse)
         land_stream(
             spark, args.scored, args.table, args.checkpoint, per_trigger=args.per_trigger, interval=args.interval
         ).awaitTermination()
     else:
+        open_table(spark, args.table, args.warehouse)
         steps.show(spark, args.table, args.rows)
 
 

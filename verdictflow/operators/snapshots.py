@@ -1,33 +1,63 @@
-"""Snapshots: each commit is one partition of the table, numbered upwards."""
+"""Snapshots: each commit is one partition of the table, numbered upwards.
+
+What was committed can be read off the partitions alone, so a table survives the
+session and the catalog it was made in.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from verdictflow.session import delete_folder, file_exists
+
 
+def create_snapshot_table(spark: SparkSession, table: str, schema: T.StructType) -> None:
+    """A table without a key, in the folder of its database, unless it is there.
 
-def append_snapshot(rows: DataFrame, table: str, snapshot_id: int) -> None:
-    """Commit rows as one snapshot. Committing the same id again replaces it.
+    A catalog that does not know the table yet finds its commits in the folder.
+    """
+    database, _, name = table.rpartition(".")
+    folder = f"{spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri}/{name}"
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}, snapshot_id BIGINT, commit_name STRING) "
+        f"USING parquet PARTITIONED BY (snapshot_id, commit_name) LOCATION '{folder}'"
+    )
+    if file_exists(spark, folder):
+        spark.catalog.recoverPartitions(table)
+
+
+def append_snapshot(rows: DataFrame, table: str, snapshot_id: int, commit_name: str = "batch") -> None:
+    """Commit rows as one snapshot. Making the same commit again replaces it.
 
     Only that partition is touched, so a commit that is run again after a failure
     leaves no second copy.
     """
     columns = ", ".join(rows.columns)
     rows.sparkSession.sql(
-        f"INSERT OVERWRITE TABLE {table} PARTITION (snapshot_id = {snapshot_id}) SELECT {columns} FROM {{rows}}",
+        f"INSERT OVERWRITE TABLE {table} PARTITION (snapshot_id = {snapshot_id}, commit_name = '{commit_name}') "
+        f"SELECT {columns} FROM {{rows}}",
         rows=rows,
     )
 
 
+def read_latest(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of all commits, in the columns of the rows alone."""
+    return spark.table(table).drop("snapshot_id", "commit_name")
+
+
 def read_as_of(spark: SparkSession, table: str, snapshot_id: int) -> DataFrame:
     """The table as it was after that commit; later partitions are not read."""
-    return spark.table(table).where(f"snapshot_id <= {snapshot_id}")
+    return spark.table(table).where(f"snapshot_id <= {snapshot_id}").drop("commit_name")
 
 
 def list_snapshots(spark: SparkSession, table: str) -> DataFrame:
-    """Snapshot ids from the catalog, without reading the table."""
-    return spark.sql(f"SHOW PARTITIONS {table}").selectExpr(
-        "CAST(substring_index(partition, '=', -1) AS BIGINT) AS snapshot_id"
+    """Numbers and names of the commits, from the catalog, without reading the table."""
+    return spark.sql(f"SHOW PARTITIONS {table}").select(
+        F.regexp_extract("partition", "snapshot_id=(\\d+)", 1).cast("bigint").alias("snapshot_id"),
+        F.regexp_extract("partition", "commit_name=(.*)", 1).alias("commit_name"),
     )
 
 
@@ -36,31 +66,25 @@ def snapshot_counts(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table).groupBy("snapshot_id").agg(F.count("*").alias("rows"))
 
 
-def snapshot_of(spark: SparkSession, table: str, stream: str, batch_id: int) -> int:
-    """Number under which a stream commits a micro-batch to the table.
+def number_of(spark: SparkSession, table: str, commit_name: str) -> int:
+    """The number of a commit: its own if it was begun before, else the next.
 
     Every checkpoint counts its batches from 0, so the batch number alone would
-    let one stream replace what another committed. The table notes the last
-    commit of each stream instead: a batch that is run again gets its number
-    again, any other batch gets a new one. Streams may take turns, but should not
-    commit at the same time.
+    let one stream replace what another committed. Streams may take turns, but
+    should not commit at the same time.
     """
-    key = "commit of "
-    properties = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()
-    commits = {p.key.removeprefix(key): p.value.split(":") for p in properties if p.key.startswith(key)}
-    batch, snapshot = commits.get(stream, (None, None))
-    if batch == str(batch_id):
-        return int(snapshot)
-    taken = list_snapshots(spark, table).agg(F.max("snapshot_id")).first()[0]
-    last = max([-1 if taken is None else taken, *(int(s) for _, s in commits.values())])
-    quoted = (key + stream).replace("'", "\\'")
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{quoted}' = '{batch_id}:{last + 1}')")
-    return last + 1
+    own = F.max(F.when(F.col("commit_name") == commit_name, F.col("snapshot_id")))
+    own, last = list_snapshots(spark, table).agg(own, F.max("snapshot_id")).first()
+    if own is not None:
+        return own
+    return 0 if last is None else last + 1
 
 
 def rollback_to(spark: SparkSession, table: str, snapshot_id: int) -> None:
-    """Drop every later commit."""
-    later = list_snapshots(spark, table).where(f"snapshot_id > {snapshot_id}").collect()
-    if later:
-        partitions = ", ".join(f"PARTITION (snapshot_id = {row.snapshot_id})" for row in later)
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {partitions}")
+    """Drop every later commit, and its files."""
+    folder = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Location'").first().data_type
+    later = list_snapshots(spark, table).where(f"snapshot_id > {snapshot_id}").orderBy(F.desc("snapshot_id"))
+    for commit in later.collect():
+        partition = f"snapshot_id = {commit.snapshot_id}, commit_name = '{commit.commit_name}'"
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition})")
+        delete_folder(spark, f"{folder}/snapshot_id={commit.snapshot_id}/commit_name={commit.commit_name}")

@@ -16,7 +16,14 @@ from verdictflow.operators.payload import decode_applications, profile, raw_mess
 from verdictflow.operators.row_id import number_rows
 from verdictflow.operators.scorers import RubricScorer
 from verdictflow.operators.scoring import score
-from verdictflow.operators.snapshots import append_snapshot, read_as_of, rollback_to, snapshot_counts
+from verdictflow.operators.snapshots import (
+    append_snapshot,
+    create_snapshot_table,
+    read_as_of,
+    read_latest,
+    rollback_to,
+    snapshot_counts,
+)
 from verdictflow.operators.verdict import verdict
 from verdictflow.plans.applications import coded_applications, table
 from verdictflow.plans.steps import file_applications
@@ -25,7 +32,6 @@ from verdictflow.sources.files import scan_applications
 from verdictflow.sources.tables import (
     create_database,
     create_scored_table,
-    create_snapshot_table,
     create_stream_view,
     head_rows,
     read_table,
@@ -209,7 +215,7 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, checkpoint = _event_table(spark, rows), scratch_path(spark, "progress")
     for _ in range(2):
         insert_stream(rows, name, checkpoint, interval=None).awaitTermination()
-    return spark.table(name).drop("snapshot_id")
+    return read_latest(spark, name)
 
 
 def replay_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +225,7 @@ def replay_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = _event_table(spark, rows)
     for _ in range(2):
         insert_stream(rows, name, scratch_path(spark, "progress"), interval=None).awaitTermination()
-    return spark.table(name).groupBy("event_id", "event_type").agg(F.count("*").alias("copies"))
+    return read_latest(spark, name).groupBy("event_id", "event_type").agg(F.count("*").alias("copies"))
 
 
 def _database(spark: SparkSession) -> str:
@@ -309,7 +315,7 @@ def snapshot_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after going back to the first commit."""
     name = _event_snapshots(spark, sf_dir)
     rollback_to(spark, name, 0)
-    return spark.table(name)
+    return read_as_of(spark, name, 99)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

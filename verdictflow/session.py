@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -39,9 +40,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/verdictflow/{name}-{uuid.uuid4().hex}"
 
 
-def file_exists(spark: SparkSession, path: str) -> bool:
+def commit_name(checkpoint: str, batch_id: int) -> str:
+    """Name of a micro-batch that no other stream's batches have."""
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:32]}-{batch_id}"
+
+
+def _hadoop(spark: SparkSession, path: str):
     file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), file
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    files, file = _hadoop(spark, path)
+    return files.exists(file)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, file = _hadoop(spark, path)
+    files.delete(file, True)
 
 
 def spread(df: DataFrame, at_least: int) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from verdictflow.operators.snapshots import create_snapshot_table, read_latest
 from verdictflow.schemas import SCORED_TABLE_SCHEMA
 
 
@@ -40,18 +40,9 @@ def create_scored_table(spark: SparkSession, table: str) -> None:
     create_snapshot_table(spark, table, SCORED_TABLE_SCHEMA)
 
 
-def create_snapshot_table(spark: SparkSession, table: str, schema: T.StructType) -> None:
-    """A table without a key, in one partition per commit."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({columns}, snapshot_id BIGINT) "
-        "USING parquet PARTITIONED BY (snapshot_id)"
-    )
-
-
 def read_table(spark: SparkSession, table: str) -> DataFrame:
-    """The latest state, without the snapshot number."""
-    return spark.table(table).select(*SCORED_TABLE_SCHEMA.fieldNames())
+    """The latest state of a scored table."""
+    return read_latest(spark, table).select(*SCORED_TABLE_SCHEMA.fieldNames())
 
 
 def head_rows(df: DataFrame, *order: str, rows: int = 10) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from verdictflow.session import file_exists
+from verdictflow.session import commit_name, file_exists
 
 
 @dataclass(frozen=True)
@@ -42,10 +41,9 @@ class FileTopic:
         Spark's own file sink would take the batches of a second checkpoint for
         ones it has already written, and drop them.
         """
-        stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:32]
 
         def commit(batch: DataFrame, batch_id: int) -> None:
-            self.append(batch, commit=f"{stream}-{batch_id}")
+            self.append(batch, commit=commit_name(checkpoint, batch_id))
 
         return messages.select("value").writeStream.foreachBatch(commit)
 

@@ -11,7 +11,8 @@ from verdictflow.fixed_values import COMMIT_INTERVAL
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
 from verdictflow.operators.scorers import Scorer
 from verdictflow.operators.scoring import score
-from verdictflow.operators.snapshots import append_snapshot, snapshot_of
+from verdictflow.operators.snapshots import append_snapshot, number_of
+from verdictflow.session import commit_name
 from verdictflow.sources.topics import Topic
 
 
@@ -56,7 +57,8 @@ def insert_stream(
     """``INSERT INTO table SELECT ...`` for a streaming select, a snapshot per commit."""
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        append_snapshot(batch, table, snapshot_of(batch.sparkSession, table, checkpoint, batch_id))
+        name = commit_name(checkpoint, batch_id)
+        append_snapshot(batch, table, number_of(batch.sparkSession, table, name), name)
 
     return start(rows.writeStream.foreachBatch(commit), checkpoint, interval)
 
