@@ -28,6 +28,7 @@ def test_four_steps(spark, tmp_path, capsys):
     warehouse = scratch_path(spark, "warehouse")
     table = f"db_{warehouse[-32:]}.credit_scored"
     commands.main(["replay", "--file", file, "--raw", raw])
+    assert "sent 3 messages" in capsys.readouterr().out
     score = ["score", "--raw", raw, "--scored", scored, "--checkpoint", str(tmp_path / "p1"), "--once", "--model", "m"]
     land = ["land", "--scored", scored, "--table", table, "--warehouse", warehouse, "--checkpoint", str(tmp_path / "p2"), "--once"]
     for _ in range(2):
@@ -45,9 +46,10 @@ def test_four_steps(spark, tmp_path, capsys):
     assert inspect_arrow(spark, table, rows=1).num_rows == 1
 
 
-def test_replay_of_a_missing_file(spark, tmp_path):
+def test_replay_of_a_missing_file(spark, tmp_path, capsys):
     commands.main(["replay", "--file", str(tmp_path / "none"), "--raw", str(tmp_path / "raw")])
     assert not os.path.exists(tmp_path / "raw")
+    assert "no file at" in capsys.readouterr().out
 
 
 def session(master, **settings):

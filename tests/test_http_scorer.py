@@ -1,7 +1,9 @@
-"""The HTTP scorer against a stand-in connection; no port is opened."""
+"""The HTTP scorer over a stand-in socket; no port is opened."""
 
 import http.client
+import io
 import json
+import os
 import pickle
 import time
 
@@ -12,100 +14,142 @@ from verdictflow.operators.scorers import HttpScorer
 from verdictflow.operators.verdict import verdict_of
 
 
-class Response:
-    def __init__(self, body, kind="application/json; charset=utf-8", status=200, pause=0.0):
-        self.chunks = [body[i : i + 7] for i in range(0, len(body), 7)]
-        self.status, self.pause = status, pause
-        self.headers = http.client.HTTPMessage()
-        self.headers["Content-Type"] = kind
+class Slow(io.BytesIO):
+    def read1(self, size=-1):
+        time.sleep(0.02)
+        return super().read1(min(size, 7))
 
-    def isclosed(self):
-        return not self.chunks
 
-    def read1(self, size):
-        time.sleep(self.pause)
-        return self.chunks.pop(0)
+class Socket:
+    """Keeps what is sent and answers with ``reply``, given as bytes or an error."""
 
+    def __init__(self, reply, kind):
+        self.reply, self.kind, self.sent, self.timeouts, self.closed = reply, kind, b"", [], False
+        self.idle, self.hang_up = os.pipe()
 
-class Connection:
-    made = []
-
-    def __init__(self, host, port=None):
-        self.host, self.port, self.sock, self.sent, self.closed = host, port, None, [], 0
-        Connection.made.append(self)
-
-    def request(self, method, path, body, headers):
+    def sendall(self, data):
         if isinstance(self.reply, Exception):
             raise self.reply
-        self.sent.append((method, path, json.loads(body), headers))
+        self.sent += data
 
-    def getresponse(self):
-        return Response(**self.reply)
+    def makefile(self, *_):
+        return self.kind(self.reply)
+
+    def settimeout(self, seconds):
+        self.timeouts.append(seconds)
+
+    def fileno(self):
+        return self.idle
 
     def close(self):
-        self.closed += 1
+        self.closed = True
+
+
+def http_reply(body, kind="application/json; charset=utf-8", status=200):
+    head = f"HTTP/1.1 {status} X\r\nContent-Type: {kind}\r\nContent-Length: {len(body.encode())}\r\n\r\n"
+    return head.encode() + body.encode()
 
 
 @pytest.fixture
-def ask(monkeypatch):
-    Connection.made = []
-    monkeypatch.setattr(http.client, "HTTPConnection", Connection)
+def sockets(monkeypatch):
+    made = []
+
+    def connect(connection):
+        connection.sock = Socket(connect.reply, connect.kind)
+        made.append((connection.host, connection.port, connection.sock))
 
-    def ask(reply, *profiles, timeout_s=30.0):
-        Connection.reply = reply
+    monkeypatch.setattr(http.client.HTTPConnection, "connect", connect)
+    connect.kind = io.BytesIO
+    return made, connect
+
+
+@pytest.fixture
+def ask(sockets):
+    def ask(reply, *profiles, timeout_s=30.0, kind=io.BytesIO):
+        made, connect = sockets
+        connect.reply, connect.kind = reply, kind
         scorer = pickle.loads(pickle.dumps(HttpScorer("http://models:11434/api/generate", "m")))
         scorer.open()
-        replies = [r for p in profiles for r in scorer.ask([p], timeout_s)]
+        replies = scorer.ask(list(profiles), timeout_s)
         scorer.close()
         return replies
 
     return ask
 
 
-def body(text):
-    return {"body": text.encode()}
+ENVELOPE = json.dumps({"response": '{"predicao": 2, "justificativa": "é"}'})
 
 
-def test_sends_the_prompt_and_returns_the_body(ask):
-    envelope = json.dumps({"response": '{"predicao": 2, "justificativa": "é"}'})
-    assert [verdict_of(r) for r in ask(body(envelope), '{"a": "é"}', "{}")] == [(2, "é")] * 2
-    (connection,) = Connection.made
-    assert (connection.host, connection.port, connection.closed) == ("models", 11434, 1)
-    method, path, sent, headers = connection.sent[0]
-    assert (method, path, headers["Content-Type"]) == ("POST", "/api/generate", "application/json")
-    assert sent == {"model": "m", "prompt": PROMPT + '{"a": "é"}', "format": "json", "stream": False}
+def test_sends_the_prompt_and_returns_the_body(ask, sockets):
+    assert [verdict_of(r) for r in ask(http_reply(ENVELOPE), '{"a": "é"}')] == [(2, "é")]
+    ((host, port, socket),) = sockets[0]
+    assert (host, port, socket.closed) == ("models", 11434, True)
+    head, _, body = socket.sent.partition(b"\r\n\r\n")
+    assert head.startswith(b"POST /api/generate HTTP/1.1\r\n") and b"Content-Type: application/json" in head
+    assert json.loads(body) == {"model": "m", "prompt": PROMPT + '{"a": "é"}', "format": "json", "stream": False}
+
+
+def test_connection_is_kept(ask, sockets):
+    assert [verdict_of(r) for r in ask(http_reply(ENVELOPE), "{}", "{}", "{}")] == [(2, "é")] * 3
+    assert len(sockets[0]) == 1
+
+
+def test_connection_closed_while_idle_is_made_again(sockets):
+    made, connect = sockets
+    connect.reply = http_reply(ENVELOPE)
+    scorer = HttpScorer("http://models:11434/api/generate", None)
+    scorer.open()
+    assert verdict_of(scorer.ask(["{}"], 30)[0]) == (2, "é")
+    os.write(made[0][2].hang_up, b"x")
+    assert verdict_of(scorer.ask(["{}"], 30)[0]) == (2, "é")
+    assert len(made) == 2 and made[0][2].closed
+    assert json.loads(made[1][2].sent.partition(b"\r\n\r\n")[2])["model"] is None
+
+
+def test_chunked_reply(ask):
+    text = ENVELOPE.encode()
+    chunks = b"".join(b"%x\r\n%s\r\n" % (len(part), part) for part in (text[:9], text[9:]))
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: application/json\r\nTransfer-Encoding: chunked\r\n\r\n"
+    assert verdict_of(ask(head + chunks + b"0\r\n\r\n", "{}")[0]) == (2, "é")
 
 
 def test_status_is_not_looked_at(ask):
-    reply = {"body": b'{"error": "model not found"}', "status": 404}
+    reply = http_reply('{"error": "model not found"}', status=404)
     assert verdict_of(ask(reply, "{}")[0]) == (0, "erro: KeyError - 'response'")
 
 
 def test_empty_body(ask):
-    assert verdict_of(ask(body(""), "{}")[0])[1].startswith("erro: TypeError - ")
+    assert verdict_of(ask(http_reply(""), "{}")[0])[1].startswith("erro: TypeError - ")
 
 
 def test_body_not_declared_as_json(ask):
-    reply = {"body": b"<html>", "kind": "text/html", "status": 502}
+    reply = http_reply("<html>", "text/html", 502)
     assert verdict_of(ask(reply, "{}")[0])[1] == (
         "erro: ContentTypeError - 502, message='Attempt to decode JSON with unexpected mimetype: text/html', "
         "url='http://models:11434/api/generate'"
     )
 
 
-def test_refused_connection(ask):
-    assert verdict_of(ask(ConnectionRefusedError(111, "refused"), "{}")[0]) == (
-        0,
-        "erro: ConnectionRefusedError - [Errno 111] refused",
-    )
+@pytest.mark.parametrize(
+    ("error", "reason"),
+    [
+        (ConnectionRefusedError(111, "refused"), "erro: ConnectionRefusedError - [Errno 111] refused"),
+        (TimeoutError("timed out"), "erro: TimeoutError - "),
+    ],
+)
+def test_errors_become_rows_and_the_next_call_connects_again(ask, sockets, error, reason):
+    assert [verdict_of(r) for r in ask(error, "{}", "{}")] == [(0, reason)] * 2
+    assert len(sockets[0]) == 2
 
 
-def test_timeout_covers_the_whole_reply(ask):
-    slow = {"body": b"x" * 700, "pause": 0.02}
-    begin = time.monotonic()
-    assert verdict_of(ask(slow, "{}", timeout_s=0.1)[0]) == (0, "erro: TimeoutError - ")
-    assert time.monotonic() - begin < 1
+def test_server_that_hangs_up(ask):
+    assert verdict_of(ask(b"", "{}")[0])[1].startswith("erro: RemoteDisconnected - ")
 
 
-def test_socket_timeout(ask):
-    assert verdict_of(ask(TimeoutError("timed out"), "{}")[0]) == (0, "erro: TimeoutError - ")
+def test_timeout_covers_the_whole_reply(ask, sockets):
+    begin = time.monotonic()
+    replies = ask(http_reply("x" * 700), "{}", timeout_s=0.1, kind=Slow)
+    assert verdict_of(replies[0]) == (0, "erro: TimeoutError - ")
+    assert time.monotonic() - begin < 1
+    left = sockets[0][0][2].timeouts
+    assert left == sorted(left, reverse=True) and max(left) <= 0.1

@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 
 from verdictflow.operators.messages import parse_messages, read_scored, split_malformed
@@ -46,6 +48,26 @@ def test_profile_is_the_message_without_its_label(texts, fields, separators):
     assert row.target_real == fields.get("target_real", -1)
 
 
+FLAT = st.dictionaries(
+    st.text(st.characters(blacklist_categories=["Cs"]), max_size=5),
+    st.none() | st.booleans() | st.integers(-(2**70), 2**70) | st.text(st.characters(blacklist_categories=["Cs"]), max_size=8),
+    max_size=5,
+)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(FLAT, st.none() | st.integers(0, 9), st.booleans()), min_size=1, max_size=30))
+def test_any_flat_message(spark, messages):
+    rows, expected = [], {}
+    for i, (fields, label, first) in enumerate(messages):
+        fields = {"id_cliente": i, **{k: v for k, v in fields.items() if k not in ("id_cliente", "target_real")}}
+        expected[i] = (label, json.dumps(fields, ensure_ascii=False))
+        labelled = {"target_real": label, **fields} if first else {**fields, "target_real": label}
+        rows.append((json.dumps(labelled, ensure_ascii=i % 2 == 0),))
+    parsed = parse_messages(spark.createDataFrame(rows, "value string")).collect()
+    assert {r.id_cliente: (r.target_real, r.perfil) for r in parsed} == expected
+
+
 def test_repeated_names_keep_the_last_value(texts):
     text = '{"id_cliente": 1, "a": "x", "b": null, "id_cliente": 5, "target_real": 1, "a": 7, "target_real": 2}'
     row = parse_messages(texts(text)).first()

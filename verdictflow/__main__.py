@@ -67,7 +67,8 @@ def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"verdictflow {args.step}").getOrCreate()
     if args.step == "replay":
-        steps.replay(spark, args.file, args.raw)
+        sent = steps.replay(spark, args.file, args.raw)
+        print(f"no file at {args.file}" if sent is None else f"sent {sent} messages")
     elif args.step == "score":
         scorer = HttpScorer(args.url, args.model) if args.url else RubricScorer()
         score_stream(

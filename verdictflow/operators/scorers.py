@@ -134,9 +134,10 @@ class HttpScorer(Scorer):
             self._limit(connection, deadline)
             response = connection.getresponse()
             body = b""
-            while not response.isclosed():
+            while part := response.read1(65536):
+                body += part
                 self._limit(connection, deadline)
-                body += response.read1(65536)
+            response.close()
         except BaseException:
             connection.close()
             raise
