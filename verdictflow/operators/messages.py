@@ -40,9 +40,11 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     opened = opened.withColumn("names", F.array_distinct(F.map_keys("fields")))
     opened = opened.withColumns({name: _last_of_each(name) for name in ("fields", "texts")})
 
-    shown = F.filter("names", lambda name: name != LABEL_FIELD)
-    members = F.transform(shown, lambda name: F.concat(json_text(name), F.lit(": "), _member_text(name)))
-    open_profile = F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}"))
+    # Arrays side by side: a map looked up in the lambda would be made per member.
+    opened = opened.withColumns({"values": F.map_values("fields"), "plain": F.map_values("texts")})
+    members = F.arrays_zip("names", "values", "plain")
+    shown = F.filter(members, lambda member: member["names"] != LABEL_FIELD)
+    open_profile = F.concat(F.lit("{"), F.array_join(F.transform(shown, _member_text), ", "), F.lit("}"))
     split = opened.select(
         *carry,
         _either(known[ID_FIELD], ID_FIELD, "bigint"),
@@ -60,11 +62,11 @@ def _last_of_each(members: str) -> Column:
     return F.when(repeated, F.map_from_arrays("names", last)).otherwise(F.col(members))
 
 
-def _member_text(name: Column) -> Column:
+def _member_text(member: Column) -> Column:
     """JSON text of a member: quoted if it was, else as it was, on one line."""
-    quoted = F.schema_of_variant(F.col("fields")[name]) == "STRING"
-    text = F.col("texts")[name]
-    return F.when(quoted, json_text(text)).otherwise(F.coalesce(text, F.lit("null")))
+    quoted = F.schema_of_variant(member["values"]) == "STRING"
+    value = F.when(quoted, json_text(member["plain"])).otherwise(F.coalesce(member["plain"], F.lit("null")))
+    return F.concat(json_text(member["names"]), F.lit(": "), value)
 
 
 def _either(known: Column, name: str, kind: str) -> Column:
