@@ -189,12 +189,11 @@ def test_paced_replay(spark, texts, path):
 def test_commits_are_counted_as_they_pass(spark, raw, path, table):
     rows = score(parse_messages(raw.read_stream(spark, per_trigger=1)), SCORER)
     watched = counted(rows, "scored", fallbacks=F.count_if(F.col("predicao") == 0))
-    with CommitCounts("scored") as counts:
-        run(insert_stream(watched.drop("modelo"), table, path("progress"), interval=None))
-        assert counts.ended.wait(60)
-    assert sorted(counts.batches) == [0, 1, 2, 3]
-    assert sum(c.rows for c in counts.batches.values()) == 40
-    assert sum(c.fallbacks for c in counts.batches.values()) == 8
+    with CommitCounts(spark, "scored") as counts:
+        batches = counts.wait_for(insert_stream(watched.drop("modelo"), table, path("progress"), interval=None))
+    assert sorted(batches) == [0, 1, 2, 3]
+    assert sum(c.rows for c in batches.values()) == 40
+    assert sum(c.fallbacks for c in batches.values()) == 8
 
 
 def test_bad_message_fails_the_stream(spark, raw, texts, path):
@@ -222,6 +221,19 @@ def test_commits_at_an_interval_until_stopped(spark, raw, texts, path, table):
         assert not query.isActive and query.exception() is None
 
 
+def test_steps_may_start_before_there_is_input(spark, texts, path, table):
+    raw, scored = FileTopic(path("raw")), FileTopic(path("scored"))
+    queries = [
+        score_stream(spark, raw, scored, SCORER, path("p1"), interval="1 second"),
+        land_stream(spark, scored, table, path("p2"), interval="1 second"),
+    ]
+    raw.append(texts(message(1)))
+    for query in queries:
+        query.processAllAvailable()
+        query.stop()
+    assert read_table(spark, table).count() == 1
+
+
 def test_echo(spark, raw, path):
     query = run(echo(raw.read_stream(spark), path("progress"), interval=None))
     assert sum(p.numInputRows for p in query.recentProgress) == 40

@@ -259,7 +259,8 @@ def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = FileTopic(scratch_path(spark, "scored"))
     scored.append(_scored(spark, sf_dir).select(scored_message().alias("value")))
     database = _database(spark)
-    create_stream_view(read_scored(scored.read_stream(spark)), f"{database}_stream")
+    stream = scored.read_stream(spark, per_trigger=4 * _tasks(spark))
+    create_stream_view(read_scored(stream), f"{database}_stream")
     create_scored_table(spark, f"{database}.credit_scored")
     rows = spark.sql(f"SELECT * FROM {database}_stream")
     insert_stream(rows, f"{database}.credit_scored", scratch_path(spark, "progress"), None).awaitTermination()
@@ -277,12 +278,11 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and fallbacks of every commit, counted as they pass, and summed."""
     topic = _event_topic(spark, sf_dir)
     failed = F.count_if(F.col("event_type") == "error")
-    rows = counted(_event_stream(spark, topic, per_trigger=_tasks(spark)), "ingest", failed=failed)
-    with CommitCounts("ingest") as counts:
+    name = "ingest " + topic.path[-32:]
+    rows = counted(_event_stream(spark, topic, per_trigger=_tasks(spark)), name, failed=failed)
+    with CommitCounts(spark, name) as counts:
         query = insert_stream(rows, _event_table(spark, rows), scratch_path(spark, "progress"), interval=None)
-        query.awaitTermination()
-        counts.ended.wait(60)
-    seen = [(batch, c.rows, c.failed) for batch, c in counts.batches.items()]
+        seen = [(batch, c.rows, c.failed) for batch, c in counts.wait_for(query).items()]
     commits = spark.createDataFrame(seen, "batch bigint, rows bigint, failed bigint")
     return commits.agg(F.sum("rows").alias("rows"), F.sum("failed").alias("failed"))
 
@@ -295,7 +295,7 @@ def _event_snapshots(spark: SparkSession, sf_dir: str) -> str:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
     name = _event_table(spark, events)
     second, third = "TIMESTAMP_NTZ '2024-01-11 00:00:00'", "TIMESTAMP_NTZ '2024-01-21 00:00:00'"
-    times = [f"ts < {second}", f"ts >= {second} AND ts < {third}", f"ts >= {third}"]
+    times = [f"ts < {second}", f"ts >= {second} AND ts < {third}", f"ts >= {third} OR ts IS NULL"]
     for snapshot, time in enumerate(times):
         append_snapshot(events.where(time), name, snapshot)
     return name

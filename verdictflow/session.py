@@ -55,6 +55,11 @@ def file_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(file)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, file = _hadoop(spark, path)
+    files.mkdirs(file)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     files, file = _hadoop(spark, path)
     files.delete(file, True)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from verdictflow.session import commit_name, file_exists
+from verdictflow.session import commit_name, file_exists, make_folder
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,11 @@ class FileTopic:
         return spark.read.option("recursiveFileLookup", True).text(self.path)
 
     def read_stream(self, spark: SparkSession, per_trigger: int | None = None) -> DataFrame:
-        """From the oldest file on; ``per_trigger`` bounds the files of one commit."""
+        """From the oldest file on; ``per_trigger`` bounds the files of one commit.
+
+        The topic may still be empty.
+        """
+        make_folder(spark, self.path)
         reader = spark.readStream.option("recursiveFileLookup", True)
         if per_trigger:
             reader = reader.option("maxFilesPerTrigger", per_trigger)

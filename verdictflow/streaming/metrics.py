@@ -6,18 +6,20 @@ import threading
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.query import StreamingQuery
 
 
 class CommitCounts(StreamingQueryListener):
-    """Keeps what ``counted`` observed, one entry per micro-batch.
+    """Keeps what ``counted`` observed under a name, one entry per micro-batch.
 
     A query's own progress list forgets all but the latest entries.
     """
 
-    def __init__(self, name: str):
-        self.name = name
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
         self.batches: dict[int, Row] = {}
-        self.ended = threading.Event()
+        self.ended_runs: set[str] = set()
+        self.news = threading.Condition()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -31,11 +33,21 @@ class CommitCounts(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.ended.set()
+        with self.news:
+            self.ended_runs.add(str(event.runId))
+            self.news.notify_all()
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 120) -> dict[int, Row]:
+        """All counts of a query that ends; its end is reported after them."""
+        query.awaitTermination()
+        with self.news:
+            if not self.news.wait_for(lambda: str(query.runId) in self.ended_runs, seconds):
+                raise TimeoutError("the end of the stream was not reported")
+        return self.batches
 
     def __enter__(self) -> CommitCounts:
-        SparkSession.active().streams.addListener(self)
+        self.spark.streams.addListener(self)
         return self
 
     def __exit__(self, *failure) -> None:
-        SparkSession.active().streams.removeListener(self)
+        self.spark.streams.removeListener(self)
