@@ -43,6 +43,19 @@ def test_four_steps(spark, tmp_path, capsys):
     shown = capsys.readouterr().out
     assert "Risco alto: 7 de 7 pontos." in shown and "predicao_invalida" not in shown
     assert list(inspect(spark, table).predicao) == [1, 2, 0]
+    where = ["--table", table, "--warehouse", warehouse]
+    commands.main(["report", *where])
+    assert "0.666667" in capsys.readouterr().out
+    commands.main(["replay", "--file", file, "--raw", raw])
+    commands.main(["pending", "--raw", raw, "--scored", scored])
+    assert "|      3|" in capsys.readouterr().out
+    commands.main(score)
+    commands.main(land)
+    assert read_table(spark, table).count() == 6
+    commands.main(["inspect", *where, "--as-of", "0"])
+    assert capsys.readouterr().out.count("Risco") == 2
+    commands.main(["rollback", *where, "--to", "0"])
+    assert read_table(spark, table).count() == 3
     assert inspect_arrow(spark, table, rows=1).num_rows == 1
 
 

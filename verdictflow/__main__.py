@@ -1,4 +1,4 @@
-"""The four steps as commands: ``spark-submit run.py <step> ...``.
+"""The steps as commands: ``spark-submit run.py <step> ...``.
 
 A topic is a folder, or ``kafka://host:port[,host:port]/topic``.
 """
@@ -8,9 +8,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from verdictflow.fixed_values import COMMIT_INTERVAL, MAX_IN_FLIGHT
 from verdictflow.operators.scorers import HttpScorer, RubricScorer
+from verdictflow.operators.snapshots import rollback_to
 from verdictflow.plans import steps
 from verdictflow.sources.tables import create_database, create_scored_table
 from verdictflow.sources.topics import FileTopic, KafkaTopic, Topic
@@ -51,8 +53,18 @@ def arguments() -> argparse.ArgumentParser:
 
     inspect = commands.add_parser("inspect", help="first rows of the table")
     inspect.add_argument("--rows", type=int, default=10)
+    inspect.add_argument("--as-of", type=int, help="number of the last commit to include")
 
-    for command in (land, inspect):
+    report = commands.add_parser("report", help="verdicts against known outcomes")
+
+    rollback = commands.add_parser("rollback", help="drop the commits after one")
+    rollback.add_argument("--to", type=int, required=True, help="number of the last commit to keep")
+
+    pending = commands.add_parser("pending", help="messages without a verdict")
+    pending.add_argument("--raw", type=topic, required=True)
+    pending.add_argument("--scored", type=topic, required=True)
+
+    for command in (land, inspect, report, rollback):
         command.add_argument("--table", required=True, help="database.table")
         command.add_argument("--warehouse", required=True, help="folder of the database")
     return parser
@@ -88,9 +100,16 @@ def main(argv: list[str] | None = None) -> None:
         land_stream(
             spark, args.scored, args.table, args.checkpoint, per_trigger=args.per_trigger, interval=args.interval
         ).awaitTermination()
+    elif args.step == "pending":
+        steps.pending(spark, args.raw, args.scored).agg(F.coalesce(F.sum("pending"), F.lit(0)).alias("pending")).show()
     else:
         open_table(spark, args.table, args.warehouse)
-        steps.show(spark, args.table, args.rows)
+        if args.step == "inspect":
+            steps.show(spark, args.table, args.rows, args.as_of)
+        elif args.step == "report":
+            steps.report(spark, args.table)
+        else:
+            rollback_to(spark, args.table, args.to)
 
 
 if __name__ == "__main__":

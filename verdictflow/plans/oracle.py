@@ -153,6 +153,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, raw_rows, coalesce(scored_rows, 0) AS scored_rows,
           raw_rows - coalesce(scored_rows, 0) AS pending
         FROM arrived LEFT JOIN done USING (doc_id) WHERE raw_rows > coalesce(scored_rows, 0)""",
+    "topic_backlog": """
+        SELECT o_orderkey AS id_cliente, 2 * count(*) AS raw_rows, count(*) AS scored_rows, count(*) AS pending
+        FROM orders GROUP BY o_orderkey""",
     "stream_append": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "replay_append": """
         SELECT event_id, event_type, count(*) AS copies

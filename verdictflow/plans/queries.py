@@ -26,7 +26,7 @@ from verdictflow.operators.snapshots import (
 )
 from verdictflow.operators.verdict import verdict
 from verdictflow.plans.applications import coded_applications, table
-from verdictflow.plans.steps import file_applications
+from verdictflow.plans.steps import file_applications, pending, score_batch
 from verdictflow.session import scratch_path, spread
 from verdictflow.sources.files import scan_applications
 from verdictflow.sources.tables import (
@@ -182,6 +182,14 @@ def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.backlog(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+def topic_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages sent twice and judged once: one of each id is pending."""
+    raw, scored = _raw_topic(spark, sf_dir), FileTopic(scratch_path(spark, "scored"))
+    score_batch(spark, raw, scored, RubricScorer(), model_name=MODEL)
+    raw.append(_decoded(spark, sf_dir, _tasks(spark)).select(raw_message().alias("value")))
+    return pending(spark, raw, scored)
+
+
 # --- Streams ------------------------------------------------------------------
 
 
@@ -337,6 +345,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         agreement_rate,
         prediction_profile,
         backlog,
+        topic_backlog,
         stream_append,
         replay_append,
         score_and_land,

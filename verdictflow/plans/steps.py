@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from verdictflow.fixed_values import COMMIT_INTERVAL
+from verdictflow.fixed_values import COMMIT_INTERVAL, ID_FIELD
+from verdictflow.operators.evaluate import agreement_rate, backlog, confusion_matrix
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
 from verdictflow.operators.payload import decode_applications, raw_message
 from verdictflow.operators.row_id import number_rows
 from verdictflow.operators.scorers import Scorer
 from verdictflow.operators.scoring import score
+from verdictflow.operators.snapshots import read_as_of
 from verdictflow.sources.files import scan_applications
 from verdictflow.sources.tables import head_rows, read_table
 from verdictflow.sources.topics import Topic
@@ -58,6 +60,18 @@ def scored_rows(spark: SparkSession, scored: Topic) -> DataFrame:
     return read_scored(scored.read(spark))
 
 
+def pending(spark: SparkSession, raw: Topic, scored: Topic) -> DataFrame:
+    """Ids with messages that have no verdict yet, and how many."""
+    return backlog(parse_messages(raw.read(spark)), scored_rows(spark, scored), ID_FIELD)
+
+
+def report(spark: SparkSession, table: str) -> None:
+    """Verdicts against known outcomes, on the console."""
+    rows = read_table(spark, table)
+    confusion_matrix(rows).orderBy("target_real", "predicao").show()
+    agreement_rate(rows).show()
+
+
 def inspect(spark: SparkSession, table: str, rows: int = 10):
     """The first rows, as pandas; the limit is applied before they are collected."""
     return head_rows(read_table(spark, table), "id_cliente", "predicao", "justificativa", rows=rows).toPandas()
@@ -67,9 +81,10 @@ def inspect_arrow(spark: SparkSession, table: str, rows: int = 10):
     return head_rows(read_table(spark, table), "id_cliente", "predicao", "justificativa", rows=rows).toArrow()
 
 
-def show(spark: SparkSession, table: str, rows: int = 10) -> None:
-    """The first rows on the console, texts in full."""
-    head_rows(read_table(spark, table), "id_cliente").show(rows, truncate=False)
+def show(spark: SparkSession, table: str, rows: int = 10, as_of: int | None = None) -> None:
+    """The first rows on the console, texts in full; of an earlier state, if given."""
+    state = read_table(spark, table) if as_of is None else read_as_of(spark, table, as_of)
+    head_rows(state, "id_cliente", rows=rows).show(rows, truncate=False)
 
 
 def echo(messages: DataFrame, checkpoint: str, interval: str | None = COMMIT_INTERVAL) -> StreamingQuery:
