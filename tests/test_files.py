@@ -102,17 +102,28 @@ def numbered_files(spark, tmp_path, sizes):
     return spark.read.schema("n bigint").csv(str(tmp_path))
 
 
-@pytest.mark.parametrize("broadcast_limit", [10**6, 0])
+@pytest.mark.parametrize("broadcast_limit", [2**20, 0])
 def test_row_numbers_are_dense_and_in_file_order(spark, tmp_path, small_splits, monkeypatch, broadcast_limit):
-    monkeypatch.setattr(row_id, "BROADCAST_SPLITS", broadcast_limit)
+    monkeypatch.setattr(row_id, "BROADCAST_BYTES", broadcast_limit)
     scan = numbered_files(spark, tmp_path, [5, 2000, 0, 1, 700, 1500, 3])
     assert scan.rdd.getNumPartitions() > 10
     numbered = number_rows(scan)
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (broadcast_limit > 0)
     assert numbered.columns == ["row_id", "n"]
     assert numbered.count() == 4209
     assert numbered.where("row_id <> n").count() == 0
 
 
+def test_blank_lines_are_no_rows(spark, tmp_path):
+    rows = file_applications(spark, write(tmp_path, "a", FIRST, "", SECOND, "", ""))
+    assert [r.id_cliente for r in rows.collect()] == [0, 1]
+
+
+def test_empty_file(spark, tmp_path):
+    assert file_applications(spark, write(tmp_path, "a")).collect() == []
+
+
 def test_row_numbers_above_a_filter(spark, tmp_path, small_splits):
     numbered = number_rows(numbered_files(spark, tmp_path, [900, 300])).where("n % 7 = 0")
     assert [r.row_id for r in numbered.orderBy("n").collect()] == list(range(0, 1200, 7))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from verdictflow.session import scratch_path
 
-# About 200 bytes per split: a million splits (over 100 TB at the default split
-# size) are a 200 MB broadcast. Beyond that the split table is joined by shuffle.
-BROADCAST_SPLITS = 1_000_000
+# The split table is broadcast up to this size, which is over a million splits with
+# paths of 150 bytes, or 128 TB at the default split size. Beyond it is joined by
+# shuffle.
+BROADCAST_BYTES = 256 * 2**20
+BYTES_BESIDE_PATH = 64
 
 
 def number_rows(scan: DataFrame, id_column: str = "row_id") -> DataFrame:
@@ -35,7 +37,8 @@ def number_rows(scan: DataFrame, id_column: str = "row_id") -> DataFrame:
     path = scratch_path(spark, "splits")
     counts.withColumn("first_id", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows").write.parquet(path)
     splits = spark.read.parquet(path)
-    if splits.count() <= BROADCAST_SPLITS:
+    size = splits.agg(F.sum(F.octet_length("file") + BYTES_BESIDE_PATH)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         splits = F.broadcast(splits)
     row_id = F.col("first_id") + F.col("place") - F.col("first_place")
     moved = F.raise_error(F.lit("the file splits changed between the two passes")).cast("bigint")
