@@ -1,4 +1,6 @@
 import json
+import os
+import subprocess
 import sys
 import threading
 import time
@@ -149,6 +151,39 @@ def test_one_bad_profile_does_not_spoil_its_batch(spark):
     assert reasons[2].startswith("erro: TypeError - ") and reasons[3].startswith("Risco baixo")
 
 
+LOST_WORKER = """
+import json, os, sys
+from pyspark.sql import SparkSession
+from verdictflow.operators.scorers import FunctionScorer
+from verdictflow.operators.scoring import score
+
+flag = sys.argv[1]
+
+def answer(profile):
+    if profile == "17" and not os.path.exists(flag):
+        open(flag, "w").close()
+        os._exit(1)
+    return json.dumps({"response": json.dumps({"predicao": 1})})
+
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+rows = spark.range(40).selectExpr("id", "CAST(id AS STRING) AS perfil")
+scored = score(rows, FunctionScorer(answer), partitions=4).collect()
+assert os.path.exists(flag)
+assert sorted(r.id for r in scored) == list(range(40)) and {r.predicao for r in scored} == {1}
+print("whole")
+"""
+
+
+def test_lost_worker_is_made_up_for(tmp_path):
+    script = tmp_path / "lost.py"
+    script.write_text(LOST_WORKER)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    command = [sys.executable, str(script), str(tmp_path / "once")]
+    done = subprocess.run(command, capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": root})
+    assert "whole" in done.stdout, done.stderr[-2000:]
+
+
 def test_call_that_never_ends_fails_the_job(profiles):
     slow = FunctionScorer(lambda _: time.sleep(2) or reply(1))
     with pytest.raises(Exception, match="took longer than 0.2 s"):

@@ -1,6 +1,7 @@
 import json
 import os
 import sys
+import time
 from collections import Counter
 
 import pytest
@@ -87,6 +88,22 @@ def test_model_is_asked_once_per_row(spark, raw, path, table):
     assert os.path.getsize(path("asked")) == 40
 
 
+def test_stream_that_failed_goes_on_where_it_stopped(spark, raw, path, table):
+    def stuck(profile):
+        if os.path.exists(path("stuck")) and json.loads(profile)["id_cliente"] == 17:
+            time.sleep(1)
+        return answer(profile)
+
+    scored, limits = FileTopic(path("scored")), {"operator_timeout_s": 0.3, "per_trigger": 1, "interval": None}
+    open(path("stuck"), "w").close()
+    with pytest.raises(Exception, match="took longer than 0.3 s"):
+        run(score_stream(spark, raw, scored, FunctionScorer(stuck), path("progress"), **limits))
+    assert not os.path.exists(scored.path) or scored_rows(spark, scored).count() < 40
+    os.remove(path("stuck"))
+    run(score_stream(spark, raw, scored, FunctionScorer(stuck), path("progress"), **limits))
+    assert sorted(r.id_cliente for r in scored_rows(spark, scored).collect()) == list(range(40))
+
+
 def test_restart_adds_nothing_and_new_input_is_scored_once(spark, raw, texts, path):
     scored = FileTopic(path("scored"))
     for _ in range(2):
