@@ -1,9 +1,9 @@
 import json
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.errors import PySparkException
 
 from verdictflow.operators.messages import parse_messages, read_scored, split_malformed
 
@@ -89,17 +89,24 @@ def test_large_ids(texts):
     assert parse_messages(texts(json.dumps({**KNOWN, "id_cliente": 2**40}))).first().id_cliente == 2**40
 
 
-@pytest.mark.parametrize("text", ["nope", "[1]", "5", "null", '"{}"', "", " ", None, '{"a": 1', '{"a": 1} x', '{"id_cliente": "x"}'])
+NO_OBJECTS = [
+    *("nope", "[1]", "5", "null", '"{}"', "", " ", None, '{"a": 1', '{"a": 1} x', '{"a": 1} }', '{"a": 1}]', '{"a": 1},'),
+    *('{"a": 1}{"b": 2}', '{"a": 1}, {"b": 2}', '[{"a": 1}]', '{"a": nope}', "{'a': 1}", "{a: 1}", ",", "]", "["),
+]
+
+
+@pytest.mark.parametrize("text", [*NO_OBJECTS, '{"id_cliente": "x"}'])
 def test_anything_else_fails_the_job(texts, text):
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="not a JSON object|MALFORMED_RECORD|INVALID_VARIANT_CAST"):
         parse_messages(texts('{"id_cliente": 1}', text)).collect()
 
 
 def test_malformed_messages_can_be_set_aside(texts):
-    good, bad = split_malformed(texts('{"a": 1}', "[1]", "nope", "", None, "5", "null", '{"a": 1} x', '{"a": '))
-    assert [r.value for r in good.collect()] == ['{"a": 1}']
-    assert bad.count() == 8
-    assert parse_messages(good).count() == 1
+    objects = ['{"a": 1}', " {} ", '{"a": [{}]}\t', json.dumps(KNOWN)]
+    good, bad = split_malformed(texts(*objects, *NO_OBJECTS))
+    assert [r.value for r in good.collect()] == objects
+    assert Counter(r.value for r in bad.collect()) == Counter(NO_OBJECTS)
+    assert parse_messages(good).count() == 4
 
 
 def test_scored_messages_lose_undeclared_fields(texts):

@@ -30,13 +30,13 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     same = known.isNotNull() & record_of(RAW_SCHEMA, known).eqNullSafe(value)
     checked = as_known.select(*carry, "value", "known", same.alias("same"))
 
-    # The parser reads an empty text as null and stops at the closing brace.
-    no_object = F.concat(F.lit("message is not a JSON object: "), F.coalesce(value, F.lit("NULL")))
-    whole = F.when(F.rtrim(value).endswith("}"), value).otherwise(F.raise_error(no_object))
-    as_map = lambda kind: F.when(
-        ~F.col("same"), F.from_json(whole, f"map<string,{kind}>", {"mode": "FAILFAST"})
+    as_maps = lambda kind: F.when(~F.col("same"), _objects(kind, "FAILFAST"))
+    opened = checked.select(
+        *carry, "value", "known", "same", as_maps("variant").alias("fields"), as_maps("string").alias("texts")
     )
-    opened = checked.select(*carry, "known", "same", as_map("variant").alias("fields"), as_map("string").alias("texts"))
+    no_object = F.concat(F.lit("message is not a JSON object: "), F.coalesce(value, F.lit("NULL")))
+    one = F.when(F.col("same") | _is_one("fields"), F.col("fields")[0]).otherwise(F.raise_error(no_object))
+    opened = opened.select(*carry, "known", "same", one.alias("fields"), F.col("texts")[0].alias("texts"))
     opened = opened.withColumn("names", F.array_distinct(F.map_keys("fields")))
     opened = opened.withColumns({name: _last_of_each(name) for name in ("fields", "texts")})
 
@@ -54,6 +54,19 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     return split.withColumn("perfil", lower_hex(F.col("perfil")))
 
 
+def _objects(kind: str, mode: str) -> Column:
+    """The objects of a text. The parser stops at the end of the first value it
+    reads; in brackets, that is the end of the text."""
+    listed = F.concat(F.lit("["), "value", F.lit("]"))
+    return F.from_json(listed, f"array<map<string,{kind}>>", {"mode": mode, "allowSingleQuotes": "false"})
+
+
+def _is_one(objects: str) -> Column:
+    """Whether a text was one object, and no bracket of its own ended the list."""
+    closed = F.rtrim("value", F.lit(" \t\r\n")).endswith("}")
+    return F.coalesce(closed & (F.size(objects) == 1) & F.get(objects, 0).isNotNull(), F.lit(False))
+
+
 def _last_of_each(members: str) -> Column:
     """A repeated name keeps its first place and its last value."""
     of_name = lambda name: F.filter(F.map_entries(members), lambda e: e["key"] == name)
@@ -78,9 +91,9 @@ def _either(known: Column, name: str, kind: str) -> Column:
 
 def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Opt-in: messages that are JSON objects, and the ones that are not."""
-    kind = F.schema_of_variant(F.try_parse_json("value"))
-    good = F.coalesce(kind.startswith("OBJECT") & F.rtrim("value").endswith("}"), F.lit(False))
-    return messages.where(good), messages.where(~good)
+    parsed = messages.withColumn("objects", _objects("variant", "PERMISSIVE"))
+    one = _is_one("objects")
+    return parsed.where(one).drop("objects"), parsed.where(~one).drop("objects")
 
 
 def scored_message() -> Column:
