@@ -30,13 +30,13 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     same = known.isNotNull() & record_of(RAW_SCHEMA, known).eqNullSafe(value)
     checked = as_known.select(*carry, "value", "known", same.alias("same"))
 
-    as_maps = lambda kind: F.when(~F.col("same"), _objects(kind, "FAILFAST"))
+    as_maps = lambda kind: F.when(~F.col("same"), _objects(kind))
     opened = checked.select(
         *carry, "value", "known", "same", as_maps("variant").alias("fields"), as_maps("string").alias("texts")
     )
     no_object = F.concat(F.lit("message is not a JSON object: "), F.coalesce(value, F.lit("NULL")))
     one = F.when(F.col("same") | _is_one("fields"), F.col("fields")[0]).otherwise(F.raise_error(no_object))
-    opened = opened.select(*carry, "known", "same", one.alias("fields"), F.col("texts")[0].alias("texts"))
+    opened = opened.select(*carry, "known", "same", one.alias("fields"), F.get("texts", 0).alias("texts"))
     opened = opened.withColumn("names", F.array_distinct(F.map_keys("fields")))
     opened = opened.withColumns({name: _last_of_each(name) for name in ("fields", "texts")})
 
@@ -54,11 +54,14 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     return split.withColumn("perfil", lower_hex(F.col("perfil")))
 
 
-def _objects(kind: str, mode: str) -> Column:
-    """The objects of a text. The parser stops at the end of the first value it
-    reads; in brackets, that is the end of the text."""
+def _objects(kind: str) -> Column:
+    """The objects of a text, null if it is malformed.
+
+    The parser stops at the end of the first value it reads; in brackets, that is
+    the end of the text.
+    """
     listed = F.concat(F.lit("["), "value", F.lit("]"))
-    return F.from_json(listed, f"array<map<string,{kind}>>", {"mode": mode, "allowSingleQuotes": "false"})
+    return F.from_json(listed, f"array<map<string,{kind}>>", {"allowSingleQuotes": "false"})
 
 
 def _is_one(objects: str) -> Column:
@@ -91,7 +94,7 @@ def _either(known: Column, name: str, kind: str) -> Column:
 
 def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Opt-in: messages that are JSON objects, and the ones that are not."""
-    parsed = messages.withColumn("objects", _objects("variant", "PERMISSIVE"))
+    parsed = messages.withColumn("objects", _objects("variant"))
     one = _is_one("objects")
     return parsed.where(one).drop("objects"), parsed.where(~one).drop("objects")
 
