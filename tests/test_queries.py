@@ -2,8 +2,8 @@ import pytest
 from compare import differences, oracle
 
 import __spark_entry__ as contract
-
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+from verdictflow.plans.oracle import ORACLE_SQL as SQL
+from verdictflow.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,6 +13,9 @@ def connection(sf_dir):
 
 def test_every_query_has_its_sql():
     assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.items() <= contract.queries().items()
+    assert SQL.items() <= contract.oracle_sql().items()
+    assert contract.oracle_sql().keys() <= contract.queries().keys()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
