@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictflow.llm import chat, exact, pii, quality, warc
+from verdictflow.llm import bpe, chat, exact, mixing, pii, quality, toxicity, warc
 from verdictflow.llm.common import table
 
 
@@ -19,6 +19,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 1, 2, 3 in turn."""
+    documents = table(spark, sf_dir, "documents")
+    found = mixing.mix(documents, mixing.cycled_weights(documents))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the verdict of the learned decision list, for every document."""
     found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,6 +39,41 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of an installed vocabulary."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and its ids decoded."""
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
+def token_digests(documents: DataFrame) -> DataFrame:
+    tokens = bpe.round_trip(documents, *tokenizer())
+    return tokens.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned outside the held-out fifth."""
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -64,5 +106,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op3_quality_rules, op5_exact_dedup, op9_chat_format, op10_warc)
+    f.__name__: f for f in (op1_pii, op2_mixing, op3_quality_rules, op5_exact_dedup, op7_bpe, op8_toxicity, op9_chat_format, op10_warc)
 }
