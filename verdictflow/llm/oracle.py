@@ -39,4 +39,23 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 FROM chats
 """
 
-ORACLE_SQL = {"op5_exact_dedup": _EXACT, "op9_chat_format": _CHAT}
+_SUBSTRINGS = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), wins AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM t WHERE len(w) >= 13)
+), first AS (
+  SELECT win, min(doc_id) AS low FROM wins GROUP BY win HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT DISTINCT doc_id, p + o AS p FROM wins JOIN first USING (win), range(13) r(o) WHERE doc_id > low
+), kept AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.p) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t) w ANTI JOIN hit USING (doc_id, p)
+  GROUP BY w.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_substring_dedup": _SUBSTRINGS, "op5_exact_dedup": _EXACT, "op9_chat_format": _CHAT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictflow.llm import bpe, chat, exact, mixing, pii, quality, toxicity, warc
+from verdictflow.llm import bpe, chat, exact, mixing, pii, quality, substrings, toxicity, warc
 from verdictflow.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *base, "base_failed", "kept", "rule")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word passages of earlier ones."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of every document."""
     found = exact.exact_groups(table(spark, sf_dir, "documents"))
@@ -106,5 +111,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_mixing, op3_quality_rules, op5_exact_dedup, op7_bpe, op8_toxicity, op9_chat_format, op10_warc)
+    f.__name__: f for f in (op1_pii, op2_mixing, op3_quality_rules, op4_substring_dedup, op5_exact_dedup, op7_bpe, op8_toxicity, op9_chat_format, op10_warc)
 }
