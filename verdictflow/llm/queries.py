@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictflow.llm import bpe, chat, exact, mixing, pii, quality, substrings, toxicity, warc
+from verdictflow.llm import bpe, chat, exact, jaccard, mixing, pii, quality, substrings, toxicity, warc
 from verdictflow.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document and its number of links."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:
     """Ranks and pattern of an installed vocabulary."""
     import public_tokenizers
@@ -111,5 +116,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_mixing, op3_quality_rules, op4_substring_dedup, op5_exact_dedup, op7_bpe, op8_toxicity, op9_chat_format, op10_warc)
+    f.__name__: f
+    for f in (
+        op1_pii, op2_mixing, op3_quality_rules, op4_substring_dedup, op5_exact_dedup,
+        op6_jaccard_join, op7_bpe, op8_toxicity, op9_chat_format, op10_warc,
+    )
 }
