@@ -173,7 +173,7 @@ def _codec(ranks: dict[bytes, int], pattern: str):
         raise ValueError("ranks must be 0, 1, ... and hold every byte")
     sql = _connection()
     sql.register("vocab", pa.table({"hex": [t.hex() for t in ranks], "id": pa.array(list(ranks.values()), pa.int32())}))
-    merges = sql.execute(_MERGES).to_arrow_table()
+    merges = sql.sql(_MERGES).to_arrow_table()
     sql.close()
     return lambda: Codec(ranks, merges, pattern)  # DuckDB's objects stay where they are made
 

@@ -225,23 +225,25 @@ def logistic(points: list[tuple[float, int]], ridge: float = 0.01) -> tuple[floa
     return (a, b) if b > 0 else (math.log((ones + 0.5) / (len(points) - ones + 0.5)), 0.0)
 
 
-def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: ``id_column``, ``score`` from 0 to 1 and ``passages`` (start, end, score).
+def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``id_column``, the columns ``carry``, ``score`` from 0 to 1 and ``passages`` (start, end, score).
 
     Starts and ends are code points of the whole text, end exclusive. Null and empty
     texts have no passages and the score of no evidence. Rows are independent, so
-    repeated rows give repeated results; null ids stay; other columns are not read.
+    repeated rows give repeated results; null ids stay; columns not named are not read.
     """
-    schema = documents.select(F.col(id_column), F.lit(None).cast("double").alias("score"), F.lit(None).cast(PASSAGES).alias("passages")).schema
+    names = list(dict.fromkeys([id_column, *carry]))
+    schema = documents.select(*names, F.lit(None).cast("double").alias("score"), F.lit(None).cast(PASSAGES).alias("passages")).schema
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, passages = [], []
-            for text in batch.column(1):
+            for text in batch.column(len(names)):
                 evidence, found = scan(text.as_py() or "", model)
                 scores.append(model.probability(evidence))
                 passages.append([{"start": a, "end": b, "score": s} for a, b, s in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, kind)], [id_column, "score", "passages"])
+            made = [pa.array(scores, pa.float64()), pa.array(passages, kind)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], [*names, "score", "passages"])
 
-    return documents.select(id_column, text_column).mapInArrow(run, schema)
+    return documents.select(*names, F.col(text_column).alias("scored text")).mapInArrow(run, schema)
