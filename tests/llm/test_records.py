@@ -1,0 +1,112 @@
+"""Chat formatting and WARC archives: round trips."""
+
+import base64
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from verdictflow.llm import chat, warc
+
+PAGES = [
+    (5, "http://a/", "<p>same</p>"), (3, "http://b/\r\nX: y", "<p>same</p>"), (4, None, "<p>é</p>"), (9, "u", None), (8, "v", ""),
+    (None, "w", "<p>same</p>"), (7, "x", "long " * 300_000), (3, "http://b/", "<p>same</p>"), (6, "y", "a\r\n\r\nb\r\n\r\n"),
+]
+
+
+@pytest.fixture
+def pages(spark):
+    rows = [(*p, "other") for p in PAGES]
+    return spark.createDataFrame(rows, "page_id long, url string, html string, record_type string").repartition(2)
+
+
+def digest(html):
+    return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+
+
+def test_pages_come_back(pages):
+    found = warc.read_warc(warc.write_warc(pages)).collect()
+    got = sorted((r.record_id.removeprefix(warc.ID), r.payload_bytes, r.payload_digest, r.record_type, (r.refers_to or "").removeprefix(warc.ID)) for r in found)
+    expected = []
+    for i, _, html in PAGES:
+        ids = [p for p, _, h in PAGES if (h or "") == (html or "")]
+        first = min(x for x in ids if x is not None)
+        kind = ("response", "") if i == first else ("revisit", str(first))
+        expected.append((str(i).replace("None", "null"), len((html or "").encode()), digest(html), *kind))
+    assert got == sorted(expected)
+    payloads = {r.record_id.removeprefix(warc.ID): bytes(r.payload) for r in found if r.record_type == "response"}
+    assert payloads == {"3": b"<p>same</p>", "4": "<p>é</p>".encode(), "6": b"a\r\n\r\nb\r\n\r\n", "7": b"long " * 300_000, "8": b""}
+
+
+def test_small_payloads_are_no_revisits(pages):
+    found = warc.read_warc(warc.write_warc(pages, min_bytes=5), payloads=False)
+    assert {r.record_id for r in found.filter("payload_bytes = 0 and record_type = 'response'").collect()} == {warc.ID + "8", warc.ID + "9"}
+    assert found.filter("payload is not null").isEmpty()
+
+
+def test_archives_are_closed_at_their_size(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, "u", "".join(rng.choices("abcdefghijklmnop", k=500_000))) for i in range(12)]
+    chunks = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), archive_bytes=1 << 20)
+    assert chunks.select("archive").distinct().count() > 1
+    assert warc.read_warc(chunks).count() == 12
+
+
+def test_no_pages(pages):
+    assert warc.read_warc(warc.write_warc(pages.limit(0))).isEmpty()
+
+
+def test_files_are_read_and_other_records_passed_over(spark, tmp_path):
+    info = warc._member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:x>")], b"software: s\r\n")
+    page = warc.page_record("1", "http://a/", b"hello", None, "2020-01-01T00:00:00Z")
+    (tmp_path / "one.warc.gz").write_bytes(info + page)
+    (row,) = warc.read_warc(warc.archive_files(spark, f"{tmp_path}/*.warc.gz")).collect()
+    assert (row.target_uri, bytes(row.payload), row.archive.rpartition("/")[2]) == ("http://a/", b"hello", "one.warc.gz")
+
+
+def test_reader_takes_any_chunks_and_finds_damage():
+    members = [warc.page_record(str(i), "u", b"x" * 1000 * i, None, "d") for i in range(4)]
+    whole = b"".join(members)
+    for size in (1, 7, 1000, len(whole)):
+        chunks = [whole[i : i + size] for i in range(0, len(whole), size)]
+        assert [len(block) for _, block in warc.read_records(chunks)] == sorted(len(b) for _, b in warc.read_records([whole]))
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.read_records([whole[:-5]]))
+    with pytest.raises(ValueError, match="damaged"):
+        list(warc.read_records([whole[:60] + b"\xff\xff\xff" + whole[63:]]))
+    pack = lambda raw: (c := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(raw) + c.flush()
+    with pytest.raises(ValueError, match="not 9 bytes"):
+        list(warc.read_records([pack(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")]))
+    with pytest.raises(ValueError, match="another digest"):
+        list(warc.read_records([pack(b"WARC/1.1\r\nWARC-Block-Digest: sha1:AAAA\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")]))
+
+
+TURNS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", "a\nb"), (1, 2, "user", None), (1, 3, "assistant", "</s>[INST] x \\ [/INST]<s>\\"),
+    (2, 0, "system", "[INST]"), (2, 0, "assistant", "\\"), (2, 0, "assistant", "\\"), (2, None, None, "[/INST]user[INST]"),
+    (3, 5, "[INST", "</s"), (3, 6, "[/INST]", ""), (3, 7, "a<s>b", "</" * 3), (None, 0, "assistant", "x" * 200_000), (4, 0, "user", "<\\s><s>"),
+]
+
+
+def test_chats_come_back(spark):
+    rows = spark.createDataFrame([(*t, "other") for t in TURNS], "conv_id long, turn long, role string, text string, formatted string")
+    formatted = chat.format_chats(rows)
+    back = chat.read_chats(formatted, "conv_id").withColumn("loss", chat.loss_text(F.col("turns"))).collect()
+    assert len(back) == 5
+    key = lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or "")
+    for row in back:
+        own = sorted((t for t in TURNS if t[0] == row.conv_id), key=key)
+        assert [tuple(t) for t in row.turns] == [(t[2] or "", t[3] or "") for t in own]
+        assert row.loss == "".join(t[3] or "" for t in own if t[2] == "assistant")
+    assert chat.format_chats(rows.limit(0)).isEmpty()
+
+
+def test_control_strings_of_texts_are_escaped(spark):
+    rows = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    for row in chat.format_chats(rows).collect():
+        n = sum(t[0] == row.conv_id for t in TURNS)
+        assert row.formatted.count("<s>") == row.formatted.count("</s>") == n
+        assert row.formatted.count("[INST]") + row.formatted.count("[/INST]") == n
