@@ -102,14 +102,10 @@ def numbered_files(spark, tmp_path, sizes):
     return spark.read.schema("n bigint").csv(str(tmp_path))
 
 
-@pytest.mark.parametrize("broadcast_limit", [2**20, 0])
-def test_row_numbers_are_dense_and_in_file_order(spark, tmp_path, small_splits, monkeypatch, broadcast_limit):
-    monkeypatch.setattr(row_id, "BROADCAST_BYTES", broadcast_limit)
+def test_row_numbers_are_dense_and_in_file_order(spark, tmp_path, small_splits):
     scan = numbered_files(spark, tmp_path, [5, 2000, 0, 1, 700, 1500, 3])
     assert scan.rdd.getNumPartitions() > 10
     numbered = number_rows(scan)
-    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
-    assert ("strategy=broadcast" in plan) == (broadcast_limit > 0)
     assert numbered.columns == ["row_id", "n"]
     assert numbered.count() == 4209
     assert numbered.where("row_id <> n").count() == 0
@@ -142,6 +138,17 @@ def test_row_numbers_move_no_rows(spark, tmp_path):
     assert "hashpartitioning" not in plan and "Sort" not in plan
 
 
+def test_too_many_splits_are_refused(spark, tmp_path, small_splits, monkeypatch):
+    monkeypatch.setattr(row_id, "MAX_SPLITS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        number_rows(numbered_files(spark, tmp_path, [2000]))
+
+
+def test_the_number_of_splits_is_fixed_for_both_passes(spark, tmp_path):
+    number_rows(numbered_files(spark, tmp_path, [50]))
+    assert int(spark.conf.get("spark.sql.files.minPartitionNum")) == spark.sparkContext.defaultParallelism
+
+
 def test_unique_numbers(spark, tmp_path, small_splits):
     ids = unique_row_ids(numbered_files(spark, tmp_path, [2000]))
     assert ids.select(F.countDistinct("row_id")).first()[0] == 2000

@@ -35,9 +35,6 @@ LABEL_FIELD = "target_real"  # never shown to the model
 ID_FIELD = "id_cliente"
 ABSENT_FIELD = -1  # value of a label or id field the message does not have
 
-RAW_TOPIC = "credit_applications_raw"
-SCORED_TOPIC = "credit_applications_scored"
-
 # --- Verdicts -----------------------------------------------------------------
 
 VALID_VERDICTS = frozenset({1, 2})
@@ -50,7 +47,6 @@ ERROR_TEXT = "erro: {} - {}"
 REQUEST_TIMEOUT_S = 30.0
 OPERATOR_TIMEOUT_S = 120.0
 MAX_IN_FLIGHT = 1
-SCORING_PARALLELISM = 2
 COMMIT_INTERVAL = "10 seconds"
 
 # --- Prompt: the profile JSON follows directly -------------------------------

@@ -18,19 +18,20 @@ def json_text(value: Column) -> Column:
 
 
 def json_number(value: Column) -> Column:
-    """JSON text of an integer column."""
+    """JSON text of an integer column, or of one that holds JSON text."""
     return F.coalesce(value.cast("string"), F.lit("null"))
 
 
-def json_record(fields: dict[str, Column]) -> Column:
+def json_record(fields: dict[str, Column], spaces: bool = True) -> Column:
     """JSON object from field names and the JSON text of their values."""
     parts: list[Column] = []
+    comma, colon = (", ", ": ") if spaces else (",", ":")
     for name, value in fields.items():
-        parts += [F.lit(f'{", " if parts else "{"}"{name}": '), value]
+        parts += [F.lit(f'{comma if parts else "{"}"{name}"{colon}'), value]
     return F.concat(*parts, F.lit("}"))
 
 
-def record_of(schema: T.StructType, row: Column | None = None, without: str | None = None) -> Column:
+def record_of(schema: T.StructType, row: Column | None = None, without: str | None = None, spaces: bool = True) -> Column:
     """JSON object of the string and integer fields of a schema, in its order.
 
     The fields are columns of their own, or fields of ``row``.
@@ -41,7 +42,7 @@ def record_of(schema: T.StructType, row: Column | None = None, without: str | No
             value = F.col(field.name) if row is None else row[field.name]
             as_json = json_text if isinstance(field.dataType, T.StringType) else json_number
             fields[field.name] = as_json(value)
-    return json_record(fields)
+    return json_record(fields, spaces)
 
 
 def lower_hex(text: Column) -> Column:

@@ -16,18 +16,20 @@ from verdictflow.schemas import RAW_SCHEMA, SCORED_SCHEMA, SCORED_TABLE_SCHEMA
 def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Split each message into id, outcome and the profile shown to the model.
 
-    Messages may have any fields, in any order, and the profile keeps both. A
-    text that is no JSON object fails the job; ``split_malformed`` sets such
-    texts aside first.
+    Messages may have any fields, in any order, and the profile keeps both. Id and
+    outcome may be of any type: they come as JSON text, a JSON null as null, and go
+    into the scored message as they are; only a table casts them. A text that is no
+    JSON object fails the job; ``split_malformed`` sets such texts aside first.
 
-    Most messages are ones ``raw_message`` wrote. Those read under the known
-    schema, and are recognised by writing them again: if that gives the same
+    Most messages have the known fields. Those read under the known schema, and are
+    recognised by writing them again, with spaces or compactly: if that gives the same
     text, the known fields are all there is. Only the others take the long way.
     """
     value, known = F.col("value"), F.col("known")
-    names_known = reduce(and_, (value.contains(f'"{name}": ') for name in RAW_SCHEMA.fieldNames()))
+    names_known = reduce(and_, (value.contains(f'"{name}":') for name in RAW_SCHEMA.fieldNames()))
     as_known = messages.select(*carry, "value", F.when(names_known, F.from_json("value", RAW_SCHEMA)).alias("known"))
-    same = known.isNotNull() & record_of(RAW_SCHEMA, known).eqNullSafe(value)
+    spaced, compact = (record_of(RAW_SCHEMA, known, spaces=spaces).eqNullSafe(value) for spaces in (True, False))
+    same = known.isNotNull() & F.when(value.startswith(f'{{"{ID_FIELD}": '), spaced).otherwise(compact)
     checked = as_known.select(*carry, "value", "known", same.alias("same"))
 
     as_maps = lambda kind: F.when(~F.col("same"), _objects(kind))
@@ -47,8 +49,7 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     open_profile = F.concat(F.lit("{"), F.array_join(F.transform(shown, _member_text), ", "), F.lit("}"))
     split = opened.select(
         *carry,
-        _either(known[ID_FIELD], ID_FIELD, "bigint"),
-        _either(known[LABEL_FIELD], LABEL_FIELD, "int"),
+        *[_either(known[name], members, name) for name in (ID_FIELD, LABEL_FIELD)],
         F.when(F.col("same"), record_of(RAW_SCHEMA, known, without=LABEL_FIELD)).otherwise(open_profile).alias("perfil"),
     )
     return split.withColumn("perfil", lower_hex(F.col("perfil")))
@@ -79,17 +80,29 @@ def _last_of_each(members: str) -> Column:
 
 
 def _member_text(member: Column) -> Column:
-    """JSON text of a member: quoted if it was, else as it was, on one line."""
+    """A member with its name, on one line."""
+    return F.concat(json_text(member["names"]), F.lit(": "), _value_text(member))
+
+
+def _value_text(member: Column) -> Column:
+    """JSON text of a member's value: quoted if it was, else as it was."""
     quoted = F.schema_of_variant(member["values"]) == "STRING"
-    value = F.when(quoted, json_text(member["plain"])).otherwise(F.coalesce(member["plain"], F.lit("null")))
-    return F.concat(json_text(member["names"]), F.lit(": "), value)
+    return F.when(quoted, json_text(member["plain"])).otherwise(F.coalesce(member["plain"], F.lit("null")))
+
+
+def _either(known: Column, members: Column, name: str) -> Column:
+    """JSON text of a field; only an absent one gets the default, a null stays null."""
+    own = F.transform(F.filter(members, lambda member: member["names"] == name), _value_text)
+    text = F.when(F.size(own) == 0, F.lit(str(ABSENT_FIELD))).otherwise(F.nullif(F.get(own, F.lit(0)), F.lit("null")))
+    return F.when(F.col("same"), known.cast("string")).otherwise(text).alias(name)
 
 
-def _either(known: Column, name: str, kind: str) -> Column:
-    """A number field; only an absent one gets the default, a null stays null."""
-    value = F.variant_get(F.col("fields")[name], "$", kind)
-    opened = F.when(F.map_contains_key("fields", F.lit(name)), value).otherwise(F.lit(ABSENT_FIELD).cast(kind))
-    return F.when(F.col("same"), known).otherwise(opened).alias(name)
+def message_ids(messages: DataFrame) -> DataFrame:
+    """The ids of messages alone, as text without quotes; -1 for an absent one."""
+    own, names = F.get_json_object("value", f"$.{ID_FIELD}"), F.json_object_keys("value")
+    no_object = F.raise_error(F.concat(F.lit("message is not a JSON object: "), F.coalesce("value", F.lit("NULL")))).cast("string")
+    absent = F.when(names.isNull(), no_object).when(~F.array_contains(names, ID_FIELD), F.lit(str(ABSENT_FIELD)))
+    return messages.select(F.when(own.isNotNull(), own).otherwise(absent).alias(ID_FIELD))
 
 
 def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

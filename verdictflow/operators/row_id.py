@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from verdictflow.session import scratch_path
 
-# The split table is broadcast up to this size, which is over a million splits with
-# paths of 150 bytes, or 128 TB at the default split size. Beyond it is joined by
-# shuffle.
-BROADCAST_BYTES = 256 * 2**20
-BYTES_BESIDE_PATH = 64
+#: The split table is always broadcast: 20 bytes a split, a million splits at 128 TB.
+MAX_SPLITS = 8_000_000
+_SPLITS = "spark.sql.files.minPartitionNum"
 
 
 def number_rows(scan: DataFrame, id_column: str = "row_id") -> DataFrame:
@@ -19,30 +17,36 @@ def number_rows(scan: DataFrame, id_column: str = "row_id") -> DataFrame:
 
     A first pass counts the rows of each input split. The counts, one row per
     split, give every split its first number; the second pass adds the place
-    within the split. The rows are neither shuffled nor sorted. Should the second
-    pass see other splits than the first, the job fails instead of misnumbering.
+    within the split. The rows are neither shuffled nor sorted. Both passes must see
+    the same splits, so the session's smallest number of splits, which Spark would
+    take from the cores it has at the moment, is fixed unless it is set. Should the
+    second pass see other splits all the same, the job fails instead of misnumbering.
     """
     spark = scan.sparkSession
-    split = ["file", "start", "length", "task"]
+    if spark.conf.get(_SPLITS, None) is None:
+        spark.conf.set(_SPLITS, spark.sparkContext.defaultParallelism)
+    place = [F.col(f"_metadata.{name}") for name in ("file_path", "file_block_start", "file_block_length")]
     placed = scan.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.col("_metadata.file_block_length").alias("length"),
+        place[0].alias("file"),
+        place[1].alias("start"),
         F.spark_partition_id().alias("task"),
+        F.xxhash64(*place).alias("split"),
         F.monotonically_increasing_id().alias("place"),
         *scan.columns,
     )
-    counts = placed.groupBy(*split).agg(F.count("*").alias("rows"), F.min("place").alias("first_place"))
+    counts = placed.groupBy("task", "split", "file", "start").agg(F.count("*").alias("rows"), F.min("place").alias("first_place"))
+    # One task orders the splits, not the rows.
     before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first_place")
     path = scratch_path(spark, "splits")
-    counts.withColumn("first_id", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows").write.parquet(path)
+    counts.select("task", "split", shift.alias("shift")).write.parquet(path)
     splits = spark.read.parquet(path)
-    size = splits.agg(F.sum(F.octet_length("file") + BYTES_BESIDE_PATH)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        splits = F.broadcast(splits)
-    row_id = F.col("first_id") + F.col("place") - F.col("first_place")
+    n, distinct = splits.agg(F.count("*"), F.count_distinct("task", "split")).first()
+    if n > MAX_SPLITS or n > distinct:
+        raise ValueError(f"{n} splits, {distinct} of them distinct: more than {MAX_SPLITS}, or two that look alike")
     moved = F.raise_error(F.lit("the file splits changed between the two passes")).cast("bigint")
-    return placed.join(splits, split, "left").select(F.coalesce(row_id, moved).alias(id_column), *scan.columns)
+    row_id = F.coalesce(F.col("place") + F.col("shift"), moved)
+    return placed.join(F.broadcast(splits), ["task", "split"], "left").select(row_id.alias(id_column), *scan.columns)
 
 
 def unique_row_ids(scan: DataFrame, id_column: str = "row_id") -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictflow.schemas import APPLICATION_FILE_SCHEMA
-from verdictflow.session import spread
 
 _USED = {
     "_c0": "CASE WHEN o_totalprice >= 400000 THEN 'A13' WHEN o_orderstatus = 'F' THEN 'A11' "
@@ -27,12 +26,13 @@ def coded_applications(spark: SparkSession, sf_dir: str, tasks: int = 0) -> Data
     """Order key and the 21 fields of an application file.
 
     The purposes include two codes without a label; amounts have a fraction. With
-    ``tasks`` given, a scan in fewer tasks is spread while its rows are narrow.
+    ``tasks`` given, the rows are dealt over as many tasks while they are narrow.
     """
     unused = {
         f.name: f"concat('A', {i}, 1 + o_custkey % 4)" if f.dataType.typeName() == "string" else "CAST(1 + o_custkey % 4 AS INT)"
         for i, f in enumerate(APPLICATION_FILE_SCHEMA)
     }
     fields = {**unused, **_USED}
-    orders = spread(table(spark, sf_dir, "orders"), tasks) if tasks else table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
+    orders = orders.repartition(tasks) if tasks else orders
     return orders.select("o_orderkey", *[F.expr(e).alias(n) for n, e in fields.items()])

@@ -89,11 +89,13 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_PROFILE}
         SELECT id_cliente, open_text || ', "target_real": ' || target_real || '}}' AS value FROM profiles""",
     "json_defaults": """
-        SELECT event_type, event_id AS id_cliente,
-          CAST(CASE event_type WHEN 'view' THEN NULL WHEN 'purchase' THEN user_id ELSE -1 END AS INTEGER) AS target_real
+        SELECT event_type,
+          CASE WHEN event_type = 'signup' THEN '"abc-' || event_id || '"' WHEN event_type = 'error' THEN event_id || '.5'
+            WHEN user_id < 10 THEN NULL WHEN user_id < 20 THEN 'true' ELSE CAST(event_id AS VARCHAR) END AS id_cliente,
+          CASE event_type WHEN 'view' THEN NULL WHEN 'purchase' THEN CAST(user_id AS VARCHAR) ELSE '-1' END AS target_real
         FROM events""",
     "label_holdout": """
-        SELECT doc_id AS id_cliente, quality AS target_real,
+        SELECT CAST(doc_id AS VARCHAR) AS id_cliente, CAST(quality AS VARCHAR) AS target_real,
           '{"toxic": ' || toxic || ', "id_cliente": ' || doc_id || '}' AS perfil
         FROM labels""",
     "prompt_render": f"""
@@ -160,6 +162,17 @@ ORACLE_SQL: dict[str, str] = {
     "replay_append": """
         SELECT event_id, event_type, count(*) AS copies
         FROM (SELECT * FROM events UNION ALL SELECT * FROM events) GROUP BY event_id, event_type""",
+    "replay_same_path": """
+        SELECT event_id, event_type, count(*) AS copies
+        FROM (SELECT * FROM events UNION ALL SELECT * FROM events) GROUP BY event_id, event_type""",
+    "score_failures": """
+        SELECT event_id, CAST(CASE event_type WHEN 'view' THEN 2 ELSE 0 END AS INTEGER) AS predicao,
+          CASE event_type WHEN 'error' THEN 'erro: ConnectionError - down ' || event_id
+            WHEN 'signup' THEN 'erro: TimeoutError - '
+            WHEN 'purchase' THEN 'erro: TypeError - unhashable type: ''list'''
+            WHEN 'click' THEN 'erro: TypeError - unhashable type: ''dict'''
+            ELSE '{''a'': 1}' END AS justificativa
+        FROM events""",
     "ingest_counts": """
         SELECT count(*) AS rows, count(*) FILTER (event_type = 'error') AS failed FROM events""",
     "snapshot_as_of": """
@@ -173,4 +186,8 @@ ORACLE_SQL: dict[str, str] = {
     "snapshot_rollback": """
         SELECT event_id, user_id, event_type, ts, CAST(0 AS BIGINT) AS snapshot_id
         FROM events WHERE ts < TIMESTAMP '2024-01-11'""",
+    "snapshot_compact": """
+        SELECT event_id, user_id, event_type, ts,
+          CAST(CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS BIGINT) AS snapshot_id
+        FROM events""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,11 @@ from verdictflow.operators import evaluate
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
 from verdictflow.operators.payload import decode_applications, profile, raw_message
 from verdictflow.operators.row_id import number_rows
-from verdictflow.operators.scorers import RubricScorer
+from verdictflow.operators.scorers import RubricScorer, Scorer
 from verdictflow.operators.scoring import score
 from verdictflow.operators.snapshots import (
     append_snapshot,
+    compact,
     create_snapshot_table,
     read_as_of,
     read_latest,
@@ -27,7 +30,7 @@ from verdictflow.operators.snapshots import (
 from verdictflow.operators.verdict import verdict
 from verdictflow.plans.applications import coded_applications, table
 from verdictflow.plans.steps import file_applications, pending, score_batch
-from verdictflow.session import scratch_path, spread
+from verdictflow.session import delete_folder, scratch_path
 from verdictflow.sources.files import scan_applications
 from verdictflow.sources.tables import (
     create_database,
@@ -48,6 +51,7 @@ def _decoded(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
 
 
 def _tasks(spark: SparkSession) -> int:
+    """Tasks that the queries with a model or file stage ask for: the test tables are one row group each."""
     return spark.sparkContext.defaultParallelism
 
 
@@ -71,14 +75,22 @@ def application_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event messages whose label is absent, null or given, by event type."""
+    """Event messages whose label is absent, null or given, and ids of every type, by event type."""
     events = table(spark, sf_dir, "events")
+    number = F.col("event_id").cast("string")
+    own_id = (
+        F.when(F.col("event_type") == "signup", F.concat(F.lit('"abc-'), number, F.lit('"')))
+        .when(F.col("event_type") == "error", F.concat(number, F.lit(".5")))
+        .when(F.col("user_id") < 10, F.lit("null"))
+        .when(F.col("user_id") < 20, F.lit("true"))
+        .otherwise(number)
+    )
     label = (
         F.when(F.col("event_type") == "view", F.lit(', "target_real": null'))
         .when(F.col("event_type") == "purchase", F.format_string(', "target_real": %d', "user_id"))
         .otherwise(F.lit(""))
     )
-    text = F.concat(F.lit('{"id_cliente": '), F.col("event_id"), F.lit(', "props": '), F.col("props"), label, F.lit("}"))
+    text = F.concat(F.lit('{"id_cliente": '), own_id, F.lit(', "props": '), F.col("props"), label, F.lit("}"))
     parsed = parse_messages(events.select("event_type", text.alias("value")), carry=("event_type",))
     return parsed.select("event_type", "id_cliente", "target_real")
 
@@ -117,7 +129,7 @@ def validate_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = F.when(F.col("value") < 5, F.lit("error")).otherwise(F.lit("response"))
     envelope = F.to_json(F.create_map(field, answer))
     judged = verdict(envelope).alias("verdict")
-    return spread(events, _tasks(spark)).select("event_id", judged).select("event_id", "verdict.*")
+    return events.repartition(_tasks(spark)).select("event_id", judged).select("event_id", "verdict.*")
 
 
 # --- Files --------------------------------------------------------------------
@@ -164,6 +176,28 @@ def scored_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_scored(_scored(spark, sf_dir).select(scored_message().alias("value")))
 
 
+class ScriptedScorer(Scorer):
+    """Answers, breaks and stalls by what the profile says."""
+
+    def answer(self, profile: str, timeout_s: float) -> str:
+        event = json.loads(profile)
+        if event["event_type"] == "error":
+            raise ConnectionError(f"down {event['event_id']}")
+        if event["event_type"] == "signup":
+            time.sleep(timeout_s)
+            raise TimeoutError
+        answers = {"purchase": {"predicao": [1]}, "view": {"predicao": 2.0, "justificativa": {"a": 1}}, "click": {"predicao": {}}}
+        return json.dumps({"response": json.dumps(answers[event["event_type"]])})
+
+
+def score_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors, timeouts and verdicts of the wrong type, with several calls in flight."""
+    events = table(spark, sf_dir, "events")
+    requests = events.select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("perfil"))
+    judged = score(requests, ScriptedScorer(), max_in_flight=4, partitions=_tasks(spark), request_timeout_s=0.001)
+    return judged.select("event_id", "predicao", "justificativa")
+
+
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion_matrix(_scored(spark, sf_dir))
 
@@ -187,7 +221,7 @@ def topic_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, scored = _raw_topic(spark, sf_dir), FileTopic(scratch_path(spark, "scored"))
     score_batch(spark, raw, scored, RubricScorer(), model_name=MODEL)
     raw.append(_decoded(spark, sf_dir, _tasks(spark)).select(raw_message().alias("value")))
-    return pending(spark, raw, scored)
+    return pending(spark, raw, scored).withColumn("id_cliente", F.col("id_cliente").cast("bigint"))
 
 
 # --- Streams ------------------------------------------------------------------
@@ -196,7 +230,7 @@ def topic_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _event_topic(spark: SparkSession, sf_dir: str) -> FileTopic:
     """Events as messages, in more files than one commit takes in."""
     topic = FileTopic(scratch_path(spark, "events"))
-    events = spread(table(spark, sf_dir, "events"), 2 * _tasks(spark))
+    events = table(spark, sf_dir, "events").repartition(2 * _tasks(spark))
     topic.append(events.select(F.to_json(F.struct("*"), _EVENT_TIME).alias("value")))
     return topic
 
@@ -236,6 +270,16 @@ def replay_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_latest(spark, name).groupBy("event_id", "event_type").agg(F.count("*").alias("copies"))
 
 
+def replay_same_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose checkpoint was lost starts over at the same path, with other bounds: nothing is lost."""
+    topic, progress = _event_topic(spark, sf_dir), scratch_path(spark, "progress")
+    name = _event_table(spark, _event_stream(spark, topic))
+    for files in (_tasks(spark), 2 * _tasks(spark)):
+        delete_folder(spark, progress)
+        insert_stream(_event_stream(spark, topic, per_trigger=files), name, progress, interval=None).awaitTermination()
+    return read_latest(spark, name).groupBy("event_id", "event_type").agg(F.count("*").alias("copies"))
+
+
 def _database(spark: SparkSession) -> str:
     warehouse = scratch_path(spark, "warehouse")
     name = "scored_" + warehouse[-32:]
@@ -326,6 +370,13 @@ def snapshot_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_as_of(spark, name, 99)
 
 
+def snapshot_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after its first two commits have been joined."""
+    name = _event_snapshots(spark, sf_dir)
+    compact(spark, name, keep=1)
+    return read_as_of(spark, name, 99)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -341,6 +392,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scan_types,
         score_applications,
         scored_projection,
+        score_failures,
         confusion_matrix,
         agreement_rate,
         prediction_profile,
@@ -348,11 +400,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         topic_backlog,
         stream_append,
         replay_append,
+        replay_same_path,
         score_and_land,
         insert_select,
         ingest_counts,
         snapshot_as_of,
         snapshot_audit,
         snapshot_rollback,
+        snapshot_compact,
     )
 } | {"head_rows": head_of_table}

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from verdictflow.fixed_values import COMMIT_INTERVAL, ID_FIELD
 from verdictflow.operators.evaluate import agreement_rate, backlog, confusion_matrix
-from verdictflow.operators.messages import parse_messages, read_scored, scored_message
+from verdictflow.operators.messages import message_ids, parse_messages, read_scored, scored_message
 from verdictflow.operators.payload import decode_applications, raw_message
 from verdictflow.operators.row_id import number_rows
 from verdictflow.operators.scorers import Scorer
@@ -61,8 +61,8 @@ def scored_rows(spark: SparkSession, scored: Topic) -> DataFrame:
 
 
 def pending(spark: SparkSession, raw: Topic, scored: Topic) -> DataFrame:
-    """Ids with messages that have no verdict yet, and how many."""
-    return backlog(parse_messages(raw.read(spark)), scored_rows(spark, scored), ID_FIELD)
+    """Ids with messages that have no verdict yet, and how many; reads the ids of both topics."""
+    return backlog(message_ids(raw.read(spark)), message_ids(scored.read(spark)), ID_FIELD)
 
 
 def report(spark: SparkSession, table: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
 import tempfile
 import uuid
 
@@ -40,9 +40,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/verdictflow/{name}-{uuid.uuid4().hex}"
 
 
-def commit_name(checkpoint: str, batch_id: int) -> str:
-    """Name of a micro-batch that no other stream's batches have."""
-    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:32]}-{batch_id}"
+class CommitNames:
+    """Names for the micro-batches of a stream that no other stream's batches have.
+
+    They carry the id Spark gave the stream when it made the checkpoint, not the
+    checkpoint's path: a new checkpoint at an old path is a new stream.
+    """
+
+    def __init__(self, checkpoint: str):
+        self.checkpoint, self.id = checkpoint, None
+
+    def of(self, spark: SparkSession, batch_id: int) -> str:
+        if self.id is None:
+            self.id = json.loads(spark.read.text(f"{self.checkpoint}/metadata").first().value)["id"]
+        return f"{self.id}-{batch_id}"
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -65,8 +76,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(file, True)
 
 
-def spread(df: DataFrame, at_least: int) -> DataFrame:
-    """Give a narrow plan at least that many tasks; a wide scan is left alone."""
-    if df.isStreaming or df.rdd.getNumPartitions() < at_least:
-        return df.repartition(at_least)
-    return df
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    files, file = _hadoop(spark, path)
+    goal = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    files.mkdirs(goal.getParent())
+    if not files.rename(file, goal):
+        raise OSError(f"{path} cannot be moved to {to}")
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a glob pattern, hidden files too."""
+    files, file = _hadoop(spark, pattern)
+    return [str(found.getPath().toString()) for found in files.globStatus(file) or ()]

@@ -6,9 +6,10 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from verdictflow.session import commit_name, file_exists, make_folder
+from verdictflow.session import CommitNames, file_exists, make_folder
 
 
 @dataclass(frozen=True)
@@ -16,13 +17,21 @@ class FileTopic:
     """A folder of text files, one message per line, one subfolder per commit."""
 
     path: str
+    #: Streams pass over files that much older than the newest they have seen. The
+    #: default passes over none; Spark's own of a week would lose backfills.
+    max_file_age: str = "36500d"
 
     def append(self, messages: DataFrame, rows_per_file: int = 0, commit: str | None = None) -> None:
-        """Add messages. A named commit that is there in full is not made again."""
+        """Add messages. A named commit that is there in full is not made again.
+
+        A message with a line break, which would come back as several, fails the job.
+        """
         folder = f"{self.path}/{commit or uuid.uuid4().hex}"
         if commit and file_exists(messages.sparkSession, f"{folder}/_SUCCESS"):
             return
-        writer = messages.select("value").write.mode("overwrite")
+        broken = F.raise_error(F.concat(F.lit("message has a line break: "), "value")).cast("string")
+        lines = F.when(F.col("value").rlike("[\\r\\n]"), broken).otherwise(F.col("value"))
+        writer = messages.select(lines.alias("value")).write.mode("overwrite")
         writer.option("maxRecordsPerFile", rows_per_file).text(folder)
 
     def read(self, spark: SparkSession) -> DataFrame:
@@ -34,20 +43,22 @@ class FileTopic:
         The topic may still be empty.
         """
         make_folder(spark, self.path)
-        reader = spark.readStream.option("recursiveFileLookup", True)
+        reader = spark.readStream.option("recursiveFileLookup", True).option("maxFileAge", self.max_file_age)
         if per_trigger:
             reader = reader.option("maxFilesPerTrigger", per_trigger)
         return reader.text(self.path)
 
     def writer(self, messages: DataFrame, checkpoint: str) -> DataStreamWriter:
-        """Commits carry the stream's name, so streams can write one topic in turn.
+        """Commits carry the stream's id, so streams can write one topic in turn.
 
         Spark's own file sink would take the batches of a second checkpoint for
         ones it has already written, and drop them.
         """
 
+        names = CommitNames(checkpoint)
+
         def commit(batch: DataFrame, batch_id: int) -> None:
-            self.append(batch, commit=commit_name(checkpoint, batch_id))
+            self.append(batch, commit=names.of(batch.sparkSession, batch_id))
 
         return messages.select("value").writeStream.foreachBatch(commit)
 

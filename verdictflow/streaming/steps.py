@@ -11,8 +11,8 @@ from verdictflow.fixed_values import COMMIT_INTERVAL
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
 from verdictflow.operators.scorers import Scorer
 from verdictflow.operators.scoring import score
-from verdictflow.operators.snapshots import append_snapshot, number_of
-from verdictflow.session import commit_name
+from verdictflow.operators.snapshots import CommitNumbers, append_snapshot
+from verdictflow.session import CommitNames
 from verdictflow.sources.topics import Topic
 
 
@@ -56,9 +56,11 @@ def insert_stream(
 ) -> StreamingQuery:
     """``INSERT INTO table SELECT ...`` for a streaming select, a snapshot per commit."""
 
+    names, numbers = CommitNames(checkpoint), CommitNumbers(table)
+
     def commit(batch: DataFrame, batch_id: int) -> None:
-        name = commit_name(checkpoint, batch_id)
-        append_snapshot(batch, table, number_of(batch.sparkSession, table, name), name)
+        name = names.of(batch.sparkSession, batch_id)
+        append_snapshot(batch, table, numbers.of(batch.sparkSession, name), name)
 
     return start(rows.writeStream.foreachBatch(commit), checkpoint, interval)
 
