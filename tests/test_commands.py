@@ -29,11 +29,16 @@ def test_four_steps(spark, tmp_path, capsys):
     table = f"db_{warehouse[-32:]}.credit_scored"
     commands.main(["replay", "--file", file, "--raw", raw])
     assert "sent 3 messages" in capsys.readouterr().out
-    score = ["score", "--raw", raw, "--scored", scored, "--checkpoint", str(tmp_path / "p1"), "--once", "--model", "m"]
+    score = ["score", "--raw", raw, "--scored", scored, "--checkpoint", str(tmp_path / "p1"), "--once", "--scorer", "rubric"]
     land = ["land", "--scored", scored, "--table", table, "--warehouse", warehouse, "--checkpoint", str(tmp_path / "p2"), "--once"]
     for _ in range(2):
         commands.main(score)
         commands.main(land)
+    said = capsys.readouterr().out
+    assert said.count("score commit") == 1 and "3 rows, 1 fallbacks" in said
+    assert {r.modelo for r in spark.read.json(f"{scored}/*").collect()} == {"rubric"}
+    commands.main(["lag", "--topic", raw, "--checkpoint", str(tmp_path / "p1")])
+    assert "|    0|    0|" in capsys.readouterr().out
     assert [(r.id_cliente, r.target_real, r.predicao) for r in read_table(spark, table).orderBy("id_cliente").collect()] == [
         (0, 1, 1),
         (1, 2, 2),
@@ -54,6 +59,15 @@ def test_four_steps(spark, tmp_path, capsys):
     assert read_table(spark, table).count() == 6
     commands.main(["inspect", *where, "--as-of", "0"])
     assert capsys.readouterr().out.count("Risco") == 2
+    commands.main(["compact", *where, "--keep", "1"])
+    assert "joined 0 commits" in capsys.readouterr().out
+    commands.main(["compact", *where, "--keep", "0", "--catalog", "spark_catalog"])
+    assert "joined 2 commits" in capsys.readouterr().out and read_table(spark, table).count() == 6
+    commands.main(["rollback", *where, "--to", "-1"])
+    assert read_table(spark, table).count() == 0
+    commands.main(["land", *land[1:-1], "--once"])
+    commands.main(["land", "--scored", scored, *where, "--checkpoint", str(tmp_path / "p3"), "--per-trigger", "1", "--once"])
+    assert read_table(spark, table).count() == 6
     commands.main(["rollback", *where, "--to", "0"])
     assert read_table(spark, table).count() == 3
     assert inspect_arrow(spark, table, rows=1).num_rows == 1
@@ -82,6 +96,33 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         scratch_path(session("spark://host"), "x")
 
 
+def test_pace(spark, texts, tmp_path):
+    staged, raw = (str(tmp_path / n) for n in ("staged", "raw"))
+    FileTopic(staged).append(texts("a", "b", "c").coalesce(1), rows_per_file=1)
+    commands.main(["pace", "--staged", staged, "--raw", raw, "--checkpoint", str(tmp_path / "p"), "--once"])
+    assert FileTopic(raw).read(spark).count() == 3 and len(os.listdir(raw)) == 3
+
+
+@pytest.mark.parametrize("who", [[], ["--url", "http://x/"], ["--scorer", "rubric", "--model", "m"], ["--model", "m"]])
+def test_the_scorer_is_named_and_the_rubric_takes_no_other_name(who):
+    with pytest.raises(SystemExit):
+        commands.main(["score", "--raw", "/a", "--scored", "/b", "--checkpoint", "/c", *who])
+
+
+def test_group_and_catalog_reach_their_places(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(commands, "score_stream", lambda spark, raw, scored, *given, **more: seen.update(raw=raw, scored=scored, **more))
+    monkeypatch.setattr(commands.CommitCounts, "wait_for", lambda self, query: None)
+    commands.main(["score", "--raw", "kafka://b/raw", "--scored", "/s", "--checkpoint", "/c", "--group", "g", "--url", "http://x/", "--model", "m"])
+    assert seen["raw"] == KafkaTopic("b", "raw", "g") and seen["scored"] == FileTopic("/s") and seen["model_name"] == "m"
+    calls = []
+    for name in ("register_catalog", "use_catalog"):
+        monkeypatch.setattr(commands, name, lambda spark, *given, name=name, **options: calls.append((name, *given, options)))
+    commands.choose_catalog(None, "lake=org.example.Catalog", ["warehouse=/a=b"])
+    commands.choose_catalog(None, "lake", [])
+    assert calls == [("register_catalog", "lake", "org.example.Catalog", {"warehouse": "/a=b"}), ("use_catalog", "lake", {}), ("use_catalog", "lake", {})]
+
+
 def test_unknown_step():
     with pytest.raises(SystemExit):
         commands.main(["nothing"])

@@ -5,6 +5,7 @@ import io
 import json
 import os
 import pickle
+import re
 import time
 
 import pytest
@@ -21,7 +22,7 @@ class Slow(io.BytesIO):
 
 
 class Socket:
-    """Keeps what is sent and answers with ``reply``, given as bytes or an error."""
+    """Keeps what is sent and answers with ``reply``: bytes, an error, or a function of what was sent."""
 
     def __init__(self, reply, kind):
         self.reply, self.kind, self.sent, self.timeouts, self.closed = reply, kind, b"", [], False
@@ -33,7 +34,7 @@ class Socket:
         self.sent += data
 
     def makefile(self, *_):
-        return self.kind(self.reply)
+        return self.kind(self.reply(self.sent) if callable(self.reply) else self.reply)
 
     def settimeout(self, seconds):
         self.timeouts.append(seconds)
@@ -153,3 +154,43 @@ def test_timeout_covers_the_whole_reply(ask, sockets):
     assert time.monotonic() - begin < 1
     left = sockets[0][0][2].timeouts
     assert left == sorted(left, reverse=True) and max(left) <= 0.1
+
+
+def asked(sockets, url, reply):
+    made, connect = sockets
+    connect.reply = reply
+    scorer = HttpScorer(url, "m")
+    scorer.open()
+    (answer,) = scorer.ask(["{}"], 30.0)
+    scorer.close()
+    lines = [line for _, _, s in made for line in re.findall("(?:POST|GET) \\S+ HTTP/1.1", s.sent.decode())]
+    return answer, lines, [(host, port) for host, port, _ in made]
+
+
+def test_query_string_is_sent(sockets):
+    answer, lines, _ = asked(sockets, "http://models?api-version=1", http_reply(ENVELOPE))
+    assert answer == ENVELOPE and lines == ["POST /?api-version=1 HTTP/1.1"]
+
+
+def redirect(status, target):
+    return http_reply("", status=status).replace(b"X\r\n", b"X\r\nLocation: " + target.encode() + b"\r\n", 1)
+
+
+@pytest.mark.parametrize("status, method", [(307, "POST"), (308, "POST"), (301, "GET"), (302, "GET"), (303, "GET")])
+def test_redirects_are_followed(sockets, status, method):
+    reply = lambda sent: http_reply(ENVELOPE) if b" /new?x=1 " in sent else redirect(status, "/new?x=1")
+    answer, lines, servers = asked(sockets, "http://models:11434/old", reply)
+    assert answer == ENVELOPE and lines == ["POST /old HTTP/1.1", f"{method} /new?x=1 HTTP/1.1"]
+    assert servers == [("models", 11434)]
+
+
+def test_redirects_to_another_server_and_without_end(sockets):
+    reply = lambda sent: http_reply(ENVELOPE) if b"Host: other:81" in sent else redirect(307, "http://other:81/a")
+    answer, _, servers = asked(sockets, "http://models:80/a", reply)
+    assert answer == ENVELOPE and servers == [("models", 80), ("other", 81)]
+    answer, lines, _ = asked(sockets, "http://models:82/a", redirect(307, "/a"))
+    assert verdict_of(answer)[1].startswith("erro: TooManyRedirects - 307") and sum("/a" in x for x in lines) >= 11
+
+
+def test_a_redirect_status_without_a_place_is_an_answer(sockets):
+    assert asked(sockets, "http://models/", http_reply(ENVELOPE, status=302))[0] == ENVELOPE

@@ -5,6 +5,7 @@ import shutil
 import sys
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.cloudpickle import register_pickle_by_value
@@ -18,7 +19,7 @@ from verdictflow.plans.steps import echo, pending, score_batch, scored_rows
 from verdictflow.session import scratch_path
 from verdictflow.sources.tables import create_database, create_scored_table, create_stream_view, read_table
 from verdictflow.sources.topics import FileTopic, KafkaTopic
-from verdictflow.streaming.metrics import CommitCounts
+from verdictflow.streaming.metrics import CommitCounts, files_behind, offsets_behind
 from verdictflow.streaming.steps import counted, insert_stream, land_stream, paced_replay, score_stream
 
 register_pickle_by_value(sys.modules[__name__])  # workers cannot import the tests
@@ -277,10 +278,24 @@ def test_commits_are_counted_as_they_pass(spark, raw, path, table):
     rows = score(parse_messages(raw.read_stream(spark, per_trigger=1)), SCORER)
     watched = counted(rows, "scored", fallbacks=F.count_if(F.col("predicao") == 0))
     with CommitCounts(spark, "scored") as counts:
-        batches = counts.wait_for(insert_stream(watched.drop("modelo"), table, path("progress"), interval=None))
-    assert sorted(batches) == [0, 1, 2, 3]
-    assert sum(c.rows for c in batches.values()) == 40
-    assert sum(c.fallbacks for c in batches.values()) == 8
+        totals = counts.wait_for(insert_stream(watched.drop("modelo"), table, path("progress"), interval=None))
+    assert totals == {"commits": 4, "rows": 40, "fallbacks": 8}
+
+
+def test_counts_of_two_runs_with_one_name_stay_apart(spark, raw, path):
+    told = []
+    with CommitCounts(spark, "same", lambda batch, c: told.append((batch, c["rows"]))) as counts:
+        for name, files in (("one", 1), ("two", 2)):
+            query = score_stream(spark, raw, FileTopic(path(name)), SCORER, path(f"p-{name}"), per_trigger=files, interval=None, count_as="same")
+            assert counts.wait_for(query) == {"commits": 4 // files, "rows": 40, "fallbacks": 8}
+    assert sorted(batch for batch, _ in told) == [0, 0, 1, 1, 2, 3] and sum(rows for _, rows in told) == 80
+
+
+def test_lag_by_progress(spark, raw, texts, path):
+    run(paced_replay(spark, raw, FileTopic(path("copy")), path("progress"), per_trigger=4, interval=None))
+    assert files_behind(spark, raw, path("progress")).first() == (0, 0)
+    raw.append(texts("x", "yy").coalesce(1))
+    assert files_behind(spark, raw, path("progress/")).first() == (1, 5)
 
 
 def test_bad_message_fails_the_stream(spark, raw, texts, path):
@@ -331,6 +346,13 @@ def test_no_event_time(spark, raw):
     assert "EventTimeWatermark" not in rows._jdf.queryExecution().logical().toString()
 
 
+def test_kafka_lag():
+    source = SimpleNamespace(metrics={"avgOffsetsBehindLatest": "7.0", "maxOffsetsBehindLatest": "9"})
+    assert offsets_behind(SimpleNamespace(lastProgress=SimpleNamespace(sources=[source, source]))) == 14
+    assert offsets_behind(SimpleNamespace(lastProgress=None)) is None
+    assert offsets_behind(SimpleNamespace(lastProgress=SimpleNamespace(sources=[SimpleNamespace(metrics={})]))) is None
+
+
 def test_kafka_options():
     topic = KafkaTopic("b1:9092,b2:9092", "credit_applications_raw", group="scoring")
     assert topic._source() == {

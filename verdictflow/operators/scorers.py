@@ -8,7 +8,7 @@ import select
 import threading
 import time
 from collections.abc import Callable
-from urllib.parse import urlsplit
+from urllib.parse import urljoin, urlsplit
 
 from verdictflow.fixed_values import LOAN_PURPOSE, PROMPT
 
@@ -98,13 +98,20 @@ class ContentTypeError(Exception):
     """The server answered with something not declared as JSON."""
 
 
+class TooManyRedirects(Exception):
+    """The server sent the request on more than ten times."""
+
+
 class HttpScorer(Scorer):
     """Posts each prompt to a generate endpoint and returns the reply body.
 
-    The timeout covers the whole exchange, the status is not looked at, nothing
-    is retried. Each thread keeps one connection for its task's lifetime.
+    The timeout covers the whole exchange, the status is not looked at but for
+    redirects, which are followed, and nothing is retried. Each thread keeps one
+    connection per server for its task's lifetime.
     """
 
+    max_redirects = 10
+
     def __init__(self, url: str, model_name: str | None):
         self.url, self.model_name = url, model_name
 
@@ -126,11 +133,28 @@ class HttpScorer(Scorer):
 
     def _post(self, profile: str, deadline: float) -> str:
         request = {"model": self.model_name, "prompt": PROMPT + profile, "format": "json", "stream": False}
-        connection = self._connection(deadline)
+        method, url, text = "POST", self.url, json.dumps(request)
+        for _ in range(self.max_redirects + 1):
+            response, body = self._exchange(method, url, text, deadline)
+            target = response.headers.get("Location") if response.status in (301, 302, 303, 307, 308) else None
+            if target is None:
+                break
+            url = urljoin(url, target)
+            if response.status in (301, 302, 303):  # as browsers do: the answer is fetched, not posted for
+                method, text = "GET", None
+        else:
+            raise TooManyRedirects(f"{response.status}, url={self.url!r}")
+        mime = response.headers.get_content_type()
+        if not (mime == "application/json" or mime.endswith("+json")):
+            problem = f"Attempt to decode JSON with unexpected mimetype: {mime}"
+            raise ContentTypeError(f"{response.status}, message={problem!r}, url={self.url!r}")
+        return body.decode(response.headers.get_content_charset("utf-8")).strip() or "null"
+
+    def _exchange(self, method: str, url: str, text: str | None, deadline: float) -> tuple[http.client.HTTPResponse, bytes]:
+        connection, address = self._connection(url, deadline), urlsplit(url)
+        place = (address.path or "/") + (f"?{address.query}" if address.query else "")
         try:
-            connection.request(
-                "POST", urlsplit(self.url).path or "/", json.dumps(request), {"Content-Type": "application/json"}
-            )
+            connection.request(method, place, text, {"Content-Type": "application/json"} if text else {})
             self._limit(connection, deadline)
             response = connection.getresponse()
             body = b""
@@ -141,19 +165,16 @@ class HttpScorer(Scorer):
         except BaseException:
             connection.close()
             raise
-        mime = response.headers.get_content_type()
-        if not (mime == "application/json" or mime.endswith("+json")):
-            problem = f"Attempt to decode JSON with unexpected mimetype: {mime}"
-            raise ContentTypeError(f"{response.status}, message={problem!r}, url={self.url!r}")
-        return body.decode(response.headers.get_content_charset("utf-8")).strip() or "null"
+        return response, body
 
-    def _connection(self, deadline: float) -> http.client.HTTPConnection:
-        connection = getattr(self._own, "connection", None)
+    def _connection(self, url: str, deadline: float) -> http.client.HTTPConnection:
+        address = urlsplit(url)
+        server = address.scheme, address.hostname, address.port
+        own = self._own.__dict__.setdefault("connections", {})
+        connection = own.get(server)
         if connection is None:
-            address = urlsplit(self.url)
-            https = address.scheme == "https"
-            kind = http.client.HTTPSConnection if https else http.client.HTTPConnection
-            connection = self._own.connection = kind(address.hostname, address.port)
+            kind = http.client.HTTPSConnection if address.scheme == "https" else http.client.HTTPConnection
+            connection = own[server] = kind(address.hostname, address.port)
             self._all.append(connection)
         elif connection.sock is not None and select.select([connection.sock], [], [], 0)[0]:
             connection.close()  # the server hung up while it was idle

@@ -173,8 +173,8 @@ ORACLE_SQL: dict[str, str] = {
             WHEN 'click' THEN 'erro: TypeError - unhashable type: ''dict'''
             ELSE '{''a'': 1}' END AS justificativa
         FROM events""",
-    "ingest_counts": """
-        SELECT count(*) AS rows, count(*) FILTER (event_type = 'error') AS failed FROM events""",
+    "ingest_counts": f"""
+        WITH {_SCORED} SELECT count(*) AS rows, count(*) FILTER (predicao = 0) AS failed FROM scored""",
     "snapshot_as_of": """
         SELECT event_id, user_id, event_type, ts,
           CAST(CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 ELSE 1 END AS BIGINT) AS snapshot_id

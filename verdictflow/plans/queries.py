@@ -41,7 +41,7 @@ from verdictflow.sources.tables import (
 )
 from verdictflow.sources.topics import FileTopic
 from verdictflow.streaming.metrics import CommitCounts
-from verdictflow.streaming.steps import counted, insert_stream, land_stream, score_stream
+from verdictflow.streaming.steps import insert_stream, land_stream, score_stream
 
 MODEL = "rubric"
 
@@ -327,16 +327,15 @@ def head_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and fallbacks of every commit, counted as they pass, and summed."""
-    topic = _event_topic(spark, sf_dir)
-    failed = F.count_if(F.col("event_type") == "error")
-    name = "ingest " + topic.path[-32:]
-    rows = counted(_event_stream(spark, topic, per_trigger=_tasks(spark)), name, failed=failed)
+    """Verdicts and fallbacks of a scoring stream, counted as they pass and summed over its commits."""
+    raw, scored = _raw_topic(spark, sf_dir), FileTopic(scratch_path(spark, "scored"))
+    name = "ingest " + raw.path[-32:]
     with CommitCounts(spark, name) as counts:
-        query = insert_stream(rows, _event_table(spark, rows), scratch_path(spark, "progress"), interval=None)
-        seen = [(batch, c.rows, c.failed) for batch, c in counts.wait_for(query).items()]
-    commits = spark.createDataFrame(seen, "batch bigint, rows bigint, failed bigint")
-    return commits.agg(F.sum("rows").alias("rows"), F.sum("failed").alias("failed"))
+        query = score_stream(
+            spark, raw, scored, RubricScorer(), scratch_path(spark, "progress"), per_trigger=2, interval=None, count_as=name
+        )
+        seen = counts.wait_for(query)
+    return spark.createDataFrame([(seen["rows"], seen["fallbacks"])], "rows bigint, failed bigint")
 
 
 # --- Snapshots ----------------------------------------------------------------

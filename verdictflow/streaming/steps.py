@@ -8,6 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from verdictflow.fixed_values import COMMIT_INTERVAL
+from verdictflow.operators.evaluate import is_fallback
 from verdictflow.operators.messages import parse_messages, read_scored, scored_message
 from verdictflow.operators.scorers import Scorer
 from verdictflow.operators.scoring import score
@@ -25,16 +26,20 @@ def score_stream(
     *,
     per_trigger: int | None = None,
     interval: str | None = COMMIT_INTERVAL,
+    count_as: str | None = None,
     **limits,
 ) -> StreamingQuery:
-    """Raw topic to scored topic.
+    """Raw topic to scored topic; rows and fallbacks are counted under ``count_as``.
 
     Storing the verdicts before anything else uses them keeps it at one model
     call per row; a lost micro-batch is the most that is asked again, so
     ``per_trigger`` bounds it.
     """
     requests = parse_messages(raw.read_stream(spark, per_trigger))
-    messages = score(requests, scorer, **limits).select(scored_message().alias("value"))
+    judged = score(requests, scorer, **limits)
+    if count_as:
+        judged = counted(judged, count_as, fallbacks=F.count_if(is_fallback()))
+    messages = judged.select(scored_message().alias("value"))
     return start(scored.writer(messages, checkpoint), checkpoint, interval)
 
 
@@ -46,9 +51,13 @@ def land_stream(
     *,
     per_trigger: int | None = None,
     interval: str | None = COMMIT_INTERVAL,
+    count_as: str | None = None,
 ) -> StreamingQuery:
     """Scored topic to table, one snapshot per micro-batch."""
-    return insert_stream(read_scored(scored.read_stream(spark, per_trigger)), table, checkpoint, interval)
+    rows = read_scored(scored.read_stream(spark, per_trigger))
+    if count_as:
+        rows = counted(rows, count_as, fallbacks=F.count_if(is_fallback()))
+    return insert_stream(rows, table, checkpoint, interval)
 
 
 def insert_stream(
