@@ -85,3 +85,29 @@ def test_column_form_agrees_and_runs_once(spark):
     assert found.pop(99)[0] == 0
     assert found == {i: (choice, reason) for i, (_, choice, reason) in enumerate(CASES)}
     assert judged._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+PARTS = ["1", "2", "3", "true", "false", "null", "1.0", '"1"', '"x"', "[1]", "{}", "1e0", "12345678901234567890", '"a\\ud83d"', '"\\u0041"', "NaN", "01"]
+REPLIES = [
+    *(envelope(f'{{"predicao": {a}, "justificativa": {b}}}') for a in PARTS for b in PARTS),
+    *(envelope(text) for text in ('{"predicao":1}]', '{"predicao":1},{}', '{"predicao":1}] }', '{"predicao":1,"predicao":2}', " {} ", "\ufeff{}", "{'a':1}")),
+    *('{"response": %s}' % x for x in ("null", "1", "{}", "[]", "true", '"{}"')),
+    *(envelope("{}") + tail for tail in ("x", "}", "]", ",{}", " ", "\n", "\x00", ', "x"]')),
+    '{"response": "{}", "response": "[]"}', "[]", '{"a": NaN}', '{"RESPONSE": "{}"}', "",
+]
+
+
+def test_columns_judge_as_python_does(spark):
+    rows = spark.createDataFrame(list(enumerate(REPLIES)), "i int, reply string").repartition(4)
+    found = {r.i: (r.v.predicao, r.v.justificativa) for r in rows.select("i", verdict(F.col("reply")).alias("v")).collect()}
+    assert {i: f for i, f in found.items() if f != verdict_of(REPLIES[i])} == {}
+
+
+def test_plain_replies_do_not_cross_to_python(spark, monkeypatch):
+    def refused(reply):
+        raise AssertionError(reply)
+
+    monkeypatch.setattr("verdictflow.operators.verdict.verdict_of", refused)
+    plain = [envelope(c[0]) for c in CASES[:3] + CASES[5:8] + CASES[9:14]] + ["{}"]
+    rows = spark.createDataFrame([(r,) for r in plain], "reply string")
+    assert rows.select(verdict(F.col("reply")).alias("v")).where("v.predicao is null").isEmpty()

@@ -48,12 +48,62 @@ def verdict_columns(replies: list[str | Exception]) -> list[pa.Array]:
     ]
 
 
+# No reply ends with this; see _object.
+_END = "3f6f0f7a-4d0c-4a75-9f0e-end-of-text"
+
+
+def _object(text: Column) -> Column:
+    """The JSON object that a text is, else null.
+
+    The parser stops at the end of the first value; listed before a mark that has to be
+    the next value, the text cannot go on after its object.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_END}"]')))
+    whole = F.try_variant_get(listed, "$[1]", "string") == _END
+    first = F.try_variant_get(listed, "$[0]", "variant")
+    return F.when(whole & F.schema_of_variant(first).startswith("OBJECT"), first)
+
+
 def verdict(reply: Column) -> Column:
-    """``struct<predicao, justificativa>`` of a reply column."""
+    """``struct<predicao, justificativa>`` of a reply column.
+
+    Replies as they should be, with a verdict outside the set or without a response, are
+    judged by columns. The texts of other errors are Python's own, and so is the way it
+    writes numbers with fractions, lists and objects: only those replies cross to it.
+    """
 
     @F.arrow_udf(VERDICT_SCHEMA)
-    def judged(replies: pa.Array) -> pa.Array:
-        columns = verdict_columns(replies.to_pylist())
+    def judged(replies: pa.Array, wanted: pa.Array) -> pa.Array:
+        rows = [verdict_of(r) if w else (None, None) for r, w in zip(replies.to_pylist(), wanted.to_pylist(), strict=True)]
+        columns = [pa.array([c for c, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.string())]
         return pa.StructArray.from_arrays(columns, ["predicao", "justificativa"])
 
-    return judged(reply)
+    envelope = _object(reply)
+    response = F.try_variant_get(envelope, "$.response", "variant")
+    said = F.when(F.schema_of_variant(response) == "STRING", F.try_variant_get(response, "$", "string"))
+    answer = _object(said)
+    choice, reason = (F.try_variant_get(answer, f"$.{name}", "variant") for name in ("predicao", "justificativa"))
+    kinds = [F.coalesce(F.schema_of_variant(x), F.lit("ABSENT")) for x in (choice, reason)]
+    read = F.struct(
+        (envelope.isNotNull() & response.isNull()).alias("empty"),
+        answer.isNotNull().alias("answered"),
+        *[k.alias(n) for n, k in zip(("choice_kind", "reason_kind"), kinds, strict=True)],
+        *[F.try_variant_get(x, "$", "string").alias(n) for n, x in (("choice", choice), ("reason", reason))],
+    )
+    # Half a surrogate pair is stored Python's way.
+    plain = F.coalesce(~F.contains(F.lower(reply), F.lit("\\ud")), F.lit(False))
+
+    def told(x: Column) -> Column:
+        simple = x["choice_kind"].isin("ABSENT", "VOID", "STRING", "BIGINT", "BOOLEAN") & x["reason_kind"].isin("ABSENT", "VOID", "STRING")
+        native = plain & (x["empty"] | (x["answered"] & simple))
+        number = F.when(x["choice_kind"] == "BIGINT", F.when(x["choice"].isin(*map(str, VALID_VERDICTS)), x["choice"].cast("int")))
+        number = F.coalesce(number, F.when((x["choice_kind"] == "BOOLEAN") & (x["choice"] == "true"), 1), F.lit(FAILED_VERDICT))
+        shown = F.when(x["choice_kind"] == "BOOLEAN", F.initcap(x["choice"])).otherwise(F.coalesce(x["choice"], F.lit("None")))
+        why = F.coalesce(x["reason"], F.when(x["reason_kind"] == "ABSENT", "").otherwise("None"))
+        text = F.when(number != FAILED_VERDICT, why).otherwise(F.concat(F.lit(INVALID_VERDICT_TEXT.format("")), shown))
+        text = F.when(x["empty"], ERROR_TEXT.format("KeyError", "'response'")).otherwise(text)
+        return F.struct(native.alias("native"), F.struct(number.alias("predicao"), text.alias("justificativa")).alias("verdict"))
+
+    by_columns = F.transform(F.array(read), told)[0]
+    by_python = judged(F.when(~by_columns["native"], reply), ~by_columns["native"])
+    return F.when(by_columns["native"], by_columns["verdict"]).otherwise(by_python)
