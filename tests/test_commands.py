@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -9,6 +11,7 @@ from verdictflow.session import scratch_path
 from verdictflow.sources.tables import read_table
 from verdictflow.sources.topics import FileTopic, KafkaTopic
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 LINES = [
     "A13 12 A31 A46 1500 A65 A75 4 A93 A101 4 A121 67 A143 A152 2 A173 1 A192 A201 1",
     "A11 48 A33 A40 9500 A61 A73 2 A92 A101 2 A121 22 A143 A152 1 A173 1 A191 A201 2",
@@ -81,17 +84,28 @@ def test_replay_of_a_missing_file(spark, tmp_path, capsys):
 
 def session(master, **settings):
     conf = SimpleNamespace(get=lambda name, default: settings.get(name.replace(".", "_"), default))
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app-1", _jsc=None))
 
 
 def test_scratch_folder_is_the_one_the_session_names():
     named = session("spark://host", spark_checkpoint_dir="/shared/folder/")
-    assert scratch_path(named, "x").startswith("/shared/folder/verdictflow/x-")
+    assert scratch_path(named, "x").startswith("/shared/folder/verdictflow/app-1/x-")
     assert scratch_path(named, "x") != scratch_path(named, "x")
 
 
+def test_scratch_folder_goes_with_the_driver(tmp_path):
+    script = (
+        "from verdictflow.session import local_session, scratch_path\n"
+        "spark = local_session(1); spark.range(3).write.parquet(scratch_path(spark, 'x'))\n"
+        "import os; print(os.listdir(spark.conf.get('spark.checkpoint.dir') + '/verdictflow'))"
+    )
+    submit = f"--conf spark.checkpoint.dir={tmp_path} pyspark-shell"
+    run = subprocess.run([sys.executable, "-c", script], cwd=ROOT, env=os.environ | {"PYSPARK_SUBMIT_ARGS": submit}, capture_output=True, text=True, timeout=120)
+    assert "local-" in run.stdout and os.listdir(tmp_path / "verdictflow") == []
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
-    assert "/verdictflow/x-" in scratch_path(session("local[2]"), "x")
+    assert "/verdictflow/app-1/x-" in scratch_path(session("local[2]"), "x")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_path(session("spark://host"), "x")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import json
 import tempfile
 import uuid
@@ -26,7 +28,10 @@ def local_session(cpus: int | str = "*", app: str = "verdictflow") -> SparkSessi
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared storage the cluster names.
+    """A fresh folder in the shared storage the cluster names, in one of the application's own.
+
+    The application's folder is deleted when its driver ends; that of one that was killed
+    stays, under its application id.
 
     Every executor must be able to read it back after another one is lost, so
     only a local session without the setting falls back to the machine's own
@@ -36,8 +41,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        base = tempfile.mkdtemp(prefix="verdictflow-")
-    return f"{base.rstrip('/')}/verdictflow/{name}-{uuid.uuid4().hex}"
+        base = _own_folder()
+    application = f"{base.rstrip('/')}/verdictflow/{spark.sparkContext.applicationId}"
+    if application not in _scratch:
+        _scratch.add(application)
+        atexit.register(_clear, spark, application)
+    return f"{application}/{name}-{uuid.uuid4().hex}"
+
+
+_scratch: set[str] = set()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="verdictflow-")
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    """Delete an application's scratch folder at its end, if its context still runs."""
+    if spark.sparkContext._jsc is not None:
+        delete_folder(spark, folder)
 
 
 class CommitNames:
