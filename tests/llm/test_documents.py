@@ -147,6 +147,7 @@ def test_near_duplicates_equal_all_pairs(documents, rows, nothing):
 
 def test_near_duplicates_in_split_buckets_and_tiles(documents, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 5000)
     found = sorted((tuple(r) for r in jaccard.near_duplicates(documents, limit=3).select("doc_id", "class_id", "n_links").collect()), key=str)
     assert found == near(rows)
 
