@@ -111,7 +111,8 @@ def mix(
     blocks = lambda words: F.ceil(F.col(words) / block_words).cast("long")
     everything = Window.partitionBy("all")
     sources = sources.select("*", F.lit(0).alias("all"), (max_repeats * blocks("source_size")).alias("most"))
-    sources = sources.select("*", F.round(F.sum("target").over(everything) / block_words).cast("long").alias("seats"))
+    # The targets share all words; summed as whole numbers, the order of the rows cannot matter.
+    sources = sources.select("*", F.round(F.sum("source_size").over(everything) / block_words).cast("long").alias("seats"))
     sources = apportion(sources, ["all"], ["source_key"], "target", "seats", "most")
     sources = sources.select(
         "source_key", "source_size", "target", F.col("quota").alias("source_quota"),

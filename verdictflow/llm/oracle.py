@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from verdictflow.llm.mixing import BLOCK_WORDS, REGION_SHARDS, SHARD_WORDS
+
 _EXACT = r"""
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -58,4 +60,106 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed,
 FROM t LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_substring_dedup": _SUBSTRINGS, "op5_exact_dedup": _EXACT, "op9_chat_format": _CHAT}
+# --- Mixing: the same apportionment, draws and blocks as in mixing.py -------------
+
+
+def _apportion(name: str, children: str, parent: str, child: str, votes: str, seats: str, most: str) -> str:
+    """``name``: the rows of ``children`` with ``quota``; all children's quotients near the cut are ranked."""
+    share = f"least({most}, floor({votes} * {{}} / total + 0.5)::BIGINT)"
+    return f"""
+{name}_bounds AS (
+  SELECT *, CASE WHEN total > 0 THEN {share.format(f"greatest({seats} - n, 0)")} ELSE 0 END AS low,
+    CASE WHEN total > 0 THEN {share.format(f"({seats} + n)")} ELSE 0 END AS high
+  FROM (SELECT *, count(*) OVER (PARTITION BY {parent}) AS n, sum({votes}) OVER (PARTITION BY {parent}) AS total FROM {children})
+), {name}_won AS (
+  SELECT {parent}, {child}, count(*) AS more FROM (
+    SELECT *, row_number() OVER (PARTITION BY {parent} ORDER BY {votes} / (2 * seat - 1) DESC, {child}) AS place
+    FROM (SELECT *, unnest(generate_series(low + 1, high)) AS seat,
+      {seats} - (SELECT sum(low) FROM {name}_bounds b WHERE ({', '.join(f'b.{p}' for p in parent.split(', '))}) = ({', '.join(f'a.{p}' for p in parent.split(', '))})) AS open
+      FROM {name}_bounds a)
+  ) WHERE place <= open GROUP BY {parent}, {child}
+), {name} AS (
+  SELECT a.*, low + coalesce(more, 0) AS quota FROM {name}_bounds a LEFT JOIN {name}_won USING ({parent}, {child})
+)"""
+
+
+def _draw(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+def _up_to(words: str) -> str:
+    chosen = lambda j: f"floor(({j}) * (quota % blocks) / blocks + phase)"
+    block = f"floor(({words}) / {BLOCK_WORDS})"
+    return f"""CASE WHEN blocks = 0 THEN 0 ELSE ({words}) * (quota // blocks) + ({chosen(block)} - {chosen(0)}) * {BLOCK_WORDS}
+      + ({chosen(block + ' + 1')} - {chosen(block)}) * (({words}) - {block} * {BLOCK_WORDS}) END"""
+
+
+_MIXING = rf"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS k, 0 AS everything,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size
+  FROM documents
+), per_source AS (
+  SELECT k, everything, sum(size)::BIGINT AS source_size,
+    ((row_number() OVER (ORDER BY any_value(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
+  FROM sized GROUP BY k, everything
+), room AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS words_left,
+    sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left
+  FROM per_source
+  WINDOW before AS (ORDER BY 3 * source_size / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), wanted AS (
+  SELECT *, least(3 * source_size, weight * max(words_left / weight_left) OVER ()) AS target,
+    3 * ceil(source_size / {BLOCK_WORDS})::BIGINT AS most,
+    round(sum(source_size) OVER () / {BLOCK_WORDS})::BIGINT AS seats,
+    greatest(ceil(source_size / {SHARD_WORDS})::BIGINT, 1) AS shards
+  FROM room
+), {_apportion("sources", "wanted", "everything", "k", "target", "seats", "most")}
+, placed AS (
+  SELECT doc_id, size, s.k, source_size, target, quota AS source_quota,
+    {_draw("'0:' || coalesce(doc_id::VARCHAR, 'null')")} % shards AS shard,
+    {_draw("'order:0:' || coalesce(doc_id::VARCHAR, 'null')")} AS draw
+  FROM sized JOIN sources s USING (k)
+), dealt AS (
+  SELECT k, source_quota, shard, shard // {REGION_SHARDS} AS region, sum(size)::BIGINT AS shard_size,
+    ceil(sum(size) / {BLOCK_WORDS})::BIGINT AS blocks, 3 * ceil(sum(size) / {BLOCK_WORDS})::BIGINT AS most
+  FROM placed GROUP BY ALL
+), areas AS (
+  SELECT k, source_quota, region, sum(shard_size)::BIGINT AS region_size, sum(most)::BIGINT AS most FROM dealt GROUP BY ALL
+), {_apportion("regions", "areas", "k", "region", "region_size", "source_quota", "most")}
+, parts AS (
+  SELECT d.*, r.quota AS region_quota FROM dealt d JOIN regions r USING (k, region)
+), {_apportion("cut", "parts", "k, region", "shard", "shard_size", "region_quota", "most")}
+, line AS (
+  SELECT p.*, blocks, quota, {_draw("'phase:0:' || k || ':' || shard")} % 997 / 997 AS phase,
+    coalesce(sum(size) OVER (PARTITION BY k, shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM placed p JOIN (SELECT k, shard, blocks, quota FROM cut) USING (k, shard)
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (({_up_to("first + size")}) - ({_up_to("first")}))::BIGINT AS taken FROM line
+"""
+
+# Base 32 of a digest: five hexadecimal digits are four letters.
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, {5 * group + 1}, 5) AS BIGINT) >> {shift}) & 31)::INT, 1)"
+    for group in range(8)
+    for shift in (15, 10, 5, 0)
+)
+
+_WARC = f"""
+WITH t AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS low FROM t
+)
+SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL = {
+    "op2_mixing": _MIXING,
+    "op10_warc": _WARC,
+    "op4_substring_dedup": _SUBSTRINGS,
+    "op5_exact_dedup": _EXACT,
+    "op9_chat_format": _CHAT,
+}
