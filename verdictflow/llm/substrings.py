@@ -99,27 +99,39 @@ def hot_anchors(documents: DataFrame, size: int) -> list[int]:
 
 
 def seeds(documents: DataFrame, size: int) -> DataFrame:
-    """The runs whose anchor occurs in several documents, stored."""
+    """The runs whose anchor occurs in several documents, stored.
+
+    Where an anchor's runs meet in one task, they are settled there: ``covered`` says
+    whether the run is a repeat; those that are neither that nor to be compared window by
+    window are left out. Hot anchors are dealt over many tasks, as one that a third of
+    all documents hold would fill any: their runs keep ``a`` and ``s``, to be summed.
+    """
     found = runs(documents, size, hot_anchors(documents, size))
-    # Hot anchors are spread: one that a third of all documents hold would fill a task.
     spread = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(0)
     found = found.withColumn("salt", spread.cast("int"))
-    own = Window.partitionBy("a", "salt")
-    found = found.select("*", F.min("doc_id").over(own).alias("low"), F.max("doc_id").over(own).alias("high"))
-    kept = found.filter(F.col("hot") | (F.col("low") < F.col("high")))
-    return stored(kept.select("doc_id", "a", "s", "p", "r"), "substring-seeds")
+    span, own = Window.partitionBy("a", "salt", "s"), Window.partitionBy("a", "salt")
+    found = found.withColumn("low", F.min("doc_id").over(span))
+    found = found.select("*", F.min("doc_id").over(own).alias("first"), F.max("doc_id").over(own).alias("last"), (F.min("s").over(own) < F.max("s").over(own)).alias("several"))
+    covered = F.col("doc_id") > F.col("low")
+    kept = found.filter(F.col("hot") | (F.col("first") < F.col("last")) & (covered | F.col("several")))
+    if_hot = lambda c: F.when(F.col("hot"), F.col(c)).alias(c)
+    return stored(kept.select("doc_id", "p", "r", if_hot("a"), if_hot("s"), F.when(~F.col("hot"), covered).alias("covered")), "substring-seeds")
 
 
 def settled(found: DataFrame) -> DataFrame:
-    """Per document ``marks`` (p, r, covered): runs that are repeats, and those whose windows are to be compared."""
-    spans = found.groupBy("a", "s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    spans = stored(spans, "substring-spans")
+    """Per document ``marks`` (p, r, covered): runs that are repeats, and those whose windows are to be compared.
+
+    A run is a repeat if a smaller id has the same words under the same anchor. The runs
+    of the smallest id are compared where the anchor also stands among other words.
+    """
+    hot = found.filter("a is not null")
+    spans = stored(hot.groupBy("a", "s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "substring-spans")
     contexts = spans.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("first"), F.max("high").alias("last"))
     several = stored(contexts.filter("n > 1 and first < last").select("a", F.lit(True).alias("several")), "substring-several")
-    spans = spans.join(several, "a", "left")
-    told = stored(spans.filter("low < high or several").select("a", "s", "low", F.coalesce("several", F.lit(False)).alias("several")), "substring-told")
-    rows = found.join(told, ["a", "s"]).select("doc_id", "p", "r", (F.col("doc_id") > F.col("low")).alias("covered"), "several")
-    rows = rows.filter("covered or several")
+    told = spans.join(several, "a", "left").filter("low < high or several")
+    told = stored(told.select("a", "s", "low", F.coalesce("several", F.lit(False)).alias("several")), "substring-told")
+    rows = hot.join(told, ["a", "s"]).select("doc_id", "p", "r", (F.col("doc_id") > F.col("low")).alias("covered"), "several")
+    rows = rows.filter("covered or several").drop("several").unionByName(found.filter("a is null").select("doc_id", "p", "r", "covered"))
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("p", "r", "covered")).alias("marks"))
 
 
