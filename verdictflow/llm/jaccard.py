@@ -35,7 +35,8 @@ RECALL = 0.9999
 BRANCHING = 2.5
 LIMIT = 32
 LEVELS = 4
-BLOCK = 256
+#: A block has at most about so many documents and shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _PART = 1000
 
 
@@ -151,13 +152,13 @@ def _candidates(rows: DataFrame, shingle: int, branching: float, levels: int) ->
 
 
 def _leaves(candidates: DataFrame, level1: DataFrame, limit: int, levels: int) -> DataFrame:
-    """(node, path, m): the buckets to compare. Each level is stored, so that the next starts from it."""
-    full = level1.filter(F.col("m") > limit).select("path", "m").distinct()
+    """(node, path): the buckets to compare. Each level is stored, so that the next starts from it."""
+    full = stored(level1.filter(F.col("m") > limit).select("path", "m").distinct(), "jaccard-full")
     leaves = level1.filter(F.col("m") <= limit)
     members = level1.filter(F.col("m") > limit).select("node", "path", "m")
-    below = candidates.select("node", F.explode("below").alias("x")).select("node", "x.*")
     for level in range(2, levels + 1):
-        rows = below.filter(F.col("level") == level).select("node", "parent", "path")
+        below = candidates.select("node", F.explode(F.expr(f"filter(below, x -> x.level = {level})")).alias("x"))
+        rows = below.select("node", "x.parent", "x.path")
         rows = rows.join(full.select(F.col("path").alias("parent"), F.col("m").alias("m_parent")), "parent")
         counts = rows.groupBy("parent", "m_parent", "path").agg(F.count(F.lit(1)).alias("m"))
         counts = stored(counts, "jaccard-level")
@@ -172,8 +173,8 @@ def _leaves(candidates: DataFrame, level1: DataFrame, limit: int, levels: int) -
         last = level == levels
         leaves = leaves.unionByName(rows if last else rows.filter(F.col("m") <= limit))
         members = rows.filter(F.col("m") > limit)
-        full = split.filter(F.col("m") > limit)
-    return leaves
+        full = full if last else stored(split.filter(F.col("m") > limit), "jaccard-full")
+    return leaves.select("node", "path")
 
 
 def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -251,7 +252,7 @@ def _compare(buckets: DataFrame, candidates: DataFrame, threshold: float) -> Dat
     """(node, root, links) of each tile of each bucket."""
     held = buckets.groupBy("node").agg(F.collect_list("path").alias("buckets"))
     sets = candidates.select("node", "copies", "found").join(held, "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rows = buckets.select("node", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "path"), blocks).cast("int").alias("block"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = rows.join(sets, "node").select(
@@ -316,11 +317,15 @@ def near_duplicates(
     candidates = stored(candidates, "jaccard-candidates")
 
     leaves = stored(_leaves(candidates, level1, limit, levels), "jaccard-leaves")
-    # Buckets of the same documents are compared once: same number and same hashes of the members.
+    # Buckets of the same documents are compared once: same number and same hashes of the
+    # members. Two whose sizes alone keep them under the threshold are not compared.
     mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    members = leaves.groupBy("path").agg(F.count(F.lit(1)).alias("m"), *mark)
-    once = stored(members.groupBy("m", "x1", "x2").agg(F.min("path").alias("path")).select("path"), "jaccard-once")
-    buckets = stored(leaves.join(once, "path", "left_semi"), "jaccard-buckets")
+    sizes = [F.sum("n").alias("shingles"), F.min("n").alias("least"), F.max("n").alias("most")]
+    members = leaves.join(classes.select("node", "n"), "node").groupBy("path").agg(F.count(F.lit(1)).alias("m"), *sizes, *mark)
+    members = members.filter((F.col("m") > 2) | (F.col("least") >= threshold * F.col("most") - 1e-9))
+    once = members.groupBy("m", "x1", "x2").agg(F.min("path").alias("path"), F.first("shingles").alias("shingles"))
+    once = stored(once.select("path", "m", "shingles"), "jaccard-once")
+    buckets = stored(leaves.join(once, "path"), "jaccard-buckets")
     links = stored(_compare(buckets, candidates, threshold), "jaccard-links")
 
     labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
