@@ -159,15 +159,20 @@ def _leaves(candidates: DataFrame, level1: DataFrame, limit: int, levels: int) -
     for level in range(2, levels + 1):
         below = candidates.select("node", F.explode(F.expr(f"filter(below, x -> x.level = {level})")).alias("x"))
         rows = below.select("node", "x.parent", "x.path")
-        rows = rows.join(full.select(F.col("path").alias("parent"), F.col("m").alias("m_parent")), "parent")
-        counts = rows.groupBy("parent", "m_parent", "path").agg(F.count(F.lit(1)).alias("m"))
-        counts = stored(counts, "jaccard-level")
-        # Where documents sample mostly what half of them sample, splitting would not part them.
-        common = F.sum(F.when(F.col("m") * 2 >= F.col("m_parent"), F.col("m")).otherwise(0))
-        dense = counts.groupBy("parent").agg((common * 2 >= F.sum("m")).alias("dense")).filter("dense")
+        parents = full.select(F.col("path").alias("parent"), F.col("m").alias("m_parent"))
+        if level > 2:  # all paths of two shingles were made below overfull ones
+            rows = rows.join(parents, "parent", "left_semi")
+        counts = stored(rows.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("m")), "jaccard-level")
+        # Where documents sample mostly what half of them sample, splitting would not part
+        # them. Most paths are one document's, and are only summed.
+        shared = counts.filter("m > 1")
+        half = shared.join(parents, "parent").filter(F.col("m") * 2 >= F.col("m_parent"))
+        common = half.groupBy("parent").agg(F.sum("m").alias("common"))
+        totals = counts.groupBy("parent").agg(F.sum("m").alias("total"))
+        dense = totals.join(common, "parent").filter("common * 2 >= total")
         dense = stored(dense.select(F.col("parent").alias("path")), "jaccard-dense")
         leaves = leaves.unionByName(members.join(dense, "path", "left_semi").select("node", "path", "m"))
-        split = counts.filter("m > 1").join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti")
+        split = shared.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti")
         split = stored(split.select("path", "m"), "jaccard-split")
         rows = rows.select("node", "path").join(split, "path").select("node", "path", "m")
         last = level == levels
