@@ -207,6 +207,19 @@ def test_bpe_equals_tiktoken(documents, rows, nothing):
     assert bpe.round_trip(nothing, ranks, pattern).isEmpty()
 
 
+@pytest.mark.parametrize("letters", ["ACGT", "abcdefghijklmnopqrstuvwxyz"])
+def test_bpe_of_many_long_words(spark, letters):
+    import tiktoken
+
+    ranks, pattern = tokenizer()
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(7)
+    text = "\n".join("".join(draw.choices(letters, k=60)) for _ in range(20_000))
+    (found,) = bpe.round_trip(spark.createDataFrame([(1, text)], "doc_id long, text string"), ranks, pattern).collect()
+    assert bytes(found.ids) == b"".join(t.to_bytes(4, "little") for t in known.encode_ordinary(text))
+    assert bytes(found.decoded) == text.encode()
+
+
 def test_bpe_refuses_foreign_ids(spark):
     ranks, pattern = tokenizer()
     with pytest.raises(Exception, match="not in the vocabulary"):

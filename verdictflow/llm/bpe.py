@@ -8,7 +8,9 @@ and looked up after that. Decoding joins ids with the vocabulary and aggregates
 bytes in order of position.
 
 A step of the recursion is one merge, so pieces over ``LONG_PIECE`` bytes would take as
-many steps; they are contracted by a heap instead, with the same result.
+many steps; they are contracted by a heap instead, with the same result. The query keeps the
+rows of all its steps, at most the square of a piece's bytes, so a chunk of pieces is
+closed by the sum of these squares as well as by their number.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 LONG_PIECE = 64
 CHUNK_PIECES = 16_384
+CHUNK_SQUARES = 1 << 23
 CHUNK_CHARS = 1 << 20
 KEPT_PIECES = 400_000
 
@@ -109,8 +112,7 @@ class Codec:
             else:
                 todo.append((piece, raw))
         todo.sort()
-        for begin in range(0, len(todo), CHUNK_PIECES):
-            chunk = todo[begin : begin + CHUNK_PIECES]
+        for chunk in _chunks(todo):
             sizes = np.array([len(raw) for _, raw in chunk])
             word = np.repeat(np.arange(len(chunk), dtype=np.int32), sizes)
             place = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
@@ -147,6 +149,18 @@ class Codec:
         return [bytes.fromhex(found.get(i, "")) for i in range(len(encoded))]
 
 
+def _chunks(pieces: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+    """The pieces in order, at most ``CHUNK_PIECES`` and ``CHUNK_SQUARES`` bytes squared at a time."""
+    begin = squares = 0
+    for end, (_, raw) in enumerate(pieces):
+        squares += len(raw) ** 2
+        if end - begin == CHUNK_PIECES or squares > CHUNK_SQUARES:
+            yield pieces[begin:end]
+            begin, squares = end, len(raw) ** 2
+    if pieces:
+        yield pieces[begin:]
+
+
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The leftmost pair of minimum rank contracted until none is left, by a heap."""
     parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
