@@ -255,6 +255,14 @@ def test_toxicity_is_learned_and_held_out(spark, rng):
     assert all(text[p.start : p.end].startswith("bad") for p in hit.passages) and hit.passages
 
 
+def test_evidence_below_significance_counts():
+    model = toxicity.Model(lexicon={"bad": 4.0, "worse": 5.0}, other=-0.1, location=-2.0)
+    texts = ["word " * 999, "word " * 998 + "bad ", "word " * 998 + "worse ", "word " * 9 + "worse "]
+    evidence, passages = zip(*(toxicity.scan(t, model) for t in texts), strict=True)
+    assert list(evidence) == sorted(set(evidence)) and evidence[1] < 0 < evidence[2] < 3 < evidence[3]
+    assert [len(p) for p in passages] == [0, 0, 0, 1] and toxicity.scan("", model) == (0.0, [])
+
+
 def test_toxicity_of_odd_tables(spark, documents, rows, nothing):
     labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")
     model = toxicity.learn(documents, labels)

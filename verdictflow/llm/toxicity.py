@@ -8,7 +8,8 @@ a token that repeats the one before it scores as another, or junk would pass for
 clean text of n tokens reaches by chance follows an extreme-value law with parameter 1,
 as scores are log-likelihood ratios; its location is fitted on clean texts. Segments
 beyond chance are the passages, and what they exceed it by, summed, is turned into a
-probability by a logistic fit.
+probability by a logistic fit. Where none is, the best segment's distance from chance
+takes its place, so that the fit and not the significance level decides on such texts.
 """
 
 from __future__ import annotations
@@ -62,10 +63,14 @@ class Model:
         """How far the significant segments exceed chance, summed, and these segments.
 
         The expected number of segments of score s in n clean tokens is n e^(location - s).
+        Without a significant one, it is how far the best exceeds chance, or falls below it;
+        a text without segments is no evidence, however short.
         """
         chance = math.log(max(tokens, 1)) + self.location
         found = [s for s in segments if s[2] - chance > -math.log(self.significance)]
-        return sum(s[2] - chance for s in found), found
+        if found:
+            return sum(s[2] - chance for s in found), found
+        return (max(s[2] for s in segments) - chance if segments else min(0.0, -chance)), found
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.intercept + self.slope * evidence))))
@@ -103,12 +108,9 @@ def scan(text: str, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
     """Evidence of the whole text and its significant passages in code points."""
     low = _lower(text)
     tokens = TOKEN.findall(low)
-    hits = model.hits(tokens)
-    if not hits:
-        return 0.0, []
-    evidence, found = model.evidence(maximal_segments(hits, model.other), len(tokens))
+    evidence, found = model.evidence(maximal_segments(model.hits(tokens), model.other), len(tokens))
     if not found:
-        return 0.0, []
+        return evidence, []
     places = [m.span() for m in TOKEN.finditer(low)]
     return evidence, [(places[b][0], places[e - 1][1], s) for b, e, s in found]
 
