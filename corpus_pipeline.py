@@ -8,6 +8,9 @@ than its tasks. SQL cannot express the learned, sampled and tokenized stages.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,34 @@ from verdictflow.llm.queries import token_digests
 ORACLE_SQL = None
 
 
-def _decided(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with decisions by doc_id, where null is an id like any other."""
-    decisions = decisions.withColumnRenamed("doc_id", "decided_id")
-    return docs.join(decisions, docs["doc_id"].eqNullSafe(decisions["decided_id"]), how).drop("decided_id")
+def _joined(docs: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` joined with decisions by ``keys``, where null is a value like any other."""
+    named = decisions.withColumnsRenamed({k: f"decided_{k}" for k in keys})
+    same = reduce(and_, [docs[k].eqNullSafe(named[f"decided_{k}"]) for k in keys])
+    return docs.join(named, same).drop(*[f"decided_{k}" for k in keys])
+
+
+def _one_of_each(docs: DataFrame, kept: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
+    """``columns`` of one row of ``docs`` for each value of ``keys`` in ``kept``, which has a row per row that may stay.
+
+    Only rows that repeat a key are grouped; the smallest of them stays.
+    """
+    counted = stored(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), f"pipeline-{name}-kept")
+    once = _joined(docs, counted.filter("rows = 1"), keys).select(*columns)
+    # Stored by itself, so that Spark measures it: where no row repeats, no text moves.
+    repeated = stored(counted.filter("rows > 1"), f"pipeline-{name}-repeated")
+    rows = _joined(docs, repeated, keys).groupBy(*keys).agg(F.min(F.struct(*columns)).alias("row"))
+    return once.unionByName(rows.select("row.*"))
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``node``: the id where it is one row's own, else a number above 2^62 from id and text."""
+    shared = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    shared = stored(shared.select(F.col("doc_id").alias("shared_id")), f"pipeline-{name}-shared")
+    own = F.col("doc_id").isNotNull() & F.col("shared_id").isNull()
+    made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    rows = docs.join(shared, docs["doc_id"] == shared["shared_id"], "left")
+    return rows.select(*docs.columns, F.when(own, F.col("doc_id")).otherwise(made).alias("node"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +58,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    return _decided(docs, exact.exact_groups(docs).filter("kept").select("doc_id").distinct(), "left_semi")
+    """Of equal texts one row, that with the largest id; a row without an id where there is no other."""
+    kept = exact.exact_groups(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    hashed = docs.withColumn("sha", F.unhex(F.sha2(exact.normalised(F.col("text")), 256)))
+    return _one_of_each(hashed, kept, ["doc_id", "sha"], docs.columns, "exact")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id."""
-    found = jaccard.near_duplicates(docs).filter("doc_id is null or doc_id = class_id")
-    return _decided(docs, found.select("doc_id").distinct(), "left_semi")
+    """Of each class of near duplicates one row, that with the smallest id; rows that share an id or have none come last."""
+    numbered = _numbered(docs, "near")
+    found = jaccard.near_duplicates(numbered.select(F.col("node").alias("doc_id"), "text"))
+    kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias("node"))
+    return _one_of_each(numbered, kept, ["node"], docs.columns, "near")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, sources weighing 1, 2, 3 in turn."""
-    mixed = mixing.mix(docs, mixing.cycled_weights(docs))
-    taken = mixed.select("doc_id", mixing.copies(mixed).alias("copies")).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = _decided(docs, taken, "inner")
+    """Documents as often as the mix takes them, sources weighing 1, 2, 3 in turn; rows count one by one."""
+    numbered = _numbered(docs, "mix")
+    mixed = mixing.mix(numbered.select(F.col("node").alias("doc_id"), "source", "text"), mixing.cycled_weights(docs))
+    taken = mixed.select(F.col("doc_id").alias("node"), mixing.copies(mixed).alias("copies")).filter("copies > 0")
+    rows = _joined(numbered, taken.groupBy("node").agg(F.max("copies").alias("copies")), ["node"])
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 

@@ -54,6 +54,24 @@ def test_one_of_each_near_class_stays(stages):
     assert Counter(i for i, _ in rows_of(stages[3])) == Counter(expected)
 
 
+def test_rows_without_or_with_the_same_id_are_decided_one_by_one(spark, sf_dir):
+    base = [f"w{i}" for i in range(300)]
+    near_text, other, third = (" ".join([*base[:k], "x", *base[k:]]) for k in (290, 280, 270))
+    alone = " ".join(f"v{i}" for i in range(300))
+    rows = [(1, "one text"), (None, "ONE text"), (None, "lone"), (None, "lone"), (2, "twice"), (2, "twice"), (2, "TWICE")]
+    rows += [(3, " ".join(base)), (3, alone), (None, near_text), (None, other), (4, third), (None, alone + " y"), (None, alone + " z"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], table(spark, sf_dir, "documents").schema)
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, sf_dir).persist()
+    firsts = [(1, "one text"), (None, "lone"), (2, "TWICE")]
+    assert Counter(rows_of(exact)) == Counter([*firsts, *rows[7:14], (None, None)])
+    near_rows = Counter(rows_of(corpus_pipeline.drop_near_copies(spark, exact, sf_dir)))
+    assert all(n == 1 for n in near_rows.values()) and near_rows.keys() >= {*firsts, (4, third), (None, None)}
+    assert sum(len(words(t)) >= 300 for _, t in near_rows) == 2
+    same = spark.createDataFrame([(5, "a " * 160, "en", "s", 0), (5, "b " * 160, "en", "s", 0), (None, "c " * 160, "en", "s", 0)], docs.schema)
+    assert len(rows_of(corpus_pipeline.mix_sources(spark, same, sf_dir))) == 3
+    exact.unpersist()
+
+
 def test_documents_come_as_often_as_the_mix_takes_them(stages):
     mixed = mixing.mix(stages[3], mixing.cycled_weights(stages[3]))
     taken = {r.doc_id: (r.taken, r["size"], r.copies) for r in mixed.withColumn("copies", mixing.copies(mixed)).collect()}
