@@ -110,3 +110,11 @@ def test_control_strings_of_texts_are_escaped(spark):
         n = sum(t[0] == row.conv_id for t in TURNS)
         assert row.formatted.count("<s>") == row.formatted.count("</s>") == n
         assert row.formatted.count("[INST]") + row.formatted.count("[/INST]") == n
+
+
+def test_reader_finds_a_last_member_cut_off_anywhere():
+    members = [warc.page_record(str(i), "u", b"x" * 1000, None, "d") for i in range(2)]
+    for kept in (1, 10, 20, 40, len(members[1]) - 1):
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.read_records([members[0], members[1][:kept]]))
+    assert len(list(warc.read_records([members[0], b"", members[1]]))) == 2

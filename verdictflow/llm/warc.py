@@ -68,9 +68,10 @@ def page_record(record: str, uri: str, payload: bytes, refers_to: str | None, da
 
 def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each member; ValueError at the first damage."""
-    unpack, raw = zlib.decompressobj(31), bytearray()
+    unpack, raw, open_ = zlib.decompressobj(31), bytearray(), False
     for chunk in chunks:
         while chunk:
+            open_ = True  # a member's first bytes give none of its content
             try:
                 raw += unpack.decompress(chunk)
             except zlib.error as e:
@@ -78,10 +79,10 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byte
             chunk = unpack.unused_data
             if unpack.eof:
                 yield _framed(bytes(raw))
-                unpack, raw = zlib.decompressobj(31), bytearray()
+                unpack, raw, open_ = zlib.decompressobj(31), bytearray(), False
             else:
                 chunk = b""
-    if raw or unpack.unconsumed_tail:
+    if open_:
         raise ValueError("the last member is cut off")
 
 
