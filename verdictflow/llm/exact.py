@@ -1,12 +1,12 @@
-"""Exact duplicates over an extendible-hash index in shared files.
-
-The first pass logs a 64-bit key and a digest per document. A directory over the
-leading bits of the keys doubles until no bucket holds more distinct keys than a task
-should own; keys are counted after copies have been merged, so a text that a third of
-all rows share is one key. Texts are then grouped by bucket, key and their bytes, with
-partial sums before the shuffle: that is the comparison of bytes, and different texts
-under one key become a chain. Owner tasks write the entries of their key ranges, and
-the log is joined with them.
+"""Exact duplicates by grouping, placed in an extendible-hash index in shared files.
+
+The first pass logs a 64-bit key and a digest per document. Texts are grouped by key and
+their bytes over Spark's hash partitions, with partial sums before the shuffle: that is the
+comparison of bytes, and it alone gives the decisions. A directory over the leading bits of
+the keys doubles until no bucket holds more distinct keys than a task should own; keys are
+counted after copies have been merged, so a text that a third of all rows share is one key.
+Owner tasks then number the different texts under one key as a chain and write the entries
+of groups of several rows to the index; the log is joined with them by key and digest.
 """
 
 from __future__ import annotations
