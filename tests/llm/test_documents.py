@@ -84,6 +84,17 @@ def test_rules_are_learned_and_ordered(spark, rng):
     assert all(kept[i] for i, _, _ in good) and not any(kept[i] for i, _, _ in loud + marked + short)
 
 
+def test_cuts_lie_between_the_classes(spark):
+    rng = random.Random(3)
+    good = [(i, prose(rng, 80), 1) for i in range(300)]
+    marked = [(300 + i, prose(rng, 80).replace(" ", "### "), 0) for i in range(150)]
+    single = [(500 + i, prose(rng, 80) + f" {mark}", None) for i, mark in enumerate("$&#")]
+    everything = spark.createDataFrame(good + marked + single, "doc_id long, text string, quality int")
+    found = quality.quality(everything.select("doc_id", "text"), everything.select("doc_id", "quality"))
+    kept = {r.doc_id: r.kept for r in found.collect()}
+    assert all(kept[i] for i, _, _ in good + single) and not any(kept[i] for i, _, _ in marked)
+
+
 def test_quality_without_labels(documents, nothing, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     found = quality.quality(documents, labels)

@@ -116,11 +116,18 @@ def rule_number(rules: list[Rule]) -> Column:
     return reduce(lambda case, r: case.when(_all(r[1]), r[0]), list(enumerate(rules)), F.when(F.lit(False), -1))
 
 
-def _thresholds(rows: DataFrame, bins: int) -> dict[str, list[float]]:
+def _thresholds(rows: DataFrame, bins: int) -> dict[str, list[tuple[float, bool]]]:
     at = [i / bins for i in range(1, bins)]
     wanted = [F.percentile_approx(F.when(F.col("bad") == bad, F.col(s)), at, 10_000).alias(f"{s}_{bad}") for s in STATISTICS for bad in (0, 1)]
     row = rows.agg(*wanted).first()
-    return {s: sorted({v for bad in (0, 1) for v in row[f"{s}_{bad}"] or ()}) for s in STATISTICS}
+    return {s: _with_middles({v for bad in (0, 1) for v in row[f"{s}_{bad}"] or ()}) for s in STATISTICS}
+
+
+def _with_middles(cuts: set[float]) -> list[tuple[float, bool]]:
+    """The cuts of both classes in order and, marked true, the middle between each two."""
+    own = sorted(cuts)
+    middles = {(a + b) / 2 for a, b in zip(own, own[1:], strict=False)} - cuts
+    return sorted([(v, False) for v in own] + [(m, True) for m in middles])
 
 
 def _gain(p: int, n: int, before: float) -> float:
@@ -149,12 +156,12 @@ def learn_rules(
     return rules
 
 
-def _bin(statistic: str, cuts: list[float]) -> Column:
+def _bin(statistic: str, cuts: list[tuple[float, bool]]) -> Column:
     value = F.col(statistic)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: value > cut))
+    return F.size(F.filter(F.array(*[F.lit(c) for c, _ in cuts]), lambda cut: value > cut))
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], max_conditions: int, min_rows: int) -> Rule:
+def _grow(rows: DataFrame, cuts: dict[str, list[tuple[float, bool]]], max_conditions: int, min_rows: int) -> Rule:
     rule: Rule = ()
     while len(rule) < max_conditions:
         # Per statistic, the number of cuts below the value: one partial sum per task and bin.
@@ -172,14 +179,18 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], max_conditions: int, mi
         p0, n0 = (sum(x[k] for x in some.values()) for k in (0, 1))
         if not p0 or not n0:
             return rule
-        before, best = math.log2(p0 / (p0 + n0)), (0.0, None)
+        before, best = math.log2(p0 / (p0 + n0)), (0.0, None, False)
         for s, bins in sorted(histogram.items()):
             p = n = 0
-            for place, cut in enumerate(cuts[s]):
+            for place, (cut, middle) in enumerate(cuts[s]):
                 p, n = p + bins.get(place, (0, 0))[0], n + bins.get(place, (0, 0))[1]
                 for above, a, b in ((False, p, n), (True, p0 - p, n0 - n)):
-                    if a + b >= min_rows and (gain := _gain(a, b, before)) > best[0] + 1e-9:
-                        best = (gain, Condition(s, above, cut))
+                    if a + b < min_rows:
+                        continue
+                    gain, same = _gain(a, b, before), best[1] is not None and (best[1].statistic, best[1].above) == (s, above)
+                    # Of cuts that part the rows alike, a middle, which is on the edge of neither class.
+                    if gain > best[0] + 1e-9 or (middle and not best[2] and same and gain > best[0] - 1e-9):
+                        best = (gain, Condition(s, above, cut), middle)
         if best[1] is None:
             return rule
         rule += (best[1],)
