@@ -97,7 +97,8 @@ def _up_to(words: str) -> str:
 _MIXING = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS k, 0 AS everything,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size
   FROM documents
 ), per_source AS (
   SELECT k, everything, sum(size)::BIGINT AS source_size,
@@ -156,10 +157,105 @@ SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id =
 FROM f
 """
 
+# --- Lines and turns ---------------------------------------------------------------
+
+_SPACE = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+
+_LINES = f"""
+WITH l AS (
+  SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), k AS (
+  SELECT *, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce('=' || doc_id, r::VARCHAR)) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY r, doc_id
+"""
+
+# A path is its cost, its edits and what it has written so far; the least of several is the
+# one to go on with, as paths in one state with the same edits have written the same.
+
+
+def _edit(path: str, cost: str, letter: str, written: str = "") -> str:
+    joined = f"{path}.w || CASE WHEN {path}.w = '' THEN '' ELSE chr(10) END || {written}" if written else f"{path}.w"
+    return f"{{c: {path}.c + {cost}, a: {path}.a || '{letter}', w: {joined}}}"
+
+
+def _least(*paths: str) -> str:
+    return f"list_sort([{', '.join(paths)}])[1]"
+
+
+def _deleted(path: str) -> str:
+    return _edit(path, "3", "D")
+
+
+def _turn(path: str, initial: str, name: str) -> tuple[str, str]:
+    kept = _edit(path, f"CASE WHEN must OR initial <> '{initial}' THEN 1000000 ELSE late END", "K", "role || ':' || text")
+    return kept, _edit(path, "CASE WHEN must THEN 1000000 ELSE 2 + late END", "R", f"'{name}:' || text") if name else kept
+
+
+def _added(path: str, name: str) -> str:
+    return _edit(path, "2", "I", f"'{name}:'")
+
+
+_USER = ", ".join(x for f in ("f0", "f1", "f3") for x in _turn(f, "u", "user"))
+_REPAIR = f"""
+WITH RECURSIVE placed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce([4294967295] || list_transform(
+      string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT),
+      lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)
+    )) % 20 AS draw
+  FROM conversations
+), turns AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM placed, range(2) WHERE draw <> 0 AND (range = 0 OR draw = 3)
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS time,
+    right(rtrim(text, {_SPACE}), 1) AS last, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS initial
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM turns)
+), judged AS (
+  SELECT *, last = '' AS blank, last <> '' AND time > 1 AS again, last <> '' AND time = 1 AND last NOT IN ('.', '!', '?') AS short,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY p) || initial NOT IN ('su', 'ua', 'au'), false) AS wrong
+  FROM seen
+), told AS (
+  SELECT conv_id, count(*) AS m, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (short) AS truncated,
+    count(*) FILTER (wrong) AS illegal
+  FROM judged GROUP BY conv_id
+), run AS (
+  SELECT coalesce('=' || conv_id, '') AS k, 0::BIGINT AS p, {{c: 0, a: '', w: ''}} AS f0, {{c: 1000000, a: '', w: ''}} AS f1,
+    {{c: 2, a: 'I', w: 'user:'}} AS f2, {{c: 4, a: 'II', w: 'user:' || chr(10) || 'assistant:'}} AS f3
+  FROM told
+  UNION ALL
+  SELECT k, p, f0, f1, f2, {_least("f3", _added("f2", "assistant"))} FROM (
+    SELECT k, p, f0, f1, {_least("f2", _added("f0", "user"), _added("f1", "user"), _added("f3", "user"))} AS f2, f3 FROM (
+      SELECT k, judged.p, {_deleted("f0")} AS f0, {_least(_deleted("f1"), _turn("f0", "s", "")[0])} AS f1,
+        {_least(_deleted("f2"), _USER)} AS f2, {_least(_deleted("f3"), *_turn("f2", "a", "assistant"))} AS f3
+      FROM run JOIN (SELECT *, blank OR again AS must, short::INT AS late, coalesce('=' || conv_id, '') AS j FROM judged) judged
+        ON judged.j = run.k AND judged.p = run.p + 1
+    )
+  )
+), ended AS (
+  SELECT told.conv_id, {_least("f0", "f3")} AS best FROM run JOIN told ON run.k = coalesce('=' || told.conv_id, '') AND run.p = m
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(best.w, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN told ON c.conv_id IS NOT DISTINCT FROM told.conv_id LEFT JOIN ended ON c.conv_id IS NOT DISTINCT FROM ended.conv_id
+"""
+
 ORACLE_SQL = {
     "op2_mixing": _MIXING,
     "op10_warc": _WARC,
     "op4_substring_dedup": _SUBSTRINGS,
     "op5_exact_dedup": _EXACT,
     "op9_chat_format": _CHAT,
+    "op11_line_dedup": _LINES,
+    "op13_structure_repair": _REPAIR,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictflow.llm import bpe, chat, exact, jaccard, mixing, pii, quality, substrings, toxicity, warc
+from verdictflow.llm import bpe, chat, exact, jaccard, lines, mixing, pii, quality, repair, substrings, toxicity, warc, whitening
 from verdictflow.llm.common import table
 
 
@@ -115,10 +115,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    found = lines.drop_common_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to eight whitened components of every usable embedding."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every conversation after damage, and its cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_mixing, op3_quality_rules, op4_substring_dedup, op5_exact_dedup,
         op6_jaccard_join, op7_bpe, op8_toxicity, op9_chat_format, op10_warc,
+        op11_line_dedup, op12_whitening, op13_structure_repair,
     )
 }
