@@ -111,3 +111,9 @@ def test_plain_replies_do_not_cross_to_python(spark, monkeypatch):
     plain = [envelope(c[0]) for c in CASES[:3] + CASES[5:8] + CASES[9:14]] + ["{}"]
     rows = spark.createDataFrame([(r,) for r in plain], "reply string")
     assert rows.select(verdict(F.col("reply")).alias("v")).where("v.predicao is null").isEmpty()
+
+
+def test_a_reply_is_parsed_twice_at_most(spark):
+    rows = spark.createDataFrame([(envelope("{}"),)], "reply string")
+    plan = rows.select(verdict(F.col("reply")).alias("v")).select("v.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 2
