@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from verdictflow.fixed_values import ACCOUNT_STATUS, CREDIT_HISTORY, LOAN_PURPOSE, PROMPT
-from verdictflow.functions.decode import decode, whole_number
+from verdictflow.functions.decode import decode, decode_by_table, whole_number
 from verdictflow.functions.jsontext import lower_hex, record_of
 from verdictflow.functions.prompt import prompt, request
 from verdictflow.schemas import SCORED_SCHEMA
@@ -72,3 +72,13 @@ def test_worked_examples_of_the_prompt_are_json():
     lines = PROMPT.splitlines()
     examples = [json.loads(line.partition(": ")[2]) for line in lines if line.startswith(("Perfil: {", "Resposta: {"))]
     assert [e["predicao"] for e in examples[1::2]] == [1, 2]
+
+
+def test_codes_of_a_table_decode_on_either_side_of_the_size(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "zz"), (5, "a"), (6, "n")], "i int, code string")
+    codes = spark.createDataFrame([("a", "first"), ("b", "y"), ("b", "x"), (None, "none"), ("n", None)], "code string, label string")
+    expected = [(1, "first"), (2, "x"), (3, None), (4, "zz"), (5, "first"), (6, "n")]
+    for most, join in ((3, "BroadcastHashJoin"), (2, "SortMergeJoin")):
+        decoded = decode_by_table(rows, "code", codes, max_broadcast_rows=most)
+        assert decoded.columns == rows.columns and sorted(map(tuple, decoded.collect())) == expected
+        assert join in decoded._jdf.queryExecution().executedPlan().toString()

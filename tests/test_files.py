@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 from verdictflow.operators import row_id
 from verdictflow.operators.payload import decode_applications, profile, raw_message
 from verdictflow.operators.row_id import number_rows, unique_row_ids
+from verdictflow.plans.applications import coded_applications
 from verdictflow.plans.steps import file_applications, replay
 from verdictflow.schemas import APPLICATION_FILE_SCHEMA, RAW_SCHEMA
-from verdictflow.sources.files import scan_applications
+from verdictflow.sources.files import scan_applications, scan_or_reject
 from verdictflow.sources.topics import FileTopic
 
 FIRST = "A11 6 A34 A43 1169 A65 A75 4 A93 A101 4 A121 67 A143 A152 2 A173 1 A192 A201 1"
@@ -165,3 +166,30 @@ def test_facts_of_the_public_file(spark):
     assert [r.id_cliente for r in undecoded.collect()] == [157, 203, 215, 244, 463, 473, 579, 782, 856]
     statuses = {r.status_conta_corrente: r["count"] for r in rows.groupBy("status_conta_corrente").count().collect()}
     assert sorted(statuses.values()) == [63, 269, 274, 394]
+
+
+# --- Lines that do not fit -------------------------------------------------------
+
+
+def test_every_line_is_a_row_or_is_rejected_with_the_reason(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("m", T.LongType())])
+    (tmp_path / "one.data").write_text("x 1 2\ny 1\nz q 3\n\nw 3000000000 5\n")
+    (tmp_path / "two.data").write_text("v  9\nu 1 2 3\nt 4 1.5\ns -1 9000000000\n")
+    good, rejected = scan_or_reject(spark, str(tmp_path), schema)
+    assert sorted(tuple(r) for r in good.collect()) == [(0, "x", 1, 2), (4, "v", None, 9), (7, "s", -1, 9000000000)]
+    found = sorted((r.row_id, r.file.rpartition("/")[2], r.line, r.reason) for r in rejected.collect())
+    assert found == [
+        (1, "one.data", "y 1", "not 3 fields"),
+        (2, "one.data", "z q 3", "no int in n: q"),
+        (3, "one.data", "w 3000000000 5", "no int in n: 3000000000"),
+        (5, "two.data", "u 1 2 3", "not 3 fields"),
+        (6, "two.data", "t 4 1.5", "no bigint in m: 1.5"),
+    ]
+
+
+def test_a_file_without_faults_scans_alike(spark, sf_dir, tmp_path):
+    coded = coded_applications(spark, sf_dir).withColumn("_c4", F.col("_c4").cast("int")).drop("o_orderkey")
+    coded.write.csv(str(tmp_path / "f"), sep=" ")
+    good, rejected = scan_or_reject(spark, str(tmp_path / "f"))
+    strict = scan_applications(spark, str(tmp_path / "f"))
+    assert rejected.isEmpty() and good.drop("row_id").exceptAll(strict).isEmpty() and good.count() == strict.count()

@@ -17,7 +17,9 @@ from verdictflow.operators.snapshots import compact, rollback_to
 from verdictflow.plans import steps
 from verdictflow.sources.tables import create_database, create_scored_table, register_catalog, use_catalog
 from verdictflow.sources.topics import FileTopic, KafkaTopic, Topic
-from verdictflow.streaming.metrics import CommitCounts, files_behind
+from verdictflow.streaming.backlog import backlog_now, create_backlog_table, watch_backlog
+from verdictflow.streaming.metrics import CommitCounts
+from verdictflow.streaming.progress import ProgressLog, lag, progress_folder
 from verdictflow.streaming.steps import land_stream, paced_replay, score_stream
 
 
@@ -46,6 +48,8 @@ def arguments() -> argparse.ArgumentParser:
     score.add_argument("--max-in-flight", type=int, default=MAX_IN_FLIGHT, help="calls at once per task")
     score.add_argument("--partitions", type=int, help="tasks per commit, if not those of the topic")
 
+    score.add_argument("--quarantine", type=topic, help="topic for texts that are no messages; without one they stop the step")
+
     land = commands.add_parser("land", help="scored topic to table")
     land.add_argument("--scored", type=topic, required=True)
 
@@ -53,7 +57,11 @@ def arguments() -> argparse.ArgumentParser:
     pace.add_argument("--staged", type=topic, required=True, help="topic with one message per file")
     pace.add_argument("--raw", type=topic, required=True)
 
-    for command in (score, land, pace):
+    watch = commands.add_parser("watch", help="messages without a verdict, kept up to date in a table")
+    watch.add_argument("--raw", type=topic, required=True)
+    watch.add_argument("--scored", type=topic, required=True)
+
+    for command in (score, land, pace, watch):
         command.add_argument("--checkpoint", required=True)
         command.add_argument("--per-trigger", type=int, default=1 if command is pace else None, help="files or offsets per commit")
         command.add_argument("--interval", default="1 second" if command is pace else COMMIT_INTERVAL)
@@ -72,15 +80,15 @@ def arguments() -> argparse.ArgumentParser:
     compact = commands.add_parser("compact", help="join all but the last commits to one")
     compact.add_argument("--keep", type=int, default=10, help="commits to leave as they are")
 
-    lag = commands.add_parser("lag", help="files of a topic that a step has yet to take in")
-    lag.add_argument("--topic", type=topic, required=True)
-    lag.add_argument("--checkpoint", required=True)
+    behind = commands.add_parser("lag", help="messages of a topic that a step has yet to take in, by the progress kept beside its checkpoint")
+    behind.add_argument("--topic", type=topic, required=True)
+    behind.add_argument("--checkpoint", required=True)
 
     pending = commands.add_parser("pending", help="messages without a verdict")
     pending.add_argument("--raw", type=topic, required=True)
     pending.add_argument("--scored", type=topic, required=True)
 
-    for command in (land, inspect, report, rollback, compact):
+    for command in (land, watch, inspect, report, rollback, compact):
         command.add_argument("--table", required=True, help="database.table")
         command.add_argument("--warehouse", required=True, help="folder of the database")
         command.add_argument("--catalog", help="NAME, or NAME=CLASS to declare it; the session's own if left out")
@@ -121,7 +129,7 @@ def main(argv: list[str] | None = None) -> None:
         print(f"no file at {args.file}" if sent is None else f"sent {sent} messages")
     elif args.step == "score":
         scorer = HttpScorer(args.url, args.model) if args.url else RubricScorer()
-        with CommitCounts(spark, f"score {args.checkpoint}", told("score")) as counts:
+        with CommitCounts(spark, f"score {args.checkpoint}", told("score")) as counts, ProgressLog(spark, progress_folder(args.checkpoint)) as log:
             query = score_stream(
                 spark,
                 args.raw,
@@ -130,22 +138,34 @@ def main(argv: list[str] | None = None) -> None:
                 args.checkpoint,
                 per_trigger=args.per_trigger,
                 interval=args.interval,
-                count_as=counts.name,
+                count_as=None if args.quarantine else counts.name,
+                quarantine=args.quarantine,
                 model_name=args.model or args.scorer,
                 max_in_flight=args.max_in_flight,
                 partitions=args.partitions,
             )
+            log.follow(query)
             counts.wait_for(query)
     elif args.step == "land":
         open_table(spark, args.table, args.warehouse)
-        with CommitCounts(spark, f"land {args.checkpoint}", told("land")) as counts:
+        with CommitCounts(spark, f"land {args.checkpoint}", told("land")) as counts, ProgressLog(spark, progress_folder(args.checkpoint)) as log:
             bounds = {"per_trigger": args.per_trigger, "interval": args.interval, "count_as": counts.name}
-            counts.wait_for(land_stream(spark, args.scored, args.table, args.checkpoint, **bounds))
+            query = land_stream(spark, args.scored, args.table, args.checkpoint, **bounds)
+            log.follow(query)
+            counts.wait_for(query)
+    elif args.step == "watch":
+        create_database(spark, args.table.rpartition(".")[0], args.warehouse)
+        create_backlog_table(spark, args.table)
+        with ProgressLog(spark, progress_folder(args.checkpoint)) as log:
+            bounds = {"per_trigger": args.per_trigger, "interval": args.interval}
+            log.follow(watch_backlog(spark, args.raw, args.scored, args.table, args.checkpoint, **bounds))
+        if args.interval is None:
+            backlog_now(spark, args.table).agg(F.coalesce(F.sum("pending"), F.lit(0)).alias("pending")).show()
     elif args.step == "pace":
         bounds = {"per_trigger": args.per_trigger, "interval": args.interval}
         paced_replay(spark, args.staged, args.raw, args.checkpoint, **bounds).awaitTermination()
     elif args.step == "lag":
-        files_behind(spark, args.topic, args.checkpoint).show()
+        lag(spark, args.topic, progress_folder(args.checkpoint)).show()
     elif args.step == "pending":
         steps.pending(spark, args.raw, args.scored).agg(F.coalesce(F.sum("pending"), F.lit(0)).alias("pending")).show()
     else:

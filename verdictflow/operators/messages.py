@@ -25,6 +25,15 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     recognised by writing them again, with spaces or compactly: if that gives the same
     text, the known fields are all there is. Only the others take the long way.
     """
+    read = read_messages(messages, carry, fail=True)
+    return read.drop("reason")
+
+
+def read_messages(messages: DataFrame, carry: tuple[str, ...] = (), fail: bool = False) -> DataFrame:
+    """What ``parse_messages`` gives, with ``reason``: null, or why a text is no message, whose fields are null then.
+
+    Both kinds come from one parse. With ``fail``, such a text fails the job.
+    """
     value, known = F.col("value"), F.col("known")
     names_known = reduce(and_, (value.contains(f'"{name}":') for name in RAW_SCHEMA.fieldNames()))
     as_known = messages.select(*carry, "value", F.when(names_known, F.from_json("value", RAW_SCHEMA)).alias("known"))
@@ -37,8 +46,11 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
         *carry, "value", "known", "same", as_maps("variant").alias("fields"), as_maps("string").alias("texts")
     )
     no_object = F.concat(F.lit("message is not a JSON object: "), F.coalesce(value, F.lit("NULL")))
-    one = F.when(F.col("same") | _is_one("fields"), F.col("fields")[0]).otherwise(F.raise_error(no_object))
-    opened = opened.select(*carry, "known", "same", one.alias("fields"), F.get("texts", 0).alias("texts"))
+    is_one = F.col("same") | _is_one("fields")
+    one = F.when(is_one, F.get("fields", F.lit(0)))
+    one = one.otherwise(F.raise_error(no_object)) if fail else one
+    reason = F.lit(None).cast("string") if fail else F.when(~is_one, no_object)
+    opened = opened.select(*carry, "known", "same", reason.alias("reason"), one.alias("fields"), F.when(is_one, F.get("texts", F.lit(0))).alias("texts"))
     opened = opened.withColumn("names", F.array_distinct(F.map_keys("fields")))
     opened = opened.withColumns({name: _last_of_each(name) for name in ("fields", "texts")})
 
@@ -51,6 +63,7 @@ def parse_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
         *carry,
         *[_either(known[name], members, name) for name in (ID_FIELD, LABEL_FIELD)],
         F.when(F.col("same"), record_of(RAW_SCHEMA, known, without=LABEL_FIELD)).otherwise(open_profile).alias("perfil"),
+        "reason",
     )
     return split.withColumn("perfil", lower_hex(F.col("perfil")))
 
@@ -112,6 +125,11 @@ def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(one).drop("objects"), parsed.where(~one).drop("objects")
 
 
+def read_quarantine(messages: DataFrame) -> DataFrame:
+    """Texts that were set aside, and why."""
+    return messages.select(F.from_json("value", "message string, reason string", {"mode": "FAILFAST"}).alias("row")).select("row.*")
+
+
 def scored_message() -> Column:
     """Message text of a scored row."""
     return lower_hex(record_of(SCORED_SCHEMA))

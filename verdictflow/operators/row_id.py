@@ -12,7 +12,7 @@ MAX_SPLITS = 8_000_000
 _SPLITS = "spark.sql.files.minPartitionNum"
 
 
-def number_rows(scan: DataFrame, id_column: str = "row_id") -> DataFrame:
+def number_rows(scan: DataFrame, id_column: str = "row_id", file_column: str | None = None) -> DataFrame:
     """Number the rows of a file scan from 0, by file path, then place in the file.
 
     A first pass counts the rows of each input split. The counts, one row per
@@ -46,7 +46,8 @@ def number_rows(scan: DataFrame, id_column: str = "row_id") -> DataFrame:
         raise ValueError(f"{n} splits, {distinct} of them distinct: more than {MAX_SPLITS}, or two that look alike")
     moved = F.raise_error(F.lit("the file splits changed between the two passes")).cast("bigint")
     row_id = F.coalesce(F.col("place") + F.col("shift"), moved)
-    return placed.join(F.broadcast(splits), ["task", "split"], "left").select(row_id.alias(id_column), *scan.columns)
+    named = [F.col("file").alias(file_column)] if file_column else []
+    return placed.join(F.broadcast(splits), ["task", "split"], "left").select(row_id.alias(id_column), *named, *scan.columns)
 
 
 def unique_row_ids(scan: DataFrame, id_column: str = "row_id") -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ def score(
     partitions: int | None = None,
     request_timeout_s: float = REQUEST_TIMEOUT_S,
     operator_timeout_s: float = OPERATOR_TIMEOUT_S,
+    call_ms: str | None = None,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Judge the ``perfil`` of every row; the other columns are carried along.
 
@@ -37,6 +40,10 @@ def score(
     partitions they are in and nothing is shuffled. Only the profile and the
     carried columns cross to Python: the scorer adds the prompt there.
 
+    Tasks running at once are bounded for the whole job by ``profile``: one of
+    ``call_slots`` gives each task of the stage, and of no other, so many cores.
+    ``call_ms`` names a column for the time a row's call took.
+
     A call that outlives ``operator_timeout_s`` fails the task. A task that is
     run again calls the model again, so keep speculation off and store the result
     before using it twice.
@@ -46,16 +53,19 @@ def score(
     if partitions:
         requests = requests.repartition(partitions)
     carried = [f for f in requests.schema if f.name != "perfil"]
+    timed = [T.StructField(call_ms, T.DoubleType())] if call_ms else []
     out = T.StructType(
-        [*carried, T.StructField("predicao", T.IntegerType()), T.StructField("justificativa", T.StringType())]
+        [*carried, T.StructField("predicao", T.IntegerType()), T.StructField("justificativa", T.StringType()), *timed]
     )
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ask(rows: pa.RecordBatch) -> list[str | Exception]:
+        def ask(rows: pa.RecordBatch) -> tuple[list[str | Exception], float]:
+            begin = time.perf_counter()
             try:
-                return scorer.ask(rows.column("perfil").to_pylist(), request_timeout_s)
+                replies = scorer.ask(rows.column("perfil").to_pylist(), request_timeout_s)
             except Exception as error:
-                return [error] * rows.num_rows
+                replies = [error] * rows.num_rows
+            return replies, 1000 * (time.perf_counter() - begin)
 
         calls = (
             batch.slice(start, scorer.batch_size)
@@ -65,11 +75,11 @@ def score(
         scorer.open()
         try:
             done = as_they_end(calls, ask, max_in_flight, operator_timeout_s)
-            yield from _in_batches(_judged(rows, replies) for rows, replies in done)
+            yield from _in_batches(_judged(rows, replies, took, call_ms) for rows, (replies, took) in done)
         finally:
             scorer.close()
 
-    scored = requests.select(*[f.name for f in carried], "perfil").mapInArrow(stage, out)
+    scored = requests.select(*[f.name for f in carried], "perfil").mapInArrow(stage, out, profile=profile)
     return scored.withColumn("modelo", F.lit(model_name).cast("string"))
 
 
@@ -99,12 +109,26 @@ def as_they_end[A, B](
         pool.shutdown(wait=False, cancel_futures=True)
 
 
-def _judged(rows: pa.RecordBatch, replies: list[str | Exception]) -> pa.RecordBatch:
+def call_slots(executor_cores: int, per_executor: int) -> ResourceProfile:
+    """A profile under which an executor runs at most ``per_executor`` tasks of the model stage at once.
+
+    With ``max_in_flight`` calls a task, a job makes at most executors x ``per_executor`` x
+    ``max_in_flight`` calls at once, whatever else runs. Needs a cluster that schedules by
+    profile (standalone, YARN or Kubernetes); a local session refuses it.
+    """
+    if not 0 < per_executor <= executor_cores:
+        raise ValueError(f"{per_executor} tasks do not go into {executor_cores} cores")
+    cores = executor_cores // (per_executor + 1) + 1  # the fewest with which not one more fits
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build
+
+
+def _judged(rows: pa.RecordBatch, replies: list[str | Exception], took: float, call_ms: str | None) -> pa.RecordBatch:
     if len(replies) != rows.num_rows:
         raise ValueError(f"{len(replies)} replies to {rows.num_rows} profiles")
     kept = rows.drop_columns(["perfil"])
-    names = [*kept.schema.names, "predicao", "justificativa"]
-    return pa.RecordBatch.from_arrays([*kept.columns, *verdict_columns(replies)], names)
+    names = [*kept.schema.names, "predicao", "justificativa", *([call_ms] if call_ms else [])]
+    timed = [pa.array([took] * rows.num_rows, pa.float64())] if call_ms else []
+    return pa.RecordBatch.from_arrays([*kept.columns, *verdict_columns(replies), *timed], names)
 
 
 def _in_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,6 +77,13 @@ _FILE_FIELDS = ", ".join(
     for i in range(21)
 )
 
+_LINE_FIELDS = "[" + ", ".join(
+    {0: "c0", 1: "c1::VARCHAR", 2: "c2", 3: "c3", 4: "CASE WHEN o_orderkey % 5 = 1 THEN 'x' ELSE '' END || c4", 20: "c20::VARCHAR"}.get(
+        i, "other::VARCHAR" if i in (7, 10, 12, 15, 17) else f"'A{i}' || other"
+    )
+    for i in range(21)
+) + "]"
+
 _TABLE_ROWS = f"WITH {_SCORED} SELECT id_cliente, target_real, predicao, justificativa FROM scored"
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,12 +129,27 @@ ORACLE_SQL: dict[str, str] = {
             WHEN user_id < 40 THEN 'predicao_invalida_recebida=None'
             WHEN user_id < 60 THEN 'sim' ELSE '' END AS justificativa
         FROM events""",
+    "decode_parts": """
+        SELECT l_orderkey, l_linenumber, coalesce(p_name, CAST(l_partkey AS VARCHAR)) AS part
+        FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 7 <> 0""",
     "row_id": """
         SELECT row_number() OVER () - 1 AS row_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem""",
     "scan_file": f"""
         WITH {_DECODED}
         SELECT * REPLACE (row_number() OVER () - 1 AS id_cliente) FROM decoded""",
     "scan_types": f"WITH {_CODED} SELECT {_FILE_FIELDS} FROM coded",
+    "scan_lenient": f"""
+        WITH {_CODED}, numbered AS (
+          SELECT row_number() OVER () - 1 AS row_id, o_orderkey,
+            {_LINE_FIELDS} AS fields, o_orderkey % 5 = 1 AS letters, c4, c20
+          FROM coded),
+        lines AS (
+          SELECT *, array_to_string(CASE o_orderkey % 7 WHEN 2 THEN fields[:12] WHEN 3 THEN list_append(fields, 'A1') ELSE fields END, ' ')
+            AS text, CASE WHEN o_orderkey % 7 IN (2, 3) THEN 'not 21 fields' WHEN letters THEN 'no int in _c4: x' || c4 END AS reason
+          FROM numbered)
+        SELECT row_id, CASE WHEN reason IS NULL THEN c4 END AS amount, CASE WHEN reason IS NULL THEN c20 END AS outcome,
+          CASE WHEN reason IS NOT NULL THEN text END AS line, reason
+        FROM lines""",
     "score_applications": f"""
         WITH {_SCORED}
         SELECT id_cliente, predicao, '{{"id_cliente": ' || id_cliente || ', "target_real": ' || target_real
@@ -175,6 +197,30 @@ ORACLE_SQL: dict[str, str] = {
         FROM events""",
     "ingest_counts": f"""
         WITH {_SCORED} SELECT count(*) AS rows, count(*) FILTER (predicao = 0) AS failed FROM scored""",
+    "dead_letters": """
+        WITH m AS (
+          SELECT event_id, user_id, event_type, event_type IN ('error', 'signup') AS bad,
+            '{"id_cliente": ' || event_id || ', "target_real": ' || user_id || ', "tipo": "' || event_type || '"}' AS text
+          FROM events),
+        sent AS (SELECT *, CASE event_type WHEN 'error' THEN text[:-2] WHEN 'signup' THEN '[' || text || ']' ELSE text END AS said FROM m)
+        SELECT CASE WHEN NOT bad THEN event_id END AS id_cliente, CAST(CASE WHEN NOT bad THEN user_id END AS INTEGER) AS target_real,
+          CAST(CASE WHEN NOT bad THEN 1 END AS INTEGER) AS predicao,
+          CASE WHEN bad THEN 'message is not a JSON object: ' || said ELSE event_type || ' ' || event_id END AS justificativa,
+          CASE WHEN bad THEN said END AS message
+        FROM sent""",
+    "call_counts": f"""
+        WITH {_SCORED}
+        SELECT id_cliente % 4 AS batch, count(*) AS asked, count(*) AS answered, CAST(0 AS BIGINT) AS waiting,
+          count(*) FILTER (predicao = 0) AS fallbacks, count(*) AS timed, true AS ordered
+        FROM scored GROUP BY ALL""",
+    "live_backlog": """
+        WITH raw AS (SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id),
+          done AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id),
+          sides AS (SELECT doc_id, coalesce(raw.n, 0) AS sent, coalesce(done.n, 0) AS judged FROM raw FULL JOIN done USING (doc_id)),
+          states AS (
+            SELECT 0 AS commit, doc_id, sent AS pending FROM sides UNION ALL SELECT 1, doc_id, sent - judged FROM sides
+            UNION ALL SELECT 2, doc_id, 2 * sent - judged FROM sides)
+        SELECT * FROM states WHERE pending <> 0""",
     "snapshot_as_of": """
         SELECT event_id, user_id, event_type, ts,
           CAST(CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 ELSE 1 END AS BIGINT) AS snapshot_id

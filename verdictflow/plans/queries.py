@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictflow.fixed_values import ACCOUNT_STATUS, CREDIT_HISTORY, LOAN_PURPOSE
-from verdictflow.functions.decode import decode
+from verdictflow.functions.decode import decode, decode_by_table
 from verdictflow.functions.prompt import prompt, request
 from verdictflow.operators import evaluate
-from verdictflow.operators.messages import parse_messages, read_scored, scored_message
+from verdictflow.operators.messages import parse_messages, read_quarantine, read_scored, scored_message
 from verdictflow.operators.payload import decode_applications, profile, raw_message
 from verdictflow.operators.row_id import number_rows
 from verdictflow.operators.scorers import RubricScorer, Scorer
@@ -31,7 +31,7 @@ from verdictflow.operators.verdict import verdict
 from verdictflow.plans.applications import coded_applications, table
 from verdictflow.plans.steps import file_applications, pending, score_batch
 from verdictflow.session import delete_folder, scratch_path
-from verdictflow.sources.files import scan_applications
+from verdictflow.sources.files import scan_applications, scan_or_reject
 from verdictflow.sources.tables import (
     create_database,
     create_scored_table,
@@ -40,6 +40,8 @@ from verdictflow.sources.tables import (
     read_table,
 )
 from verdictflow.sources.topics import FileTopic
+from verdictflow.streaming.backlog import backlog_now, create_backlog_table, watch_backlog
+from verdictflow.streaming.calls import CallLog, call_report
 from verdictflow.streaming.metrics import CommitCounts
 from verdictflow.streaming.steps import insert_stream, land_stream, score_stream
 
@@ -132,6 +134,14 @@ def validate_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.repartition(_tasks(spark)).select("event_id", judged).select("event_id", "verdict.*")
 
 
+def decode_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part numbers of all line items to names, by a table that lacks every seventh part."""
+    parts = table(spark, sf_dir, "part").where("p_partkey % 7 <> 0")
+    codes = parts.select(F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("label"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("part"))
+    return decode_by_table(items, "part", codes)
+
+
 # --- Files --------------------------------------------------------------------
 
 
@@ -157,6 +167,24 @@ def scan_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_applications(spark, path)
 
 
+def scan_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application files with short lines, long lines and letters in numbers: what fits, and what does not and why."""
+    path = scratch_path(spark, "file")
+    coded = coded_applications(spark, sf_dir).withColumn("_c4", F.col("_c4").cast("int").cast("string"))
+    key = F.col("o_orderkey")
+    amount = F.when(key % 5 == 1, F.concat(F.lit("x"), "_c4")).otherwise(F.col("_c4"))
+    fields = [amount if c == "_c4" else F.col(c).cast("string") for c in coded.columns if c != "o_orderkey"]
+    line = F.concat_ws(" ", *fields)
+    line = F.when(key % 7 == 2, F.substring_index(line, " ", 12)).when(key % 7 == 3, F.concat(line, F.lit(" A1"))).otherwise(line)
+    coded.select(line.alias("value")).write.text(path)
+    good, rejected = scan_or_reject(spark, path)
+    good = good.select("row_id", F.col("_c4").alias("amount"), F.col("_c20").alias("outcome"))
+    nothing = F.lit(None)
+    return good.select("*", nothing.cast("string").alias("line"), nothing.cast("string").alias("reason")).unionByName(
+        rejected.select("row_id", nothing.cast("int").alias("amount"), nothing.cast("int").alias("outcome"), "line", "reason")
+    )
+
+
 # --- Scoring ------------------------------------------------------------------
 
 
@@ -338,6 +366,57 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(seen["rows"], seen["fallbacks"])], "rows bigint, failed bigint")
 
 
+class EventScorer(Scorer):
+    """Says which event it was asked about."""
+
+    def answer(self, profile: str, timeout_s: float) -> str:
+        event = json.loads(profile)
+        return json.dumps({"response": json.dumps({"predicao": 1, "justificativa": f"{event['tipo']} {event['id_cliente']}"})})
+
+
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event messages of which some are cut off and some are lists: verdicts of the others, and these with the reason."""
+    events = table(spark, sf_dir, "events").repartition(_tasks(spark))
+    kind = F.col("event_type")
+    text = F.when(kind == "error", F.expr("left(value, length(value) - 1)")).when(kind == "signup", F.expr("'[' || value || ']'")).otherwise(F.col("value"))
+    plain = F.format_string('{"id_cliente": %d, "target_real": %d, "tipo": "%s"}', "event_id", "user_id", "event_type")
+    raw, scored, aside = (FileTopic(scratch_path(spark, name)) for name in ("raw", "scored", "quarantine"))
+    raw.append(events.withColumn("value", plain).select(text.alias("value")))
+    bounds = {"per_trigger": 4, "interval": None, "model_name": MODEL}
+    score_stream(spark, raw, scored, EventScorer(), scratch_path(spark, "progress"), quarantine=aside, **bounds).awaitTermination()
+    judged = read_scored(scored.read(spark)).select("id_cliente", "target_real", "predicao", "justificativa", F.lit(None).cast("string").alias("message"))
+    bad = read_quarantine(aside.read(spark))
+    return judged.unionByName(bad.select("message", F.col("reason").alias("justificativa")), allowMissingColumns=True)
+
+
+def call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a scoring stream by commit: each takes in the quarter of the applications that was sent with it."""
+    raw, scored = FileTopic(scratch_path(spark, "raw")), FileTopic(scratch_path(spark, "scored"))
+    for part in range(4):
+        quarter = _decoded(spark, sf_dir).where(F.col("id_cliente") % 4 == part)
+        raw.append(quarter.select(raw_message().alias("value")).coalesce(1))
+    with CallLog(spark, name := "calls " + raw.path[-32:]) as log:
+        query = score_stream(
+            spark, raw, scored, RubricScorer(), scratch_path(spark, "progress"), per_trigger=1, interval=None, calls_as=name, partitions=_tasks(spark)
+        )
+        told = call_report(log.wait_for(query), "batch")
+    ordered = (F.col("median_ms") >= 0) & (F.col("median_ms") <= F.col("p99_ms"))
+    return told.select("batch", "asked", "answered", "waiting", "fallbacks", "timed", ordered.alias("ordered"))
+
+
+def live_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label, as a stream of documents and labels knows it after each of its commits."""
+    raw, scored = (FileTopic(scratch_path(spark, name)) for name in ("raw", "scored"))
+    name, progress = f"{_database(spark)}.backlog", scratch_path(spark, "progress")
+    create_backlog_table(spark, name)
+    ids = lambda t: table(spark, sf_dir, t).select(F.format_string('{"id_cliente": %d}', "doc_id").alias("value"))
+    for topic, t in ((raw, "documents"), (scored, "labels"), (raw, "documents")):
+        topic.append(ids(t))
+        watch_backlog(spark, raw, scored, name, progress, interval=None).awaitTermination()
+    states = [backlog_now(spark, name, n).select(F.lit(n).alias("commit"), F.col("id_cliente").cast("bigint").alias("doc_id"), "pending") for n in range(3)]
+    return states[0].unionByName(states[1]).unionByName(states[2])
+
+
 # --- Snapshots ----------------------------------------------------------------
 
 
@@ -386,9 +465,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         prompt_render,
         request_payload,
         validate_reply,
+        decode_parts,
         row_id,
         scan_file,
         scan_types,
+        scan_lenient,
         score_applications,
         scored_projection,
         score_failures,
@@ -403,6 +484,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         score_and_land,
         insert_select,
         ingest_counts,
+        dead_letters,
+        call_counts,
+        live_backlog,
         snapshot_as_of,
         snapshot_audit,
         snapshot_rollback,

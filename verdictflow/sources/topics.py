@@ -78,7 +78,8 @@ class KafkaTopic:
         group = {"kafka.group.id": self.group} if self.group else {}
         return {**self._options(), **group, "subscribe": self.name, "startingOffsets": "earliest"}
 
-    def append(self, messages: DataFrame) -> None:
+    def append(self, messages: DataFrame, commit: str | None = None) -> None:
+        """Add messages. Kafka keeps no names of commits: one that is made again is there twice."""
         messages.select("value").write.format("kafka").options(**self._options(), topic=self.name).save()
 
     def read(self, spark: SparkSession) -> DataFrame:

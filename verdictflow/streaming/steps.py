@@ -9,12 +9,13 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from verdictflow.fixed_values import COMMIT_INTERVAL
 from verdictflow.operators.evaluate import is_fallback
-from verdictflow.operators.messages import parse_messages, read_scored, scored_message
+from verdictflow.operators.messages import parse_messages, read_messages, read_scored, scored_message
 from verdictflow.operators.scorers import Scorer
 from verdictflow.operators.scoring import score
 from verdictflow.operators.snapshots import CommitNumbers, append_snapshot
-from verdictflow.session import CommitNames
+from verdictflow.session import CommitNames, delete_folder, scratch_path
 from verdictflow.sources.topics import Topic
+from verdictflow.streaming.calls import CALL_MS, answered, asked
 
 
 def score_stream(
@@ -27,22 +28,56 @@ def score_stream(
     per_trigger: int | None = None,
     interval: str | None = COMMIT_INTERVAL,
     count_as: str | None = None,
+    calls_as: str | None = None,
+    quarantine: Topic | None = None,
     **limits,
 ) -> StreamingQuery:
-    """Raw topic to scored topic; rows and fallbacks are counted under ``count_as``.
+    """Raw topic to scored topic; rows and fallbacks are counted under ``count_as``, calls under ``calls_as``.
 
     Storing the verdicts before anything else uses them keeps it at one model
     call per row; a lost micro-batch is the most that is asked again, so
     ``per_trigger`` bounds it.
+
+    A text that is no message stops the stream, unless there is a ``quarantine`` for it:
+    then each commit is parsed once and stored, its messages are judged, and the other
+    texts go there with the reason, under the same name. Nothing is counted in this case.
     """
-    requests = parse_messages(raw.read_stream(spark, per_trigger))
+    messages = raw.read_stream(spark, per_trigger)
+    if quarantine is not None:
+        if count_as or calls_as:
+            raise ValueError("a step with a quarantine counts nothing: its commits are written by two batch jobs")
+        return _score_or_set_aside(messages, scored, quarantine, scorer, checkpoint, interval, limits)
+    requests = parse_messages(messages)
+    if calls_as:
+        requests, limits = asked(requests, calls_as), {**limits, "call_ms": CALL_MS}
     judged = score(requests, scorer, **limits)
+    if calls_as:
+        judged = answered(judged, calls_as)
     if count_as:
         judged = counted(judged, count_as, fallbacks=F.count_if(is_fallback()))
     messages = judged.select(scored_message().alias("value"))
     return start(scored.writer(messages, checkpoint), checkpoint, interval)
 
 
+def _score_or_set_aside(
+    messages: DataFrame, scored: Topic, quarantine: Topic, scorer: Scorer, checkpoint: str, interval: str | None, limits: dict
+) -> StreamingQuery:
+    names = CommitNames(checkpoint)
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        name, path = names.of(spark, batch_id), scratch_path(spark, "messages")
+        read_messages(batch.select("value", F.col("value").alias("message")), carry=("message",)).write.parquet(path)
+        read = spark.read.parquet(path)
+        judged = score(read.where("reason IS NULL").drop("message", "reason"), scorer, **limits)
+        record = F.to_json(F.struct("message", "reason"), {"ignoreNullFields": "false"})
+        scored.append(judged.select(scored_message().alias("value")), commit=name)
+        quarantine.append(read.where("reason IS NOT NULL").select(record.alias("value")), commit=name)
+        delete_folder(spark, path)
+
+    return start(messages.writeStream.foreachBatch(commit), checkpoint, interval)
+
+
 def land_stream(
     spark: SparkSession,
     scored: Topic,
