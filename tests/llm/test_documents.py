@@ -3,6 +3,7 @@
 import random
 import sys
 
+import numpy as np
 import pytest
 from brute import base_spans, near, repeat_words, sha, substrings, words
 from pyspark.sql import functions as F
@@ -281,3 +282,32 @@ def test_toxicity_of_odd_tables(spark, documents, rows, nothing):
     assert len(found) == len(rows) and all(0 <= r.score < 0.5 and not r.passages for r in found)
     assert toxicity.learn(nothing, labels.limit(0)).lexicon == {} and toxicity.score(nothing, model).isEmpty()
     assert sys.getsizeof(model) < 10_000
+
+
+def test_one_very_long_text_comes_back(spark):
+    import tiktoken
+
+    ranks, pattern = tokenizer()
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["alpha", "Bet9", "gamma\n", "é" * 3, "x" * 70, "12345"]) + str(rng.randrange(50_000)) for _ in range(900_000))[:10_000_000]
+    assert len(text) > 9_000_000
+    texts = {1: text, 2: "short", 3: "", 4: text[:3_000_000]}
+    found = {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in bpe.round_trip(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), ranks, pattern).collect()}
+    for i, t in texts.items():
+        assert found[i][1] == t.encode()
+        assert found[i][0] == np.array(known.encode_ordinary(t), "<u4").tobytes()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_learned_cuts_spare_the_good(spark, seed):
+    rng = random.Random(seed)
+    good = [(i, prose(rng, 80)) for i in range(300)]
+    bad = [(300 + i, prose(rng, 80).upper()) for i in range(150)] + [(450 + i, prose(rng, 80).replace(" ", "### ")) for i in range(150)]
+    stats = quality.text_statistics(spark.createDataFrame(good + bad, "doc_id long, text string").coalesce(2))
+    rows = stats.select("doc_id", *[F.expr(e).alias(s) for s, e in quality.STATISTICS.items()]).persist()
+    prune = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    labelled = rows.filter("doc_id % 2 = 0").select((F.col("doc_id") >= 300).cast("int").alias("bad"), prune.alias("prune"), *quality.STATISTICS)
+    rules = quality.learn_rules(labelled.persist())
+    dropped = {r.doc_id for r in rows.filter(quality.rule_number(rules).isNotNull()).select("doc_id").collect()}
+    assert dropped == set(range(300, 600)), rules

@@ -104,6 +104,9 @@ class Condition:
         return f"{self.statistic} {'>' if self.above else '<='} {self.threshold:.6g}"
 
 
+#: Gains of at least this share of the best count as equal to it.
+NEARLY = 0.8
+
 Rule = tuple[Condition, ...]
 
 
@@ -116,18 +119,24 @@ def rule_number(rules: list[Rule]) -> Column:
     return reduce(lambda case, r: case.when(_all(r[1]), r[0]), list(enumerate(rules)), F.when(F.lit(False), -1))
 
 
-def _thresholds(rows: DataFrame, bins: int) -> dict[str, list[tuple[float, bool]]]:
+def _thresholds(rows: DataFrame, bins: int) -> dict[str, list[tuple[float, float]]]:
+    """Cuts of each statistic: percentiles, least and largest value of both classes, and the middles between."""
     at = [i / bins for i in range(1, bins)]
-    wanted = [F.percentile_approx(F.when(F.col("bad") == bad, F.col(s)), at, 10_000).alias(f"{s}_{bad}") for s in STATISTICS for bad in (0, 1)]
+    wanted = []
+    for s in STATISTICS:
+        for bad in (0, 1):
+            own = F.when(F.col("bad") == bad, F.col(s))
+            wanted += [F.percentile_approx(own, at, 10_000).alias(f"{s}_{bad}"), F.array(F.min(own), F.max(own)).alias(f"{s}_{bad}_ends")]
     row = rows.agg(*wanted).first()
-    return {s: _with_middles({v for bad in (0, 1) for v in row[f"{s}_{bad}"] or ()}) for s in STATISTICS}
+    found = {s: {v for bad in (0, 1) for v in [*(row[f"{s}_{bad}"] or ()), *row[f"{s}_{bad}_ends"]] if v is not None} for s in STATISTICS}
+    return {s: _with_middles(cuts) for s, cuts in found.items()}
 
 
-def _with_middles(cuts: set[float]) -> list[tuple[float, bool]]:
-    """The cuts of both classes in order and, marked true, the middle between each two."""
+def _with_middles(cuts: set[float]) -> list[tuple[float, float]]:
+    """The cuts of both classes in order, and the middle between each two with the share of the range that lies between."""
     own = sorted(cuts)
-    middles = {(a + b) / 2 for a, b in zip(own, own[1:], strict=False)} - cuts
-    return sorted([(v, False) for v in own] + [(m, True) for m in middles])
+    middles = {(a + b) / 2: (b - a) / (own[-1] - own[0]) for a, b in zip(own, own[1:], strict=False) if a < (a + b) / 2 < b}
+    return sorted([(v, 0.0) for v in own] + list(middles.items()))
 
 
 def _gain(p: int, n: int, before: float) -> float:
@@ -139,8 +148,12 @@ def learn_rules(
 ) -> list[Rule]:
     """Rules that mark bad rows, from rows of the statistics, ``bad`` (0 or 1) and ``prune`` (boolean).
 
-    All labelled rows count; the driver sees thresholds and counts only. A rule stays if
-    at least ``min_precision`` of the ``min_rows`` or more pruning rows it covers are bad.
+    All labelled rows count; the driver sees thresholds and counts only. A list has at most
+    ``max_rules`` rules of at most ``max_conditions`` conditions each, and cuts come from
+    ``bins`` percentiles of each class: those bound what is learned, not what is read. A rule
+    stays if at least ``min_precision`` of the ``min_rows`` or more pruning rows it covers are
+    bad. Of cuts with gains within ``NEARLY`` of the best, the one in the widest gap is taken,
+    then that of the larger gain, then the first by the statistic's name.
     """
     cuts = _thresholds(labelled, bins)
     rules: list[Rule] = []
@@ -156,12 +169,12 @@ def learn_rules(
     return rules
 
 
-def _bin(statistic: str, cuts: list[tuple[float, bool]]) -> Column:
+def _bin(statistic: str, cuts: list[tuple[float, float]]) -> Column:
     value = F.col(statistic)
     return F.size(F.filter(F.array(*[F.lit(c) for c, _ in cuts]), lambda cut: value > cut))
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[tuple[float, bool]]], max_conditions: int, min_rows: int) -> Rule:
+def _grow(rows: DataFrame, cuts: dict[str, list[tuple[float, float]]], max_conditions: int, min_rows: int) -> Rule:
     rule: Rule = ()
     while len(rule) < max_conditions:
         # Per statistic, the number of cuts below the value: one partial sum per task and bin.
@@ -179,21 +192,19 @@ def _grow(rows: DataFrame, cuts: dict[str, list[tuple[float, bool]]], max_condit
         p0, n0 = (sum(x[k] for x in some.values()) for k in (0, 1))
         if not p0 or not n0:
             return rule
-        before, best = math.log2(p0 / (p0 + n0)), (0.0, None, False)
+        before, found = math.log2(p0 / (p0 + n0)), []
         for s, bins in sorted(histogram.items()):
             p = n = 0
-            for place, (cut, middle) in enumerate(cuts[s]):
+            for place, (cut, gap) in enumerate(cuts[s]):
                 p, n = p + bins.get(place, (0, 0))[0], n + bins.get(place, (0, 0))[1]
                 for above, a, b in ((False, p, n), (True, p0 - p, n0 - n)):
-                    if a + b < min_rows:
-                        continue
-                    gain, same = _gain(a, b, before), best[1] is not None and (best[1].statistic, best[1].above) == (s, above)
-                    # Of cuts that part the rows alike, a middle, which is on the edge of neither class.
-                    if gain > best[0] + 1e-9 or (middle and not best[2] and same and gain > best[0] - 1e-9):
-                        best = (gain, Condition(s, above, cut), middle)
-        if best[1] is None:
+                    if a + b >= min_rows and _gain(a, b, before) > 1e-9:
+                        found.append((_gain(a, b, before), gap, Condition(s, above, cut)))
+        if not found:
             return rule
-        rule += (best[1],)
+        # Of nearly equal gains, the cut with most room on either side; of those, the first by name.
+        most = max(gain for gain, _, _ in found)
+        rule += (max(((gap, gain, c) for gain, gap, c in found if gain >= NEARLY * most), key=lambda x: x[:2])[2],)
     return rule
 
 
