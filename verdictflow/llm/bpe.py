@@ -5,7 +5,8 @@ rows (piece, position, token), starting with their bytes. Each step of the recur
 query joins neighbours with the merge table, finds each piece's leftmost pair of minimum
 rank and contracts it, until no piece has a pair left. Pieces are encoded once per task
 and looked up after that. Decoding joins ids with the vocabulary and aggregates their
-bytes in order of position.
+bytes in order of position. A long text is encoded and decoded a slice at a time, so the
+queries' memory does not follow its length.
 
 A step of the recursion is one merge, so pieces over ``LONG_PIECE`` bytes would take as
 many steps; they are contracted by a heap instead, with the same result. The query keeps the
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ LONG_PIECE = 64
 CHUNK_PIECES = 16_384
 CHUNK_SQUARES = 1 << 23
 CHUNK_CHARS = 1 << 20
+#: Matches of a long text and ids of any texts that are held at a time.
+CHUNK_MATCHES, SLICE_IDS = 1 << 18, 1 << 18
 KEPT_PIECES = 400_000
 
 _ENCODE = """
@@ -82,24 +86,38 @@ class Codec:
             self.sql.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.sql.unregister("given")
 
-    def pieces(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The matches of the pattern in order; those of a long text a part at a time."""
+        if len(text) <= CHUNK_CHARS:
+            yield self.pattern.findall(text)
+            return
+        found = (m.group() for m in self.pattern.finditer(text))
+        while part := list(islice(found, CHUNK_MATCHES)):
+            yield part
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        begin = chars = 0
-        for end, text in enumerate(texts, 1):
-            chars += len(text)
-            if chars >= CHUNK_CHARS or end == len(texts):
-                split = [self.pieces(t) for t in texts[begin:end]]
-                if len(self.known) > KEPT_PIECES:
-                    self.known.clear()
-                self._learn({p for pieces in split for p in pieces} - self.known.keys())
-                get = self.known.__getitem__
-                out += [b"".join(map(get, pieces)) for pieces in split]
-                begin, chars = end, 0
-        return out
+        out = [bytearray() for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        chars = 0
+        for i, text in enumerate(texts):
+            for part in self.pieces(text):
+                held.append((i, part))
+                chars += len(text) if len(text) <= CHUNK_CHARS else CHUNK_CHARS
+                if chars >= CHUNK_CHARS:
+                    self._add(out, held)
+                    held, chars = [], 0
+        self._add(out, held)
+        return [bytes(x) for x in out]
+
+    def _add(self, out: list[bytearray], held: list[tuple[int, list[str]]]) -> None:
+        """The ids of some pieces, to the texts they are of."""
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        self._learn({p for _, pieces in held for p in pieces} - self.known.keys())
+        get = self.known.__getitem__
+        for i, pieces in held:
+            out[i] += b"".join(map(get, pieces))
 
     def _learn(self, pieces: set[str]) -> None:
         todo: list[tuple[str, bytes]] = []
@@ -126,27 +144,24 @@ class Codec:
                 self.known[piece] = raw_ids[a:b]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """Bytes of each list of ids."""
-        out: list[bytes] = []
-        begin = size = 0
-        for end, ids in enumerate(encoded, 1):
-            size += len(ids)
-            if size >= CHUNK_CHARS * 4 or end == len(encoded):
-                out += self._decode(encoded[begin:end])
-                begin, size = end, 0
-        return out
-
-    def _decode(self, encoded: list[bytes]) -> list[bytes]:
-        sizes = np.array([len(x) // 4 for x in encoded])
-        doc = np.repeat(np.arange(len(encoded), dtype=np.int32), sizes)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int64)
-        if len(ids) and ids.max() >= len(self.ranks):
+        """Bytes of each list of ids: slices of all lists in order, so that a list may be of any length."""
+        out = [bytearray() for _ in encoded]
+        ends = np.cumsum([len(x) // 4 for x in encoded])
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        for begin in range(0, len(ids), SLICE_IDS):
+            place = np.arange(begin, min(begin + SLICE_IDS, len(ids)))
+            of = np.searchsorted(ends, place, side="right").astype(np.int32)
+            for i, raw in self._decode(of, place, ids[place].astype(np.int64)):
+                out[i] += bytes.fromhex(raw)
+        return [bytes(x) for x in out]
+
+    def _decode(self, of: np.ndarray, place: np.ndarray, ids: np.ndarray) -> list[tuple[int, str]]:
+        if ids.max() >= len(self.ranks):
             raise ValueError("an id is not in the vocabulary")
-        self.sql.register("ids", pa.table({"doc": doc, "pos": place, "id": ids}))
-        found = dict(self.sql.execute(_DECODE).fetchall())
+        self.sql.register("ids", pa.table({"doc": of, "pos": place, "id": ids}))
+        found = self.sql.execute(_DECODE).fetchall()
         self.sql.unregister("ids")
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(encoded))]
+        return found
 
 
 def _chunks(pieces: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
