@@ -1,7 +1,9 @@
 """Operators over documents, against plain versions, with the cases that tables hold."""
 
+import os
 import random
 import sys
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -311,3 +313,33 @@ def test_learned_cuts_spare_the_good(spark, seed):
     rules = quality.learn_rules(labelled.persist())
     dropped = {r.doc_id for r in rows.filter(quality.rule_number(rules).isNotNull()).select("doc_id").collect()}
     assert dropped == set(range(300, 600)), rules
+
+
+def test_an_id_with_two_texts_has_links_by_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (7, "alone in here it is"), (2, a + " x")]
+    found = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(1, 1, 1), (1, 1, 2), (2, 1, 2), (2, 1, 2), (3, 1, 1), (7, 7, 0)]
+
+
+def test_recall_on_a_given_table(spark):
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    documents = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(documents).collect()}
+    sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for r in documents.collect() for w in [words(r.text)]}
+    holders = defaultdict(list)
+    queries = [i for i in sets if i % 100 == 0]
+    wanted = set().union(*(sets[i] for i in queries))
+    for i, own in sets.items():
+        for s in own & wanted:
+            holders[s].append(i)
+    links = missed = 0
+    for i in queries:
+        near_ones = {j for s in sets[i] for j in holders[s] if j != i}
+        linked = [j for j in near_ones if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        links += len(linked)
+        missed += abs(len(linked) - found[i][1])
+        assert all(found[j][0] == found[i][0] for j in linked)
+    assert links > 20 and missed <= 0.001 * links

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from brute import near, sha, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdictflow.llm import mixing, toxicity
@@ -92,6 +93,29 @@ def test_tokens_decode_to_the_texts(stages):
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in stages[5].collect()) == expected
 
 
+def test_columns_of_any_name_and_a_very_long_text_go_through(spark, sf_dir):
+    names = ["sha", "score", "node", "copies", "copy", "rows", "row", "shared_id", "a.b", "decided_node", "passages"]
+    given = table(spark, sf_dir, "documents").filter("doc_id < 150")
+    long = spark.createDataFrame([(70_000, "word " * 500_000, "en", "s", 0)], given.schema)
+    given = given.unionByName(long)
+    docs = given.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names])
+    bare = given
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept, docs = docs, stage(spark, docs, sf_dir).persist()
+        bare = stage(spark, bare, sf_dir).persist()
+        assert docs.dtypes == kept.dtypes
+        assert Counter(rows_of(docs)) == Counter(rows_of(bare))
+        assert docs.select(*[F.count_if(F.col(f"`{n}`") != F.concat(F.lit(f"{n} "), "doc_id")) for n in names]).first() == (0,) * len(names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_no_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
+
+
 def test_run_is_all_stages(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir)
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and found.count() > 0

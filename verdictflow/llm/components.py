@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictflow.llm.common import stored
+from verdictflow.llm.common import freed, sorted_side, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,13 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
     both = stored(both, "component-links")
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
-    labels = stored(labels, "component-labels")
+    labels = held = stored(labels, "component-labels")
     while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        near = labels.join(around.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("near"))
+        around = both.join(sorted_side(labels.select(F.col("node").alias("b"), "label")), "b").groupBy("a").agg(F.min("label").alias("near"))
+        near = labels.join(sorted_side(around.withColumnRenamed("a", "node")), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("near"))
         onward = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        found = near.join(onward, "near", "left").select("node", "old", F.least("near", F.coalesce("far", "near")).alias("label"))
+        found = near.join(sorted_side(onward), "near", "left").select("node", "old", F.least("near", F.coalesce("far", "near")).alias("label"))
         found = stored(found, "component-labels")
-        labels = found.select("node", "label")
+        freed(held)
+        held, labels = found, found.select("node", "label")
         if found.filter("label <> old").isEmpty():
+            freed(both)
             return labels

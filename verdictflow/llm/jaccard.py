@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictflow.llm.common import stored
+from verdictflow.llm.common import freed, sorted_side, stored
 from verdictflow.llm.components import components
 from verdictflow.llm.shingles import Windows, flat, mixed, starts, word_hashes
 
@@ -159,17 +159,17 @@ def _leaves(candidates: DataFrame, level1: DataFrame, limit: int, levels: int) -
     for level in range(2, levels + 1):
         below = candidates.select("node", F.explode(F.expr(f"filter(below, x -> x.level = {level})")).alias("x"))
         rows = below.select("node", "x.parent", "x.path")
-        rows = rows.join(full.select(F.col("path").alias("parent"), F.col("m").alias("m_parent")), "parent")
+        rows = rows.join(sorted_side(full.select(F.col("path").alias("parent"), F.col("m").alias("m_parent"))), "parent")
         counts = rows.groupBy("parent", "m_parent", "path").agg(F.count(F.lit(1)).alias("m"))
         counts = stored(counts, "jaccard-level")
         # Where documents sample mostly what half of them sample, splitting would not part them.
         common = F.sum(F.when(F.col("m") * 2 >= F.col("m_parent"), F.col("m")).otherwise(0))
         dense = counts.groupBy("parent").agg((common * 2 >= F.sum("m")).alias("dense")).filter("dense")
         dense = stored(dense.select(F.col("parent").alias("path")), "jaccard-dense")
-        leaves = leaves.unionByName(members.join(dense, "path", "left_semi").select("node", "path", "m"))
-        split = counts.filter("m > 1").join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti")
+        leaves = leaves.unionByName(members.join(sorted_side(dense), "path", "left_semi").select("node", "path", "m"))
+        split = counts.filter("m > 1").join(sorted_side(dense.withColumnRenamed("path", "parent")), "parent", "left_anti")
         split = stored(split.select("path", "m"), "jaccard-split")
-        rows = rows.select("node", "path").join(split, "path").select("node", "path", "m")
+        rows = rows.select("node", "path").join(sorted_side(split), "path").select("node", "path", "m")
         last = level == levels
         leaves = leaves.unionByName(rows if last else rows.filter(F.col("m") <= limit))
         members = rows.filter(F.col("m") > limit)
@@ -251,11 +251,11 @@ def compare_tile(rows: list[tuple], threshold: float) -> list[tuple[int, int, in
 def _compare(buckets: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """(node, root, links) of each tile of each bucket."""
     held = buckets.groupBy("node").agg(F.collect_list("path").alias("buckets"))
-    sets = candidates.select("node", "copies", "found").join(held, "node")
+    sets = candidates.select("node", "copies", "found").join(sorted_side(held), "node")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rows = buckets.select("node", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "path"), blocks).cast("int").alias("block"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = rows.join(sets, "node").select(
+    tiles = rows.join(sorted_side(sets), "node").select(
         "path", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "found", "buckets",
     )
 
@@ -297,44 +297,71 @@ def near_duplicates(
     """
     runs = n_runs(threshold, recall, branching, levels)
     rows = stored(signatures(documents, shingle, runs, branching), "jaccard-signatures")
-    known = rows.filter("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "h", "g").agg(
-        F.min(F.struct("doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths")
-    )
-    classes = stored(classes.select("n", "h", "g", F.col("first.doc_id").alias("node"), "first.t", "copies", "paths"), "jaccard-classes")
-
-    paths = classes.select("node", F.explode("paths").alias("path"))
-    shared = stored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "jaccard-shared")
-    level1 = stored(paths.join(shared, "path").select("node", "path", "m"), "jaccard-level")
-    overfull = F.collect_list(F.when(F.col("m") > limit, F.col("path"))).alias("overfull")
-    wanted = level1.groupBy("node").agg(overfull).join(classes.select("node", "t", "copies"), "node")
-    wanted = stored(wanted, "jaccard-wanted")
-    text = documents.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    text = text.select("node", F.xxhash64("text").alias("t"), "text")
-    # Rows that repeat an id and its text have one text; any of them will do.
-    texts = text.join(wanted, ["node", "t"]).groupBy("node", "t", "copies", "overfull").agg(F.first("text").alias("text"))
-    candidates = _candidates(texts.withColumn("w", word_hashes(F.col("text"))), shingle, branching, levels)
-    candidates = stored(candidates, "jaccard-candidates")
-
+    classes, candidates, level1 = _classes(rows, documents, shingle, branching, levels, limit)
     leaves = stored(_leaves(candidates, level1, limit, levels), "jaccard-leaves")
+    freed(level1)
     # Buckets of the same documents are compared once: same number and same hashes of the
     # members. Two whose sizes alone keep them under the threshold are not compared.
     mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     sizes = [F.sum("n").alias("shingles"), F.min("n").alias("least"), F.max("n").alias("most")]
-    members = leaves.join(classes.select("node", "n"), "node").groupBy("path").agg(F.count(F.lit(1)).alias("m"), *sizes, *mark)
+    members = leaves.join(sorted_side(classes.select("node", "n")), "node").groupBy("path").agg(F.count(F.lit(1)).alias("m"), *sizes, *mark)
     members = members.filter((F.col("m") > 2) | (F.col("least") >= threshold * F.col("most") - 1e-9))
     once = members.groupBy("m", "x1", "x2").agg(F.min("path").alias("path"), F.first("shingles").alias("shingles"))
     once = stored(once.select("path", "m", "shingles"), "jaccard-once")
-    buckets = stored(leaves.join(once, "path"), "jaccard-buckets")
+    buckets = stored(leaves.join(sorted_side(once), "path"), "jaccard-buckets")
+    freed(leaves, once)
     links = stored(_compare(buckets, candidates, threshold), "jaccard-links")
+    freed(buckets, candidates)
 
     labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    labelled = classes.select("node", "doc_id").join(sorted_side(labels), "node").groupBy("label").agg(F.min("doc_id").alias("class"))
+    labels = labels.join(sorted_side(labelled), "label").select("node", "class")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    told = classes.select("n", "h", "g", "node", "copies").join(counted, "node", "left").join(labels, "node", "left")
-    told = told.select("n", "h", "g", F.coalesce("label", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    told = classes.select("n", "h", "g", "node", "doc_id", "copies")
+    told = told.join(sorted_side(counted), "node", "left").join(sorted_side(labels), "node", "left")
+    told = told.select("n", "h", "g", F.coalesce("class", "doc_id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     told = stored(told.filter("n_links > 0"), "jaccard-told")
-    return rows.select("doc_id", "n", "h", "g").join(told, ["n", "h", "g"], "left").select(
+    freed(classes, links)
+    return rows.select("doc_id", "n", "h", "g").join(sorted_side(told), ["n", "h", "g"], "left").select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
+
+
+def _classes(
+    rows: DataFrame, documents: DataFrame, shingle: int, branching: float, levels: int, limit: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal sets, a ``node`` each; the candidates among them with their sets; and their buckets of one shingle.
+
+    A node is the class's smallest id, or a number above 2^62 made from it and the set where
+    that id is the smallest of several classes, as texts that share an id may be.
+    """
+    known = rows.filter("n > 0 and doc_id is not null")
+    classes = known.groupBy("n", "h", "g").agg(
+        F.min(F.struct("doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths")
+    )
+    classes = stored(classes.select("n", "h", "g", "first.doc_id", "first.t", "copies", "paths"), "jaccard-sets")
+    several = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select(F.col("doc_id").alias("several"))
+    made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "n", "h", "g"), 2)
+    unnamed, several = classes, stored(several, "jaccard-several")
+    classes = classes.join(several, classes["doc_id"] == several["several"], "left")
+    node = F.when(F.col("several").isNull(), F.col("doc_id")).otherwise(made)
+    classes = stored(classes.select("n", "h", "g", "doc_id", "t", "copies", "paths", node.alias("node")), "jaccard-classes")
+    freed(unnamed, several)
+
+    paths = classes.select("node", F.explode("paths").alias("path"))
+    shared = stored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "jaccard-shared")
+    level1 = stored(paths.join(sorted_side(shared), "path").select("node", "path", "m"), "jaccard-level")
+    freed(shared)
+    overfull = F.collect_list(F.when(F.col("m") > limit, F.col("path"))).alias("overfull")
+    wanted = level1.groupBy("node").agg(overfull).join(sorted_side(classes.select("node", "doc_id", "t", "copies")), "node")
+    wanted = stored(wanted, "jaccard-wanted")
+    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = text.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    # Rows that repeat an id and its text have one text; any of them will do.
+    texts = text.join(sorted_side(wanted), ["doc_id", "t"]).groupBy("node", "copies", "overfull").agg(F.first("text").alias("text"))
+    candidates = _candidates(texts.withColumn("w", word_hashes(F.col("text"))), shingle, branching, levels)
+    candidates = stored(candidates, "jaccard-candidates")
+    freed(wanted)
+    return classes, candidates, level1
