@@ -4,6 +4,9 @@
 documents that go on, the last one their tokens. ``run`` applies them in order and stores
 what each keeps, so that every stage starts from files and a lost executor costs no more
 than its tasks. SQL cannot express the learned, sampled and tokenized stages.
+
+Besides doc_id, text and source, documents may have columns of any names; the first four
+stages hand them on. An empty table goes through all stages, and texts may be of any length.
 """
 
 from __future__ import annotations
@@ -15,12 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictflow.llm import exact, jaccard, mixing, toxicity
-from verdictflow.llm.common import stored, table
+from verdictflow.llm.common import sorted_side, stored, table
 from verdictflow.llm.queries import token_digests
 
 ORACLE_SQL = None
 
 
+#: The columns that the operators read; all others go by private names inside a stage.
+READ = ("doc_id", "text", "source")
+
+
+def _hidden(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns renamed that no operator reads, so that none can clash with what one adds."""
+    return docs.toDF(*[c if c in READ else f"kept {i}" for i, c in enumerate(docs.columns)])
+
+
+def _shown(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, in their order and under their names."""
+    return rows.select(*[F.col(f"`{h}`").alias(c) for h, c in zip(_hidden(docs).columns, docs.columns, strict=True)])
+
+
 def _joined(docs: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
     """``docs`` joined with decisions by ``keys``, where null is a value like any other."""
     named = decisions.withColumnsRenamed({k: f"decided_{k}" for k in keys})
@@ -33,8 +50,9 @@ def _one_of_each(docs: DataFrame, kept: DataFrame, keys: list[str], columns: lis
 
     Only rows that repeat a key are grouped; the smallest of them stays.
     """
+    columns = [f"`{c}`" for c in columns]
     counted = stored(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), f"pipeline-{name}-kept")
-    once = _joined(docs, counted.filter("rows = 1"), keys).select(*columns)
+    once = _joined(docs, sorted_side(counted.filter("rows = 1")), keys).select(*columns)
     # Stored by itself, so that Spark measures it: where no row repeats, no text moves.
     repeated = stored(counted.filter("rows > 1"), f"pipeline-{name}-repeated")
     rows = _joined(docs, repeated, keys).groupBy(*keys).agg(F.min(F.struct(*columns)).alias("row"))
@@ -48,37 +66,41 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
     own = F.col("doc_id").isNotNull() & F.col("shared_id").isNull()
     made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
     rows = docs.join(shared, docs["doc_id"] == shared["shared_id"], "left")
-    return rows.select(*docs.columns, F.when(own, F.col("doc_id")).otherwise(made).alias("node"))
+    return rows.select(*[f"`{c}`" for c in docs.columns], F.when(own, F.col("doc_id")).otherwise(made).alias("node"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity scorer does not reject."""
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, carry=tuple(docs.columns)).filter("score < 0.5").select(*docs.columns)
+    rows = _hidden(docs)
+    model = toxicity.learn(rows, table(spark, sf_dir, "labels"))
+    return _shown(toxicity.score(rows, model, carry=tuple(rows.columns)).filter("score < 0.5"), docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row, that with the largest id; a row without an id where there is no other."""
-    kept = exact.exact_groups(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
-    hashed = docs.withColumn("sha", F.unhex(F.sha2(exact.normalised(F.col("text")), 256)))
-    return _one_of_each(hashed, kept, ["doc_id", "sha"], docs.columns, "exact")
+    rows = _hidden(docs)
+    kept = exact.exact_groups(rows).filter("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    hashed = rows.withColumn("sha", F.unhex(F.sha2(exact.normalised(F.col("text")), 256)))
+    return _shown(_one_of_each(hashed, kept, ["doc_id", "sha"], rows.columns, "exact"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates one row, that with the smallest id; rows that share an id or have none come last."""
-    numbered = _numbered(docs, "near")
+    rows = _hidden(docs)
+    numbered = _numbered(rows, "near")
     found = jaccard.near_duplicates(numbered.select(F.col("node").alias("doc_id"), "text"))
     kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias("node"))
-    return _one_of_each(numbered, kept, ["node"], docs.columns, "near")
+    return _shown(_one_of_each(numbered, kept, ["node"], rows.columns, "near"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, sources weighing 1, 2, 3 in turn; rows count one by one."""
-    numbered = _numbered(docs, "mix")
-    mixed = mixing.mix(numbered.select(F.col("node").alias("doc_id"), "source", "text"), mixing.cycled_weights(docs))
+    rows = _hidden(docs)
+    numbered = _numbered(rows, "mix")
+    mixed = mixing.mix(numbered.select(F.col("node").alias("doc_id"), "source", "text"), mixing.cycled_weights(rows))
     taken = mixed.select(F.col("doc_id").alias("node"), mixing.copies(mixed).alias("copies")).filter("copies > 0")
-    rows = _joined(numbered, taken.groupBy("node").agg(F.max("copies").alias("copies")), ["node"])
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    often = _joined(numbered, sorted_side(taken.groupBy("node").agg(F.max("copies").alias("copies"))), ["node"])
+    return _shown(often.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
