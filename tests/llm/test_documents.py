@@ -343,3 +343,14 @@ def test_recall_on_a_given_table(spark):
         missed += abs(len(linked) - found[i][1])
         assert all(found[j][0] == found[i][0] for j in linked)
     assert links > 20 and missed <= 0.001 * links
+
+
+def test_pii_of_nulls_repeats_clashes_and_long_texts(spark):
+    filler = "lorem ipsum 12 a@b " * 20_000
+    long = filler + "mail me@x.org, 10.0.0.1 and 4111 1111 1111 1111 or +1 (555) 010-9999 " + filler
+    rows = [(None, "a@b.c"), (1, None), (1, "x 1.2.3.4"), (1, "x 1.2.3.4"), (2, ""), (3, long)]
+    given = spark.createDataFrame([(i, t, "mine", 5) for i, t in rows], "doc_id long, text string, spans string, kind int")
+    found = [(r.doc_id, [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE_KINDS]) for r in pii.pii_spans(given).collect()]
+    expected = [(i, base_spans(t or "")) for i, t in rows]
+    assert sorted(found, key=str) == sorted(expected, key=str) and len(dict(expected)[3]) == 4
+    assert pii.pii_spans(given.limit(0)).collect() == []

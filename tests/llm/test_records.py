@@ -118,3 +118,26 @@ def test_reader_finds_a_last_member_cut_off_anywhere():
         with pytest.raises(ValueError, match="cut off"):
             list(warc.read_records([members[0], members[1][:kept]]))
     assert len(list(warc.read_records([members[0], b"", members[1]]))) == 2
+
+
+def foreign(kind, http, payload, *more, record="urn:uuid:1"):
+    block = b"HTTP/1.1 200 OK\r\n" + http + b"\r\n" + payload
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record}>"), *more]
+    return warc._member(headers, block)
+
+
+def test_records_of_others_may_state_neither_length_nor_digest(spark):
+    data = foreign("response", b"Transfer-Encoding: chunked\r\n", b"3\r\nabc\r\n0\r\n\r\n") + foreign("response", b"", b"\xff\x00", ("WARC-Payload-Digest", "md5:xyz"), record="b")
+    data += foreign("revisit", b"X: \xe9\r\n", b"", record="c") + foreign("metadata", b"", b"")
+    chunks = spark.createDataFrame([("a.warc.gz", 0, bytearray(data))], warc.CHUNKS)
+    found = {r.record_id: r for r in warc.read_warc(chunks).collect()}
+    assert {k: (r.record_type, r.payload_bytes) for k, r in found.items()} == {"urn:uuid:1": ("response", 13), "b": ("response", 2), "c": ("revisit", None)}
+    assert bytes(found["b"].payload) == b"\xff\x00" and found["b"].payload_digest == "md5:xyz" and found["c"].payload_digest is None
+    assert found["urn:uuid:1"].payload_digest == base64.b32encode(hashlib.sha1(b"3\r\nabc\r\n0\r\n\r\n").digest()).decode()
+
+
+@pytest.mark.parametrize("http, more", [(b"Content-Length: 4\r\n", ()), (b"Content-Length: x\r\n", ()), (b"", (("WARC-Payload-Digest", "sha1:AAAA"),))])
+def test_what_is_stated_wrongly_fails_with_the_name_of_the_archive(spark, http, more):
+    chunks = spark.createDataFrame([("bad.warc.gz", 0, bytearray(foreign("response", http, b"abc", *more)))], warc.CHUNKS)
+    with pytest.raises(Exception, match="bad.warc.gz: <urn:uuid:1>"):
+        warc.read_warc(chunks).collect()

@@ -101,13 +101,23 @@ def _framed(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def _page(headers: dict[str, str], block: bytes) -> tuple[int, str, bytes]:
-    """Bytes and digest of the whole payload, and the payload that is here."""
+def _page(headers: dict[str, str], block: bytes) -> tuple[int | None, str | None, bytes]:
+    """Bytes and digest of the whole payload, and the payload that is here.
+
+    What a foreign record does not state is taken from a response's payload, and is null for
+    a revisit, whose payload is elsewhere; only what is stated can be compared. A payload is
+    what follows the HTTP headers, in whichever transfer coding it was stored.
+    """
     http, _, payload = block.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}
-    size, digest = int(fields["content-length"]), headers["warc-payload-digest"].removeprefix("sha1:")
-    if headers["warc-type"] == "response" and (len(payload) != size or _sha1(payload) != digest):
-        raise ValueError(f"{headers.get('warc-record-id')}: the payload has another length or digest")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
+    stated = fields.get("content-length")
+    if stated is not None and not (stated.isascii() and stated.isdigit()):
+        raise ValueError(f"{headers.get('warc-record-id')}: {stated!r} is no length")
+    size, digest = None if stated is None else int(stated), headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if headers["warc-type"] == "response":
+        if (size is not None and len(payload) != size) or (digest is not None and ":" not in digest and _sha1(payload) != digest):
+            raise ValueError(f"{headers.get('warc-record-id')}: the payload has another length or digest")
+        return len(payload), digest or _sha1(payload), payload
     return size, digest, payload
 
 
