@@ -23,6 +23,7 @@ from verdictflow.sources.topics import FileTopic, KafkaTopic
 from verdictflow.streaming.backlog import backlog_now, create_backlog_table, watch_backlog
 from verdictflow.streaming.calls import CallLog, call_report
 from verdictflow.streaming.progress import RECORD, ProgressLog, lag, notes_of, progress_folder, progress_of
+from verdictflow.streaming.replay import finish, numbered_messages, replay_rows
 from verdictflow.streaming.steps import score_stream
 
 register_pickle_by_value(sys.modules[__name__])  # workers cannot import the tests
@@ -275,3 +276,41 @@ def test_commands(spark, texts, topics, path, capsys, monkeypatch):
     commands.main([*watch[:-1], path("p3"), "--raw", other.path, "--scored", scored.path, "--once"])
     assert "|      2|" in capsys.readouterr().out
     assert backlog_now(spark, f"{database}.b").agg(F.sum("pending")).first()[0] == 2
+
+
+# --- Rows per commit ----------------------------------------------------------------------
+
+
+def lines_of(n):
+    return "".join(f"A11 {i} A34 A43 {100 + i} A65 A75 4 A93 A101 4 A121 67 A143 A152 2 A173 1 A192 A201 1\n" for i in range(n))
+
+
+def test_a_file_is_replayed_so_many_rows_at_a_time(spark, path, tmp_path):
+    (tmp_path / "f.data").write_text(lines_of(23))
+    messages = numbered_messages(spark, path("f.data"), path("numbered"))
+    raw = FileTopic(path("raw"))
+
+    def commits():
+        found = raw.read(spark).select(F.regexp_extract("_metadata.file_path", r"-(\d+)/[^/]+$", 1).alias("c"), F.get_json_object("value", "$.id_cliente").alias("i"))
+        by = {}
+        for r in found.collect():
+            by.setdefault(int(r.c), set()).add(int(r.i))
+        return by
+
+    assert finish(replay_rows(spark, messages, raw, path("p"), rows_per_commit=5, interval="1 second"), messages.limit(8), 5) == 8
+    first = commits()
+    assert first.keys() >= {0, 1} and all(first[c] == set(range(5 * c, 5 * c + 5)) for c in (0, 1))
+    (tmp_path / "f.data").write_text("")  # what is numbered stays
+    again = numbered_messages(spark, path("f.data"), path("numbered"))
+    assert finish(replay_rows(spark, again, raw, path("p"), rows_per_commit=5, interval="200 milliseconds"), again, 5) == 23
+    assert commits() == {c: set(range(5 * c, min(5 * c + 5, 23))) for c in range(5)}
+    assert raw.read(spark).count() == 23
+    with pytest.raises(ValueError):
+        replay_rows(spark, messages, raw, path("q"), rows_per_commit=0)
+
+
+def test_a_commit_reads_its_rows_alone(spark, path, tmp_path):
+    (tmp_path / "f.data").write_text(lines_of(9))
+    messages = numbered_messages(spark, path("f.data"), path("numbered"))
+    plan = messages.where("number >= 3 AND number < 6")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(number,3)" in plan and "LessThan(number,6)" in plan

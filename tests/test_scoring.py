@@ -230,3 +230,49 @@ EXAMPLES = [
 def test_rubric_agrees_with_the_worked_examples(spark, status, months, history, purpose, amount, choice):
     requests = spark.createDataFrame([(as_profile(status, months, history, purpose, amount),)], "perfil string")
     assert score(requests, RubricScorer()).first().predicao == choice
+
+
+# --- Calls that never end -----------------------------------------------------------
+
+
+def test_a_call_that_does_not_give_up_is_cut_off(profiles):
+    def stuck(profile):
+        number = json.loads(profile)["id_cliente"]
+        if number % 50 == 7:
+            threading.Event().wait()
+        return reply(1, f"n{number}")
+
+    judged = score(profiles, FunctionScorer(stuck), partitions=2, max_in_flight=3, request_timeout_s=0.1).collect()
+    found = {r.id_cliente: (r.predicao, r.justificativa) for r in judged}
+    assert len(judged) == 500
+    assert found == {n: (0, "erro: TimeoutError - ") if n % 50 == 7 else (1, f"n{n}") for n in range(500)}
+
+
+def test_a_cut_off_call_frees_its_place_and_its_answer_is_not_used():
+    free, begun = threading.Event(), []
+
+    def call(item):
+        begun.append(item)
+        if item == 1:
+            free.wait(5)
+        return f"late {item}" if item == 1 else item
+
+    results = as_they_end(iter([1, 2, 3, 4]), call, 1, 10, lambda item: (0.1, "none"))
+    assert next(results) == (1, "none")
+    assert next(results) == (2, 2)
+    free.set()
+    time.sleep(0.05)
+    assert list(results) == [(3, 3), (4, 4)] and begun == [1, 2, 3, 4]
+
+
+def test_the_limit_on_the_whole_comes_first_if_it_is_shorter():
+    with pytest.raises(TimeoutError, match="longer than 0.1 s"):
+        list(as_they_end(iter([1]), lambda _: time.sleep(1), 1, 0.1, lambda _: (5, None)))
+
+
+def test_errors_of_calls_are_raised():
+    def call(item):
+        raise KeyError(item)
+
+    with pytest.raises(KeyError):
+        list(as_they_end(iter([1, 2]), call, 2, 10, lambda _: (5, None)))

@@ -50,6 +50,8 @@ def arguments() -> argparse.ArgumentParser:
 
     score.add_argument("--quarantine", type=topic, help="topic for texts that are no messages; without one they stop the step")
 
+    score.add_argument("--answers", help="shared folder for the answers of a commit under way; goes with --quarantine")
+
     land = commands.add_parser("land", help="scored topic to table")
     land.add_argument("--scored", type=topic, required=True)
 
@@ -118,6 +120,8 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     if args.step == "score" and bool(args.model) != bool(args.url):
         parser.error("--model goes with --url, which needs it; the rubric has its own name")
+    if args.step == "score" and args.answers and not args.quarantine:
+        parser.error("--answers goes with --quarantine")
     for name in ("raw", "scored", "staged"):
         if getattr(args, "group", None) and isinstance(getattr(args, name, None), KafkaTopic):
             setattr(args, name, replace(getattr(args, name), group=args.group))
@@ -140,6 +144,7 @@ def main(argv: list[str] | None = None) -> None:
                 interval=args.interval,
                 count_as=None if args.quarantine else counts.name,
                 quarantine=args.quarantine,
+                answers=args.answers,
                 model_name=args.model or args.scorer,
                 max_in_flight=args.max_in_flight,
                 partitions=args.partitions,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import threading
 import time
 import warnings
 from collections.abc import Callable, Iterator
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from queue import Empty, SimpleQueue
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
@@ -17,7 +20,12 @@ from verdictflow.fixed_values import MAX_IN_FLIGHT, OPERATOR_TIMEOUT_S, REQUEST_
 from verdictflow.operators.scorers import Scorer
 from verdictflow.operators.verdict import verdict_columns
 
+if TYPE_CHECKING:
+    from verdictflow.operators.answers import AnswerLog
+
 _FLUSH_ROWS = 1000
+#: Time for a scorer to notice its own timeout before its call is cut off.
+GRACE_S = 0.5
 
 
 def score(
@@ -31,6 +39,7 @@ def score(
     operator_timeout_s: float = OPERATOR_TIMEOUT_S,
     call_ms: str | None = None,
     profile: ResourceProfile | None = None,
+    answer_log: AnswerLog | None = None,
 ) -> DataFrame:
     """Judge the ``perfil`` of every row; the other columns are carried along.
 
@@ -42,8 +51,11 @@ def score(
 
     Tasks running at once are bounded for the whole job by ``profile``: one of
     ``call_slots`` gives each task of the stage, and of no other, so many cores.
-    ``call_ms`` names a column for the time a row's call took.
+    ``call_ms`` names a column for the time a row's call took. With an ``answer_log``, tasks
+    keep their answers in it while they run, and ask for none that an earlier attempt kept.
 
+    A call has ``request_timeout_s`` for each of its rows. Scorers give up by themselves;
+    one that has not, ``GRACE_S`` later, is left alone and its rows count as timed out.
     A call that outlives ``operator_timeout_s`` fails the task. A task that is
     run again calls the model again, so keep speculation off and store the result
     before using it twice.
@@ -67,15 +79,20 @@ def score(
                 replies = [error] * rows.num_rows
             return replies, 1000 * (time.perf_counter() - begin)
 
+        def no_answer(rows: pa.RecordBatch) -> tuple[float, tuple[list[str | Exception], float]]:
+            limit = request_timeout_s * rows.num_rows + GRACE_S
+            return limit, ([TimeoutError()] * rows.num_rows, 1000 * limit)
+
         calls = (
             batch.slice(start, scorer.batch_size)
-            for batch in batches
+            for batch in (answer_log.left(batches) if answer_log else batches)
             for start in range(0, batch.num_rows, scorer.batch_size)
         )
         scorer.open()
         try:
-            done = as_they_end(calls, ask, max_in_flight, operator_timeout_s)
-            yield from _in_batches(_judged(rows, replies, took, call_ms) for rows, (replies, took) in done)
+            done = as_they_end(calls, ask, max_in_flight, operator_timeout_s, no_answer)
+            judged = (_judged(rows, replies, took, call_ms) for rows, (replies, took) in done)
+            yield from _in_batches(answer_log.keep(judged) if answer_log else judged)
         finally:
             scorer.close()
 
@@ -84,29 +101,81 @@ def score(
 
 
 def as_they_end[A, B](
-    items: Iterator[A], call: Callable[[A], B], limit: int, timeout_s: float
+    items: Iterator[A],
+    call: Callable[[A], B],
+    limit: int,
+    timeout_s: float,
+    cut_off: Callable[[A], tuple[float, B]] | None = None,
 ) -> Iterator[tuple[A, B]]:
-    """Call with each item, at most ``limit`` at once, and yield as calls end."""
-    pool = ThreadPoolExecutor(limit)
-    running: dict[Future[B], tuple[A, float]] = {}
-
-    def ended() -> Iterator[tuple[A, B]]:
-        first_due = min(due for _, due in running.values())
-        done, _ = wait(running, max(0.0, first_due - time.monotonic()), FIRST_COMPLETED)
-        if not done:
-            raise TimeoutError(f"a model call took longer than {timeout_s} s")
-        for future in done:
-            yield running.pop(future)[0], future.result()
+    """Call with each item, at most ``limit`` at once, and yield as calls end.
+
+    A call that outlives ``timeout_s`` ends everything. Before that, ``cut_off`` may give
+    the seconds an item's call has and the result it gets when they are over: the call is
+    then left to itself, another thread takes its place, and what it returns is not used.
+    """
+    todo, ended, lock = SimpleQueue(), SimpleQueue(), threading.Lock()
+    running: dict[int, tuple[A, float, float, B | None]] = {}
+    finished, left_alone = set(), set()
+    threads = submitted = 0
+
+    def work() -> None:
+        while (task := todo.get()) is not None:
+            try:
+                result, error = call(task[1]), None
+            except BaseException as e:
+                result, error = None, e
+            with lock:
+                if task[0] in left_alone:
+                    left_alone.remove(task[0])
+                    return
+                finished.add(task[0])
+            ended.put((task[0], result, error))
+
+    def start() -> None:
+        # Threads that the interpreter does not wait for, as a call may never end.
+        threading.Thread(target=work, daemon=True).start()
+
+    def some() -> Iterator[tuple[A, B]]:
+        first_due = min(min(cut, due) for _, cut, due, _ in running.values())
+        try:
+            n, result, error = ended.get(timeout=max(0.0, first_due - time.monotonic()))
+        except Empty:
+            now = time.monotonic()
+            for n, (item, cut, due, instead) in list(running.items()):
+                with lock:
+                    late = n not in finished and min(cut, due) <= now
+                    if late and cut < due:
+                        left_alone.add(n)
+                if late and cut >= due:
+                    raise TimeoutError(f"a model call took longer than {timeout_s} s") from None
+                if late:
+                    del running[n]
+                    start()
+                    yield item, instead
+            return
+        item = running.pop(n)[0]
+        finished.remove(n)
+        if error is not None:
+            raise error
+        yield item, result
 
     try:
         for item in items:
-            if len(running) == limit:
-                yield from ended()
-            running[pool.submit(call, item)] = item, time.monotonic() + timeout_s
+            while len(running) == limit:
+                yield from some()
+            seconds, instead = cut_off(item) if cut_off else (math.inf, None)
+            now = time.monotonic()
+            running[submitted] = item, now + seconds, now + timeout_s, instead
+            todo.put((submitted, item))
+            submitted += 1
+            if threads < limit:
+                threads += 1
+                start()
         while running:
-            yield from ended()
+            yield from some()
     finally:
-        pool.shutdown(wait=False, cancel_futures=True)
+        for _ in range(threads):
+            todo.put(None)
 
 
 def call_slots(executor_cores: int, per_executor: int) -> ResourceProfile:

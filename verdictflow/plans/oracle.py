@@ -187,6 +187,13 @@ ORACLE_SQL: dict[str, str] = {
     "replay_same_path": """
         SELECT event_id, event_type, count(*) AS copies
         FROM (SELECT * FROM events UNION ALL SELECT * FROM events) GROUP BY event_id, event_type""",
+    "replay_pace": """
+        WITH n AS (SELECT row_number() OVER () - 1 AS number, CAST(ceil(count(*) OVER () / 5) AS BIGINT) AS size FROM orders)
+        SELECT number // size AS commit, count(*) AS rows, min(number) AS first, max(number) AS last FROM n GROUP BY ALL""",
+    "calls_cut_off": """
+        SELECT event_id, CAST(CASE WHEN event_id % 1000 = 0 THEN 0 ELSE 1 + event_id % 2 END AS INTEGER) AS predicao,
+          CASE WHEN event_id % 1000 = 0 THEN 'erro: TimeoutError - ' ELSE '' END AS justificativa
+        FROM events""",
     "score_failures": """
         SELECT event_id, CAST(CASE event_type WHEN 'view' THEN 2 ELSE 0 END AS INTEGER) AS predicao,
           CASE event_type WHEN 'error' THEN 'erro: ConnectionError - down ' || event_id

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable
 
@@ -43,6 +44,7 @@ from verdictflow.sources.topics import FileTopic
 from verdictflow.streaming.backlog import backlog_now, create_backlog_table, watch_backlog
 from verdictflow.streaming.calls import CallLog, call_report
 from verdictflow.streaming.metrics import CommitCounts
+from verdictflow.streaming.replay import finish, numbered_messages, replay_rows
 from verdictflow.streaming.steps import insert_stream, land_stream, score_stream
 
 MODEL = "rubric"
@@ -226,6 +228,24 @@ def score_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("event_id", "predicao", "justificativa")
 
 
+class StuckScorer(Scorer):
+    """Answers, but now and then never comes back, whatever time it is given."""
+
+    def answer(self, profile: str, timeout_s: float) -> str:
+        number = json.loads(profile)["event_id"]
+        if number % 1000 == 0:
+            threading.Event().wait()
+        return json.dumps({"response": json.dumps({"predicao": 1 + number % 2, "justificativa": ""})})
+
+
+def calls_cut_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event judged by a scorer of which some calls never end."""
+    events = table(spark, sf_dir, "events")
+    requests = events.select("event_id", F.to_json(F.struct("event_id")).alias("perfil"))
+    judged = score(requests, StuckScorer(), max_in_flight=4, partitions=_tasks(spark), request_timeout_s=0.1)
+    return judged.select("event_id", "predicao", "justificativa")
+
+
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion_matrix(_scored(spark, sf_dir))
 
@@ -354,6 +374,21 @@ def head_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head_rows(spark.read.parquet(path), "id_cliente")
 
 
+def replay_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applications replayed from a file a fifth at a time, stopped after two commits and gone on with: what each commit sent."""
+    path, folder, progress = (scratch_path(spark, name) for name in ("file", "numbered", "progress"))
+    coded = coded_applications(spark, sf_dir).withColumn("_c4", F.col("_c4").cast("int"))
+    coded.drop("o_orderkey").write.csv(path, sep=" ")
+    raw, messages = FileTopic(scratch_path(spark, "raw")), numbered_messages(spark, path, folder)
+    rows = -(-messages.count() // 5)
+    for part, interval in ((messages.limit(2 * rows), "1 second"), (messages, "100 milliseconds")):
+        finish(replay_rows(spark, messages, raw, progress, rows_per_commit=rows, interval=interval), part, rows)
+    sent = raw.read(spark).select(F.regexp_extract("_metadata.file_path", r"-(\d+)/[^/]+$", 1).cast("bigint").alias("commit"), "value")
+    number = F.get_json_object("value", "$.id_cliente").cast("bigint")
+    found = sent.select("commit", number.alias("number")).groupBy("commit")
+    return found.agg(F.count("*").alias("rows"), F.min("number").alias("first"), F.max("number").alias("last"))
+
+
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts and fallbacks of a scoring stream, counted as they pass and summed over its commits."""
     raw, scored = _raw_topic(spark, sf_dir), FileTopic(scratch_path(spark, "scored"))
@@ -473,6 +508,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         score_applications,
         scored_projection,
         score_failures,
+        calls_cut_off,
         confusion_matrix,
         agreement_rate,
         prediction_profile,
@@ -481,6 +517,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_append,
         replay_append,
         replay_same_path,
+        replay_pace,
         score_and_land,
         insert_select,
         ingest_counts,

@@ -8,6 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from verdictflow.fixed_values import COMMIT_INTERVAL
+from verdictflow.operators.answers import forget, score_once
 from verdictflow.operators.evaluate import is_fallback
 from verdictflow.operators.messages import parse_messages, read_messages, read_scored, scored_message
 from verdictflow.operators.scorers import Scorer
@@ -30,6 +31,7 @@ def score_stream(
     count_as: str | None = None,
     calls_as: str | None = None,
     quarantine: Topic | None = None,
+    answers: str | None = None,
     **limits,
 ) -> StreamingQuery:
     """Raw topic to scored topic; rows and fallbacks are counted under ``count_as``, calls under ``calls_as``.
@@ -41,12 +43,16 @@ def score_stream(
     A text that is no message stops the stream, unless there is a ``quarantine`` for it:
     then each commit is parsed once and stored, its messages are judged, and the other
     texts go there with the reason, under the same name. Nothing is counted in this case.
+    With a folder for ``answers`` besides, a commit that is lost halfway and made again asks
+    for what it has no answer to (``score_once``).
     """
     messages = raw.read_stream(spark, per_trigger)
     if quarantine is not None:
         if count_as or calls_as:
             raise ValueError("a step with a quarantine counts nothing: its commits are written by two batch jobs")
-        return _score_or_set_aside(messages, scored, quarantine, scorer, checkpoint, interval, limits)
+        return _score_or_set_aside(messages, scored, quarantine, scorer, checkpoint, interval, answers, limits)
+    if answers:
+        raise ValueError("answers are kept by the steps that have a quarantine")
     requests = parse_messages(messages)
     if calls_as:
         requests, limits = asked(requests, calls_as), {**limits, "call_ms": CALL_MS}
@@ -60,7 +66,7 @@ def score_stream(
 
 
 def _score_or_set_aside(
-    messages: DataFrame, scored: Topic, quarantine: Topic, scorer: Scorer, checkpoint: str, interval: str | None, limits: dict
+    messages: DataFrame, scored: Topic, quarantine: Topic, scorer: Scorer, checkpoint: str, interval: str | None, answers: str | None, limits: dict
 ) -> StreamingQuery:
     names = CommitNames(checkpoint)
 
@@ -69,11 +75,17 @@ def _score_or_set_aside(
         name, path = names.of(spark, batch_id), scratch_path(spark, "messages")
         read_messages(batch.select("value", F.col("value").alias("message")), carry=("message",)).write.parquet(path)
         read = spark.read.parquet(path)
-        judged = score(read.where("reason IS NULL").drop("message", "reason"), scorer, **limits)
+        good = read.where("reason IS NULL").drop("message", "reason")
+        if answers:
+            judged = score_once(spark, good, scorer, f"{answers}/{name}", **limits)
+        else:
+            judged = score(good, scorer, **limits)
         record = F.to_json(F.struct("message", "reason"), {"ignoreNullFields": "false"})
         scored.append(judged.select(scored_message().alias("value")), commit=name)
         quarantine.append(read.where("reason IS NOT NULL").select(record.alias("value")), commit=name)
         delete_folder(spark, path)
+        if answers:
+            forget(spark, f"{answers}/{name}")
 
     return start(messages.writeStream.foreachBatch(commit), checkpoint, interval)
 
