@@ -105,8 +105,8 @@ def test_lag_of_a_file_topic_from_recorded_progress(spark, texts, topics, path):
     assert lag(spark, raw, folder).collect() == [(0, None, 12)]
 
     def step():
-        with ProgressLog(spark, folder) as log:
-            log.follow(score_stream(spark, raw, scored, FunctionScorer(verdict_on), path("p"), per_trigger=2, interval=None), every=0.2)
+        with ProgressLog(spark, folder, every=0.2) as log:
+            log.follow(score_stream(spark, raw, scored, FunctionScorer(verdict_on), path("p"), per_trigger=2, interval=None))
 
     step()
     assert [tuple(r) for r in lag(spark, raw, folder).collect()] == [(12, 1, 0)]

@@ -133,7 +133,7 @@ def main(argv: list[str] | None = None) -> None:
         print(f"no file at {args.file}" if sent is None else f"sent {sent} messages")
     elif args.step == "score":
         scorer = HttpScorer(args.url, args.model) if args.url else RubricScorer()
-        with CommitCounts(spark, f"score {args.checkpoint}", told("score")) as counts, ProgressLog(spark, progress_folder(args.checkpoint)) as log:
+        with CommitCounts(spark, f"score {args.checkpoint}", told("score")) as counts, ProgressLog(spark, progress_folder(args.checkpoint)):
             query = score_stream(
                 spark,
                 args.raw,
@@ -149,15 +149,12 @@ def main(argv: list[str] | None = None) -> None:
                 max_in_flight=args.max_in_flight,
                 partitions=args.partitions,
             )
-            log.follow(query)
             counts.wait_for(query)
     elif args.step == "land":
         open_table(spark, args.table, args.warehouse)
-        with CommitCounts(spark, f"land {args.checkpoint}", told("land")) as counts, ProgressLog(spark, progress_folder(args.checkpoint)) as log:
+        with CommitCounts(spark, f"land {args.checkpoint}", told("land")) as counts, ProgressLog(spark, progress_folder(args.checkpoint)):
             bounds = {"per_trigger": args.per_trigger, "interval": args.interval, "count_as": counts.name}
-            query = land_stream(spark, args.scored, args.table, args.checkpoint, **bounds)
-            log.follow(query)
-            counts.wait_for(query)
+            counts.wait_for(land_stream(spark, args.scored, args.table, args.checkpoint, **bounds))
     elif args.step == "watch":
         create_database(spark, args.table.rpartition(".")[0], args.warehouse)
         create_backlog_table(spark, args.table)

@@ -29,15 +29,16 @@ class ProgressLog(StreamingQueryListener):
 
     Offsets are those that the source itself reports: where the commit ended, and the latest
     there was, if it knows. Notes wait in memory for the next ``write``, which is a small
-    file of as many rows as there were commits since; ``follow`` writes while a query runs.
-    Only the queries that are followed are noted.
+    file of as many rows as there were commits since. As a context, it writes every few
+    seconds and at its end; the queries that run meanwhile are those that are noted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, every: float = 10.0):
+        self.spark, self.folder, self.every = spark, folder, every
         self.notes: list[tuple] = []
         self.ended: set[str] = set()
         self.news = threading.Condition()
+        self.over = threading.Event()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -54,31 +55,37 @@ class ProgressLog(StreamingQueryListener):
             self.ended.add(str(event.runId))
             self.news.notify_all()
 
-    def write(self, query_id: str) -> int:
-        """Add the waiting notes of a query to the folder; how many there were."""
+    def write(self) -> int:
+        """Add the waiting notes to the folder; how many there were."""
         with self.news:
-            own = [n for n in self.notes if n[0] == query_id]
-            self.notes = [n for n in self.notes if n[0] != query_id]
-        if own:
-            self.spark.createDataFrame(own, RECORD).coalesce(1).write.mode("append").json(self.folder)
-        return len(own)
-
-    def follow(self, query: StreamingQuery, every: float = 10.0, seconds: float = 120.0) -> None:
-        """Until a query ends, write its notes now and then; its error, if any, is raised after that."""
+            notes, self.notes = self.notes, []
+        if notes:
+            self.spark.createDataFrame(notes, RECORD).coalesce(1).write.mode("append").json(self.folder)
+        return len(notes)
+
+    def follow(self, query: StreamingQuery, seconds: float = 120.0) -> None:
+        """Wait for a query's end and for the report of it; its error, if any, is raised after that."""
         try:
-            while not query.awaitTermination(every):
-                self.write(str(query.id))
+            query.awaitTermination()
         finally:
             with self.news:
                 self.news.wait_for(lambda: str(query.runId) in self.ended, seconds)
-            self.write(str(query.id))
+
+    def _write_now_and_then(self) -> None:
+        while not self.over.wait(self.every):
+            self.write()
 
     def __enter__(self) -> ProgressLog:
         self.spark.streams.addListener(self)
+        self.writer = threading.Thread(target=self._write_now_and_then, daemon=True)
+        self.writer.start()
         return self
 
     def __exit__(self, *failure) -> None:
         self.spark.streams.removeListener(self)
+        self.over.set()
+        self.writer.join()
+        self.write()
 
 
 def notes_of(progress) -> list[tuple]:
