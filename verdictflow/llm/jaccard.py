@@ -119,7 +119,7 @@ def signatures(documents: DataFrame, shingle: int, runs: int, branching: float)
 
 def _candidates(rows: DataFrame, shingle: int, branching: float, levels: int) -> DataFrame:
     """Rows of node, copies, overfull, words -> node, copies, ``found`` (its set) and the paths below the overfull ones."""
-    deep_type = pa.list_(pa.struct([("level", pa.int32()), ("parent", pa.int64()), ("path", pa.int64())]))
+    deep_type = pa.list_(pa.struct([("level", pa.int32()), ("parent", pa.int64()), ("m_parent", pa.int64()), ("path", pa.int64())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,8 @@ def _candidates(rows: DataFrame, shingle: int, branching: float, levels: int) ->
                 for i, overfull in enumerate(part.column(2).to_pylist()):
                     own = found[ends[i] : ends[i + 1]]
                     limit = _limits(np.array([len(own)]), branching)[0]
-                    parents, rows_ = np.array(overfull or [], np.int64).view(np.uint64), []
+                    members, rows_ = {x["path"]: x["m"] for x in overfull or []}, []
+                    parents = np.array(list(members), np.int64).view(np.uint64)
                     for level in range(2, levels + 1):
                         children = []
                         for parent in parents.reshape(-1, 1):
@@ -139,7 +140,9 @@ def _candidates(rows: DataFrame, shingle: int, branching: float, levels: int) ->
                             child = mixed(child[child <= limit] + parent)
                             children.append(child)
                             p = int(parent.view(np.int64)[0])
-                            rows_ += [{"level": level, "parent": p, "path": c} for c in child.view(np.int64).tolist()]
+                            # Known from the start for the buckets of one shingle alone.
+                            m = members[p] if level == 2 else None
+                            rows_ += [{"level": level, "parent": p, "m_parent": m, "path": c} for c in child.view(np.int64).tolist()]
                         parents = np.concatenate(children) if children else parents
                     below.append(rows_)
                 yield pa.RecordBatch.from_arrays(
@@ -147,19 +150,20 @@ def _candidates(rows: DataFrame, shingle: int, branching: float, levels: int) ->
                     ["node", "copies", "found", "below"],
                 )
 
-    schema = "node long, copies long, found array<long>, below array<struct<level: int, parent: bigint, path: bigint>>"
+    schema = "node long, copies long, found array<long>, below array<struct<level: int, parent: bigint, m_parent: bigint, path: bigint>>"
     return rows.select("node", "copies", "overfull", "w").mapInArrow(each, schema)
 
 
 def _leaves(candidates: DataFrame, level1: DataFrame, limit: int, levels: int) -> DataFrame:
     """(node, path): the buckets to compare. Each level is stored, so that the next starts from it."""
-    full = stored(level1.filter(F.col("m") > limit).select("path", "m").distinct(), "jaccard-full")
     leaves = level1.filter(F.col("m") <= limit)
     members = level1.filter(F.col("m") > limit).select("node", "path", "m")
     for level in range(2, levels + 1):
         below = candidates.select("node", F.explode(F.expr(f"filter(below, x -> x.level = {level})")).alias("x"))
-        rows = below.select("node", "x.parent", "x.path")
-        rows = rows.join(sorted_side(full.select(F.col("path").alias("parent"), F.col("m").alias("m_parent"))), "parent")
+        rows = below.select("node", "x.parent", "x.m_parent", "x.path")
+        if level > 2:
+            larger = full.select(F.col("path").alias("parent"), F.col("m").alias("m_parent"))
+            rows = rows.drop("m_parent").join(sorted_side(larger), "parent")
         counts = rows.groupBy("parent", "m_parent", "path").agg(F.count(F.lit(1)).alias("m"))
         counts = stored(counts, "jaccard-level")
         # Where documents sample mostly what half of them sample, splitting would not part them.
@@ -173,7 +177,7 @@ def _leaves(candidates: DataFrame, level1: DataFrame, limit: int, levels: int) -
         last = level == levels
         leaves = leaves.unionByName(rows if last else rows.filter(F.col("m") <= limit))
         members = rows.filter(F.col("m") > limit)
-        full = full if last else stored(split.filter(F.col("m") > limit), "jaccard-full")
+        full = None if last else stored(split.filter(F.col("m") > limit), "jaccard-full")
     return leaves.select("node", "path")
 
 
@@ -354,7 +358,7 @@ def _classes(
     shared = stored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "jaccard-shared")
     level1 = stored(paths.join(sorted_side(shared), "path").select("node", "path", "m"), "jaccard-level")
     freed(shared)
-    overfull = F.collect_list(F.when(F.col("m") > limit, F.col("path"))).alias("overfull")
+    overfull = F.collect_list(F.when(F.col("m") > limit, F.struct("path", "m"))).alias("overfull")
     wanted = level1.groupBy("node").agg(overfull).join(sorted_side(classes.select("node", "doc_id", "t", "copies")), "node")
     wanted = stored(wanted, "jaccard-wanted")
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
