@@ -8,6 +8,7 @@ import time
 from collections import Counter
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.errors import StreamingQueryException
@@ -20,6 +21,7 @@ from verdictflow.operators.scoring import call_slots, score
 from verdictflow.session import scratch_path
 from verdictflow.sources.tables import create_database
 from verdictflow.sources.topics import FileTopic, KafkaTopic
+from verdictflow.streaming import backlog
 from verdictflow.streaming.backlog import backlog_now, create_backlog_table, watch_backlog
 from verdictflow.streaming.calls import CallLog, call_report
 from verdictflow.streaming.progress import RECORD, ProgressLog, lag, notes_of, progress_folder, progress_of
@@ -95,6 +97,76 @@ def test_backlog_goes_on_after_a_restart_and_adds_nothing_twice(spark, texts, to
     assert {int(r.id_cliente) for r in backlog_now(spark, table).collect()} == set(range(15, 20))
 
 
+@pytest.mark.parametrize("many", [1, 40])
+def test_backlog_by_buckets_against_brute_force(spark, texts, topics, table, path, monkeypatch, many):
+    # Few buckets, so that a commit touches many ids of each, of which state knows all, some or none.
+    monkeypatch.setattr(backlog, "BUCKETS", 2), monkeypatch.setattr(backlog, "MANY_IDS", many)
+    raw, scored, _ = topics
+    state = Counter()
+    for new_raw, new_scored in [
+        ([None, *range(1500)], [*range(0, 1500, 3)]),
+        ([*range(40)] * 2, [None, *range(1400, 1600)]),
+        ([], [*range(1500)]),
+        ([7, 7, None], [9]),
+    ]:
+        raw.append(texts(*map(message, new_raw), message(-5))), scored.append(texts(*map(message, new_scored), message(-5)))
+        query = watch_backlog(spark, raw, scored, table, path("p"), interval=None)
+        query.awaitTermination()
+        state.update(new_raw), state.subtract(new_scored)
+        expected = {None if i is None else str(i): n for i, n in state.items() if n}
+        assert {r.id_cliente: r.pending for r in backlog_now(spark, table).collect()} == expected
+        assert sum(s.numRowsTotal for s in query.recentProgress[-1].stateOperators) == len(expected)
+
+
+class CountedState(dict):
+    """Map state in memory that counts the questions it is asked."""
+
+    asked = read = 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.get(key)
+
+    def iterator(self):
+        for item in list(self.items()):
+            self.read += 1
+            yield item
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+def test_backlog_asks_state_less_than_once_per_id():
+    state = CountedState()
+    counter = backlog.BacklogCounter()
+    counter.init(SimpleNamespace(getMapState=lambda *_: state))
+
+    def commit(ids, change):
+        rows = iter([pd.DataFrame({"id_cliente": ids, "change": change})])
+        state.asked = state.read = 0
+        found = pd.concat([*counter.handleInputRows((0,), rows, None), pd.DataFrame()])
+        return dict(zip(found["id_cliente"], found["pending"])) if len(found) else {}
+
+    ids = [str(i) for i in range(5000)]
+    assert commit(ids, 1) == dict.fromkeys(ids, 1) and (state.asked, state.read) == (0, 0)
+    assert commit(ids, 2) == dict.fromkeys(ids, 3) and (state.asked, state.read) == (0, 5000)
+    # Few of many are asked for one by one; the rest of the bucket is not read.
+    assert commit(ids[:3], -3) == dict.fromkeys(ids[:3], 0) and (state.asked, state.read) == (3, 0)
+    assert commit(ids[-200:], -3) == dict.fromkeys(ids[-200:], 0) and state.read <= 201
+    assert commit(["x", "x"], [1, -1]) == {} and len(state) == 4797
+
+
+def test_the_store_of_the_session_is_left_as_it_was(spark, texts, topics, table, path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    topics[0].append(texts(message(1))), topics[1].append(texts(message(1)))
+    watch_backlog(spark, topics[0], topics[1], table, path("p"), interval=None).awaitTermination()
+    assert spark.conf.get(name) == before
+
+
 # --- Lag ---------------------------------------------------------------------------
 
 

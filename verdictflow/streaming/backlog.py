@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
+from contextlib import contextmanager
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from verdictflow.fixed_values import COMMIT_INTERVAL, ID_FIELD
 from verdictflow.operators.messages import message_ids
@@ -19,6 +22,50 @@ from verdictflow.sources.topics import Topic
 from verdictflow.streaming.steps import insert_stream
 
 _STATE = f"{ID_FIELD} string, pending bigint"
+#: Part of a stream's state, as ids are found again by their bucket: a checkpoint ends with a change of it.
+BUCKETS = 2048
+#: So many ids of a bucket, and its state is read in pages of some hundred rows.
+MANY_IDS = 100
+
+
+class BacklogCounter(StatefulProcessor):
+    """What is pending per id, as a row of state for each id that is behind; ids come by buckets.
+
+    Python is called once per bucket, and state is asked for an id at a time only where a
+    commit touches few ids of a bucket: a call of its own, or a question, costs more than the sum.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pending = handle.getMapState("pending", f"{ID_FIELD} string", "pending bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        changes: Counter[str | None] = Counter()
+        for part in rows:
+            for name, change in zip(part[ID_FIELD].tolist(), part["change"].tolist(), strict=True):
+                changes[name] += change
+        changed = {name: change for name, change in changes.items() if change}
+        before = self._before(changed)
+        now = {name: before.get(name, 0) + change for name, change in changed.items()}
+        for name, pending in now.items():
+            if pending:
+                self.pending.updateValue((name,), (pending,))
+            else:
+                self.pending.removeKey((name,))
+        if now:
+            yield pd.DataFrame({ID_FIELD: list(now), "pending": list(now.values())})
+
+    def _before(self, names: Collection[str | None]) -> dict[str | None, int]:
+        """What was pending, of these ids at least: all of the bucket, unless that is more than they are."""
+        found, more = {}, True
+        if len(names) >= MANY_IDS:
+            stored = self.pending.iterator()
+            found = {name: pending for (name,), (pending,) in islice(stored, len(names))}
+            more = next(stored, None) is not None
+        if more:
+            for name in names:
+                if name not in found and (state := self.pending.getValue((name,))):
+                    found[name] = state[0]
+        return found
 
 
 def backlog_changes(raw: DataFrame, scored: DataFrame) -> DataFrame:
@@ -40,19 +87,9 @@ def backlog_changes(raw: DataFrame, scored: DataFrame) -> DataFrame:
             sums = sums.select([ID_FIELD, "change_sum"]).rename_columns([ID_FIELD, "change"])
             yield from sums.filter(pc.not_equal(sums["change"], 0)).to_batches()
 
-    def counted(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        now = before + sum(int(part["change"].sum()) for part in parts)
-        if now:
-            state.update((now,))
-        elif state.exists:
-            state.remove()
-        if now != before:
-            yield pd.DataFrame({ID_FIELD: [key[0]], "pending": [now]})
-
     changes = arrived.unionAll(done).mapInArrow(summed, schema)
-    by_id = changes.groupBy(ID_FIELD)
-    return by_id.applyInPandasWithState(counted, _STATE, "pending bigint", "append", GroupStateTimeout.NoTimeout)
+    by_bucket = changes.withColumn("bucket", F.pmod(F.xxhash64(ID_FIELD), F.lit(BUCKETS))).groupBy("bucket")
+    return by_bucket.transformWithStateInPandas(BacklogCounter(), _STATE, "append", "none")
 
 
 def create_backlog_table(spark: SparkSession, table: str) -> None:
@@ -71,7 +108,20 @@ def watch_backlog(
 ) -> StreamingQuery:
     """The changes of each commit into a table; both topics are read once, whatever their length."""
     changes = backlog_changes(raw.read_stream(spark, per_trigger), scored.read_stream(spark, per_trigger))
-    return insert_stream(changes, table, checkpoint, interval)
+    with _state_of_many_rows(spark):
+        return insert_stream(changes, table, checkpoint, interval)
+
+
+@contextmanager
+def _state_of_many_rows(spark: SparkSession) -> Iterator[None]:
+    """Streams that start meanwhile keep state with several rows per key, which Spark has one store for."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
 
 
 def backlog_now(spark: SparkSession, table: str, snapshot_id: int | None = None) -> DataFrame:
