@@ -276,3 +276,64 @@ def test_errors_of_calls_are_raised():
 
     with pytest.raises(KeyError):
         list(as_they_end(iter([1, 2]), call, 2, 10, lambda _: (5, None)))
+
+
+# --- Calls taken ahead --------------------------------------------------------------
+
+
+def test_short_calls_do_not_wait_for_the_caller():
+    called = []
+    results = as_they_end(iter(range(100)), lambda i: called.append(i) or i, 2, 10, ahead=20)
+    next(results)
+    time.sleep(0.3)
+    assert 20 <= len(called) <= 23
+    assert len(list(results)) == 99 and sorted(called) == list(range(100))
+
+
+def test_calls_at_once_are_bounded_with_items_taken_ahead():
+    watched = Watched()
+    watched.open()
+    list(as_they_end(iter("p" * 60), lambda profile: watched.ask([profile], 1), 3, 10, ahead=30))
+    assert watched.most == 3
+
+
+def test_what_was_taken_ahead_is_not_asked_after_a_failure():
+    called = []
+
+    def call(item):
+        called.append(item)
+        time.sleep(0.05)
+        raise KeyError(item)
+
+    with pytest.raises(KeyError):
+        list(as_they_end(iter(range(50)), call, 1, 10, ahead=49))
+    time.sleep(0.5)
+    assert len(called) <= 5
+
+
+def test_time_of_a_call_begins_with_the_call():
+    results = as_they_end(iter(range(20)), lambda i: time.sleep(0.05) or i, 1, 10, lambda i: (0.5, "none"), ahead=19)
+    assert list(results) == [(i, i) for i in range(20)]
+
+
+def test_a_hung_call_is_cut_off_while_others_go_on_ending():
+    call = lambda i: threading.Event().wait() if i == 0 else time.sleep(0.001) or i
+    found = list(as_they_end(iter(range(1000)), call, 2, 10, lambda i: (0.1, "none"), ahead=50))
+    assert sorted(found) == [(0, "none"), *[(i, i) for i in range(1, 1000)]]
+    assert found.index((0, "none")) < 900
+
+
+def test_calls_of_several_batches_keep_their_columns(spark, profiles):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        for scorer, flight in ((FunctionScorer(answer), 4), (Paired(answer), 3)):
+            found = Counter(map(tuple, score(profiles.coalesce(1), scorer, model_name="m", max_in_flight=flight).collect()))
+            assert found == Counter((i, 1 + i % 2, *expected(i), "m") for i in range(500))
+    finally:
+        spark.conf.set(name, before)
+
+
+class Paired(FunctionScorer):
+    batch_size = 2
