@@ -160,11 +160,19 @@ def test_backlog_asks_state_less_than_once_per_id():
 
 
 def test_the_store_of_the_session_is_left_as_it_was(spark, texts, topics, table, path):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
+    names = [f"spark.sql.streaming.stateStore.{name}" for name in ("providerClass", "unloadOnCommit")]
+    before = [spark.conf.get(name) for name in names]
     topics[0].append(texts(message(1))), topics[1].append(texts(message(1)))
     watch_backlog(spark, topics[0], topics[1], table, path("p"), interval=None).awaitTermination()
-    assert spark.conf.get(name) == before
+    assert [spark.conf.get(name) for name in names] == before
+
+
+def test_a_run_of_one_commit_leaves_no_stores_loaded(spark, texts, topics, table, path, monkeypatch):
+    started = []
+    monkeypatch.setattr(backlog, "insert_stream", lambda *_: started.append(spark.conf.get("spark.sql.streaming.stateStore.unloadOnCommit")))
+    for bounds in ({"interval": None}, {"interval": None, "per_trigger": 1}, {"interval": "1 second"}):
+        watch_backlog(spark, topics[0], topics[1], table, path("p"), **bounds)
+    assert started == ["true", "false", "false"]
 
 
 # --- Lag ---------------------------------------------------------------------------

@@ -108,20 +108,27 @@ def watch_backlog(
 ) -> StreamingQuery:
     """The changes of each commit into a table; both topics are read once, whatever their length."""
     changes = backlog_changes(raw.read_stream(spark, per_trigger), scored.read_stream(spark, per_trigger))
-    with _state_of_many_rows(spark):
+    # One commit and the end: its stores need not stay, each with some MB of files, for a next one.
+    single = interval is None and per_trigger is None
+    with _state_of_many_rows(spark, unload=single):
         return insert_stream(changes, table, checkpoint, interval)
 
 
 @contextmanager
-def _state_of_many_rows(spark: SparkSession) -> Iterator[None]:
+def _state_of_many_rows(spark: SparkSession, unload: bool) -> Iterator[None]:
     """Streams that start meanwhile keep state with several rows per key, which Spark has one store for."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    own = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    settings = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if unload:
+        settings["unloadOnCommit"] = "true"
+    settings = {f"spark.sql.streaming.stateStore.{name}": value for name, value in settings.items()}
+    own = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, own)
+        for name, value in own.items():
+            spark.conf.set(name, value)
 
 
 def backlog_now(spark: SparkSession, table: str, snapshot_id: int | None = None) -> DataFrame:
