@@ -1,3 +1,4 @@
+import ctypes
 import json
 import os
 import subprocess
@@ -323,6 +324,27 @@ def test_a_hung_call_is_cut_off_while_others_go_on_ending():
     assert found.index((0, "none")) < 900
 
 
+def test_time_in_which_the_process_stands_still_is_not_a_calls_time():
+    stand_still = ctypes.PyDLL(None).usleep  # PyDLL holds the interpreter's lock meanwhile
+
+    def call(i):
+        stand_still(500_000) if i % 8 == 4 else time.sleep(0.02)
+        return i
+
+    found = list(as_they_end(iter(range(40)), call, 4, 10, lambda i: (0.25, "none")))
+    assert sorted(found) == [(i, i) for i in range(40)]
+
+
+def test_a_call_over_its_time_is_cut_off_for_a_slow_consumer_too():
+    free = threading.Event()
+    found = []
+    for item, result in as_they_end(iter(range(20)), lambda i: free.wait(10) if i == 0 else i, 2, 10, lambda i: (0.3, "none"), ahead=8):
+        time.sleep(0.15)
+        found.append((item, result))
+    free.set()
+    assert sorted(found) == [(0, "none"), *[(i, i) for i in range(1, 20)]] and found.index((0, "none")) < 10
+
+
 def test_calls_of_several_batches_keep_their_columns(spark, profiles):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)

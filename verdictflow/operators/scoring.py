@@ -29,6 +29,8 @@ _FLUSH_ROWS = 1000
 _AHEAD_ROWS = 256
 #: Time for a scorer to notice its own timeout before its call is cut off.
 GRACE_S = 0.5
+#: Calls under way are looked at so often, and a look counts for twice as long at most.
+_LOOK_S = 0.05
 
 
 def score(
@@ -116,6 +118,10 @@ def as_they_end[A, B](
     then left to itself, another thread takes its place, and what it returns is not used.
     ``ahead`` more items are taken before there is a thread for them, so that short calls
     need not wait for the caller between them; their time begins with their call.
+
+    A call's time is that in which the caller looks for its end. A machine that stands
+    still, or has no core left for the process, may keep the call from ending just as long:
+    of such a gap, ``2 * _LOOK_S`` count. So does no more of a long stay with the consumer.
     """
     todo, ended = SimpleQueue(), SimpleQueue()
     taken: dict[int, tuple[A, float, B | None]] = {}
@@ -123,11 +129,19 @@ def as_they_end[A, B](
     begun: dict[int, float] = {}
     threads = submitted = 0
     shortest, look = timeout_s, 0.0
+    lost, seen = 0.0, time.monotonic()
+
+    def clock() -> float:
+        nonlocal lost, seen
+        now = time.monotonic()
+        lost += max(0.0, now - seen - 2 * _LOOK_S)
+        seen = now
+        return now - lost
 
     def work() -> None:
         while (task := todo.get()) is not None:
             n, item = task
-            begun[n] = time.monotonic()
+            begun[n] = -lost + time.monotonic()  # in this order, as more may be lost in between
             try:
                 result, error = call(item), None
             except BaseException as e:
@@ -152,7 +166,7 @@ def as_they_end[A, B](
 
     def some() -> Iterator[tuple[A, B]]:
         nonlocal look
-        now = time.monotonic()
+        now = clock()
         if now >= look:
             yield from late(now)
             # A call that has not begun has its time from then on.
@@ -160,7 +174,7 @@ def as_they_end[A, B](
             look = min([now + shortest, *due])
             return
         try:
-            n, result, error = ended.get(timeout=look - now)
+            n, result, error = ended.get(timeout=min(look - now, _LOOK_S))
         except Empty:
             return
         item = taken.pop(n)[0]
